@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -15,26 +14,24 @@ def salt_of(*cols: Column | str, salts: int, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(salts)).cast("int")
 
 
-def numbered_within(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "rank", salt: str = "_salt") -> DataFrame:
+def numbered_within(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "rank", salt: str = "_salt", facts: DataFrame | None = None) -> DataFrame:
     """Gapless numbers from 0 within each group, in the order (salt, *order).
 
-    df already has the int column ``salt``.  A group is numbered in as many
-    pieces as it has salts: the sizes of the pieces are counted (partial sums,
-    at most groups x salts rows), summed up in salt order, and added to the row
-    number inside the piece.  No task sees more than one piece of a hot group.
-    Null group values form a group of their own.
+    df already has the int column ``salt``; group values are not null.  A group
+    is numbered in as many pieces as it has salts: the sizes of the pieces are
+    counted (partial sums, at most groups x salts rows), summed up in salt
+    order, and added to the row number inside the piece.  No task sees more
+    than one piece of a hot group.  ``facts``, keyed by the groups, are joined
+    to the pieces and so reach the rows by the same join.
     """
     keys = [*groups, salt]
     before = W.partitionBy(*groups).orderBy(salt).rowsBetween(W.unboundedPreceding, -1)
-    sizes = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_before")
-    )
+    pieces = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if facts is not None:
+        pieces = pieces.join(facts, list(groups))
     rows = df.withColumn("_row", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    return rows.join(sizes, same).withColumn(name, (F.col("_row") + F.col("_before")).cast("long")).select(*df.columns, name)
+    new = [c for c in (facts.columns if facts is not None else []) if c not in groups]
+    return rows.join(pieces, keys).withColumn(name, (F.col("_row") + F.col("_before")).cast("long")).select(*df.columns, name, *new)
 
 
 def ranked(df: DataFrame, order: Sequence[str | Column], name: str = "rank") -> DataFrame:

@@ -29,8 +29,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Pieces in which documents of one source and length are numbered.
 SALTS = 1024
 #: Sums that the knapsack table tells apart, and lengths that it tries.
-MAX_SUMS = 1 << 22
+MAX_SUMS = 1 << 21
 TRIED = 48
+#: Documents of one length that are handed back at most, and the words that all of them may have.
+TRADED = 16
+TRADED_WORDS = 1 << 19
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -66,9 +69,10 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarr
             taken[i] += 1
             left -= sizes[i]
     usable = np.flatnonzero(sizes > 0)
-    given = usable[taken[usable] > 0][:TRIED]  # the shortest are handed back, so that the table can trade them
-    taken[given] -= 1
-    left += float(sizes[given].sum())
+    given = usable[taken[usable] > 0][:TRIED]  # some of the shortest are handed back, so that the table can trade them
+    back = np.minimum(taken[given], np.minimum(TRADED, TRADED_WORDS // TRIED // sizes[given] + 1))
+    taken[given] -= back
+    left += float((sizes[given] * back).sum())
     open_ = usable[taken[usable] < counts[usable]]
     pool = np.unique(np.concatenate([open_[:TRIED], given, open_[np.argsort(np.abs(sizes[open_] - left), kind="stable")[:4]]])).astype(np.int64)
     if not len(pool):

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kmerspark.llm import chat, chunks, language_id, toxicity, warc
 from kmerspark.llm.decontaminate import decontamination_report
 from kmerspark.llm.mixing import mix_sources
 from kmerspark.llm.quality_rules import quality_rules
@@ -29,6 +30,24 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents share; documents that share none do not appear."""
+    return chunks.repeated_passages(_table(spark, sf_dir, "documents")).drop("row")
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat.round_trip(_table(spark, sf_dir, "conversations").select(*own.columns).unionByName(own))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -37,12 +56,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.convert(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
     "op3_decontaminate": op3_decontaminate,
+    "op4_language_id": op4_language_id,
+    "op5_chunks": op5_chunks,
+    "op6_chat": op6_chat,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
+    "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_chat": chat.ORACLE, "op10_warc": warc.ORACLE}

@@ -187,7 +187,7 @@ WITH c AS (
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 f AS (
   SELECT *, length(text) + len(regexp_extract_all(text, '{CONTROL}')) + CASE role
-      WHEN 'user' THEN 15 WHEN 'system' THEN 18 WHEN 'assistant' THEN 6
+      WHEN 'user' THEN 15 WHEN 'system' THEN 17 WHEN 'assistant' THEN 6
       ELSE 25 + length(role) + len(regexp_extract_all(role, '{CONTROL}')) END AS chars
   FROM c)
 SELECT conv_id, count(*) AS n_turns,

@@ -1,8 +1,9 @@
 """Toxicity by subword-bag embeddings.
 
 A text is cut into segments of SEGMENT words.  A segment is the average of the
-embeddings of its words' character n-grams, hashed to buckets, put through a
-linear softmax; embeddings and softmax are trained jointly in numpy.  Words
+embeddings of its words' distinct character n-grams, hashed to buckets and filled
+up to FLOOR with zero vectors (else one word said over and over would weigh as
+much as a segment full of them), put through a linear softmax; embeddings and softmax are trained jointly in numpy.  Words
 never seen share the vectors of the n-grams that they have in common with those
 that were, so misspellings and inflections are recognised.  A document's score
 is its worst segment's, so that the length of a document does not dilute it.
@@ -34,8 +35,10 @@ BUCKETS = 1 << 17
 ORDERS = (3, 4, 5)
 WIDTH = 8
 SEGMENT = 16
-PER_LABEL = 1200
-CLEAN_SEGMENTS = 10
+#: N-grams that a segment is averaged over at least.
+FLOOR = 120
+PER_LABEL = 1500
+CLEAN_SEGMENTS = 16
 THRESHOLD = 0.7
 
 
@@ -45,14 +48,14 @@ def _word_characters() -> np.ndarray:
 
 
 def subwords(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(bucket, segment) of every n-gram, in the order of segments, and the number of segments.
+    """(bucket, segment) of every distinct n-gram of each segment, in order, and the number of segments.
 
     N-grams lie inside words, with a space for either end of the word.
     """
     code = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     word = _word_characters()[code]
     if not word.any():
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     code = np.where(word, code, np.uint32(32))
     code = code[word | np.concatenate(([True], word[:-1]))]  # one space between words
     code = np.concatenate(([np.uint32(32)], code[1:] if code[0] == 32 else code, [np.uint32(32)]))
@@ -71,15 +74,16 @@ def subwords(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
             whole = inner[n - 1 : n - 1 + m] == inner[1 : 1 + m]  # no space but at the ends
             buckets.append(h[whole] & np.uint32(BUCKETS - 1))
             segments.append(segment[:m][whole])
-    return np.concatenate(buckets), np.concatenate(segments), int(segment[-1]) + 1
+    key = np.sort(np.concatenate(segments) * BUCKETS + np.concatenate(buckets))
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+    return key % BUCKETS, key // BUCKETS, int(segment[-1]) + 1
 
 
 def _segments(text: str | None) -> list[np.ndarray]:
     """The buckets of each segment that has any."""
     bucket, segment, _ = subwords(text)
-    order = np.argsort(segment, kind="stable")
-    ends = np.flatnonzero(np.diff(segment[order])) + 1
-    return np.split(bucket[order].astype(np.int32), ends) if len(bucket) else []
+    ends = np.flatnonzero(np.diff(segment)) + 1
+    return np.split(bucket.astype(np.int32), ends) if len(bucket) else []
 
 
 class Bags:
@@ -95,13 +99,14 @@ class Bags:
 
     def step(self, flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, rate: float) -> None:
         starts = np.cumsum(sizes) - sizes
-        mean = np.add.reduceat(self.v[flat], starts) / sizes[:, None]
+        over = np.maximum(sizes, FLOOR)[:, None]
+        mean = np.add.reduceat(self.v[flat], starts) / over
         s = mean @ self.u + self.b
         p = np.exp(s - s.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         g_u, g_b = mean.T @ p, p.sum(axis=0)
-        g_mean = (p @ self.u.T) / sizes[:, None]
+        g_mean = (p @ self.u.T) / over
         used, at = np.unique(flat, return_inverse=True)
         each = np.repeat(g_mean, sizes, axis=0)
         g_v = np.stack([np.bincount(at, weights=each[:, k], minlength=len(used)) for k in range(WIDTH)], axis=1)
@@ -127,7 +132,7 @@ def train(toxic: list[list[np.ndarray]], clean: list[np.ndarray], passes: int =
             if n == 0:
                 worst += doc
                 continue
-            means = np.array([add[s].mean() for s in doc])
+            means = np.array([add[s].sum() / max(len(s), FLOOR) for s in doc])
             worst += [doc[i] for i in np.flatnonzero((means == means.max()) | ((means + bias > 2) if n > 1 else False))]
         bags, y = worst + clean, np.array([1] * len(worst) + [0] * len(clean))
         order = model.rng.permutation(len(bags))
@@ -176,7 +181,7 @@ def log_odds(text: str | None, add: np.ndarray, bias: float) -> float:
         return -np.inf
     size = np.bincount(segment, minlength=n)
     total = np.bincount(segment, weights=add[bucket], minlength=n)
-    return float((total[size > 0] / size[size > 0]).max()) + bias
+    return float((total[size > 0] / np.maximum(size[size > 0], FLOOR)).max()) + bias
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:

@@ -1,9 +1,10 @@
 """Substring deduplication by content-defined chunking.
 
-A gear rolling hash over a text's bytes cuts it where the hash's upper bits are
-zero, so where a chunk ends depends on the bytes just before and not on their
-place in the text: an insertion moves the cuts around it and no others.  Chunks
-are deduplicated by digest.  What is reported, and removed, is a run of chunks
+A gear rolling hash runs over a text's bytes, and the text is cut where the hash
+is the least of all within REACH bytes on either side.  Where a chunk ends so
+depends on the bytes around and not on their place in the text or on earlier
+cuts: an insertion moves the cuts next to it and no others.  Chunks are
+deduplicated by digest.  What is reported, and removed, is a run of chunks
 next to each other that all occur in more than one document and together have
 enough words; lone short chunks that happen to recur are left alone.
 
@@ -29,12 +30,13 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from kmerspark.scratch import materialize
 
-#: Bytes of the hash's window, the bits that must be zero at a cut, and the least and the most bytes of a chunk.
-SPAN = 16
-CUT_BITS = 5
-LEAST, MOST = 16, 192
+#: Bytes of the hash's window, bytes on either side in which a cut's hash is the least, and the most bytes of a chunk.
+#: Chunks have over REACH bytes, about twice that on average.
+SPAN = 8
+REACH = 20
+MOST = 256
 #: Words that a run of repeated chunks needs.
-MIN_WORDS = 24
+MIN_WORDS = 28
 #: The gear table: a random number for each byte, from a fixed seed.
 GEAR = np.random.default_rng(20_240_229).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.zeros(256, bool)
@@ -53,24 +55,31 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _least_of(h: np.ndarray, n: int) -> np.ndarray:
+    """The least of h[i : i + n] for every i, by doubling; past the end counts as large."""
+    out, width = np.concatenate((h, np.full(n, np.iinfo(h.dtype).max, h.dtype))), 1
+    while width < n:
+        step = min(width, n - width)
+        out[:-step] = np.minimum(out[:-step], out[step:])
+        width += step
+    return out[: len(h)]
+
+
 def cuts(data: np.ndarray) -> list[int]:
-    """Where chunks of these bytes end."""
-    # all SPAN bytes reach these bits
-    places = np.flatnonzero((gear_hash(data) >> np.uint32(SPAN - 1 - CUT_BITS)) & np.uint32((1 << CUT_BITS) - 1) == 0) + 1
+    """Where chunks of these bytes end.  Of equal hashes the first counts as the least."""
+    n = len(data)
+    # 64 bits: the hash, then its place as the tie-break
+    h = (gear_hash(data).astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
+    ahead = _least_of(h, 2 * REACH + 1)
+    places = np.flatnonzero(ahead[: max(0, n - 2 * REACH)] == h[REACH : max(REACH, n - REACH)]) + REACH + 1
     ends, at = [], 0
-    for p in places.tolist():
-        while p - at > MOST:
+    for p in [*places.tolist(), n]:
+        while p - at > MOST:  # bytes that only repeat
             at += MOST
             ends.append(at)
-        if p - at >= LEAST:
+        if p > at:
             ends.append(p)
             at = p
-    n = len(data)
-    while n - at > MOST:
-        at += MOST
-        ends.append(at)
-    if n > at:
-        ends.append(n)
     return ends
 
 

@@ -145,7 +145,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     y = np.array([languages.index(r.lang) for r in rows], dtype=np.int64)
     apart = np.arange(len(y)) % 5 == 4
     w = ftrl([v for v, a in zip(x, apart, strict=True) if not a], y[~apart], len(languages)) if languages else np.zeros((0, DIM))
-    logits = np.array([w[:, at] @ v for (at, v), a in zip(x, apart, strict=True) if a]).reshape(-1, len(languages))
+    logits = np.array([w[:, at] @ v for (at, v), a in zip(x, apart, strict=True) if a]).reshape(int(apart.sum()), len(languages))
     return {"languages": languages, "idf": idf.astype(np.float32), "weights": np.ascontiguousarray(w.T.astype(np.float32)), "temperature": temperature(logits, y[apart])}
 
 

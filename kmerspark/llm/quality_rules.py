@@ -159,3 +159,12 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5, iterations: int = 40,
         counts.join(F.broadcast(model), "pattern", "left")  # at most 3 ** len(rules()) rows
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("posterior") >= threshold)).alias("kept"), "posterior")
     )
+
+
+def keep_good(docs: DataFrame, **kw) -> DataFrame:
+    """docs without the rejected ones.
+
+    Rows that share a doc_id go together if any of them is rejected; rows without one are judged by themselves only as a group of that kind and stay.
+    """
+    rejected = quality_rules(docs, **kw).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti")

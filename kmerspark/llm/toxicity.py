@@ -8,11 +8,13 @@ never seen share the vectors of the n-grams that they have in common with those
 that were, so misspellings and inflections are recognised.  A document's score
 is its worst segment's, so that the length of a document does not dilute it.
 
-Labels are of documents.  Training first takes all segments of a toxic document
-as toxic, then, in later passes, only those that the model of the pass before
-finds the worst.  It uses a bounded sample: ``per_label`` documents of each
-label at most, and of a clean document at most ``clean_segments`` segments.
-Every text is scored whole.
+Labels are of documents.  Training starts on whole documents, each one bag of
+its distinct n-grams, which finds the n-grams that toxic documents have in
+common; later passes are over segments, and of a toxic document they use those
+that the model of the pass before finds the worst.  It uses a bounded sample: ``per_label`` documents of each
+label at most, and of a clean document at most ``clean_segments`` segments.  A
+fifth of the sample, with all its segments, only sets the slope and the offset
+that turn a document's log-odds into a probability.  Every text is scored whole.
 
 Defined results: an empty or null text, and one without a letter or digit, has
 the score of a clean segment without n-grams (0); labels of null are not used;
@@ -22,6 +24,7 @@ empty table; columns besides doc_id, text and toxic are not looked at.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -99,7 +102,7 @@ class Bags:
 
     def step(self, flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, rate: float) -> None:
         starts = np.cumsum(sizes) - sizes
-        over = np.maximum(sizes, FLOOR)[:, None]
+        over = np.maximum(sizes, FLOOR)[:, None]  # filled up with zero vectors
         mean = np.add.reduceat(self.v[flat], starts) / over
         s = mean @ self.u + self.b
         p = np.exp(s - s.max(axis=1, keepdims=True))
@@ -122,39 +125,65 @@ class Bags:
         return self.v @ (self.u[:, 1] - self.u[:, 0]), float(self.b[1] - self.b[0])
 
 
-def train(toxic: list[list[np.ndarray]], clean: list[np.ndarray], passes: int = 6, batch: int = 256, rate: float = 0.3) -> tuple[np.ndarray, float]:
-    """table() of a model for segments of toxic documents, and segments of clean ones."""
+def train(toxic: list[list[np.ndarray]], clean: list[list[np.ndarray]], warm: int = 12, passes: int = 8, rate: float = 0.3) -> tuple[np.ndarray, float]:
+    """table() of a model for the segments of toxic and of clean documents."""
     model = Bags()
+
+    def go(bags: list[np.ndarray], y: np.ndarray, batch: int) -> None:
+        order = model.rng.permutation(len(bags))
+        for a in range(0, len(order), batch):
+            own = order[a : a + batch]
+            model.step(np.concatenate([bags[i] for i in own]), np.array([len(bags[i]) for i in own]), y[own], rate)
+
+    whole = [np.unique(np.concatenate(d)) for d in [*toxic, *clean]]
+    for _ in range(warm):
+        go(whole, np.array([1] * len(toxic) + [0] * len(clean)), 16)
+    segments = [s for d in clean for s in d]
     for n in range(passes):
         add, bias = model.table()
         worst = []
         for doc in toxic:
-            if n == 0:
-                worst += doc
-                continue
             means = np.array([add[s].sum() / max(len(s), FLOOR) for s in doc])
-            worst += [doc[i] for i in np.flatnonzero((means == means.max()) | ((means + bias > 2) if n > 1 else False))]
-        bags, y = worst + clean, np.array([1] * len(worst) + [0] * len(clean))
-        order = model.rng.permutation(len(bags))
-        for a in range(0, len(order), batch):
-            own = order[a : a + batch]
-            sizes = np.array([len(bags[i]) for i in own])
-            model.step(np.concatenate([bags[i] for i in own]), sizes, y[own], rate)
+            worst += [doc[i] for i in np.flatnonzero((means == means.max()) | ((means + bias > 2) if n else False))]
+        bags = worst + segments
+        go(bags, np.array([1] * len(worst) + [0] * len(segments)), max(64, len(bags) // 300))
     return model.table()
 
 
+def worst_segment(bags: list[np.ndarray], add: np.ndarray, bias: float) -> float:
+    return max(float(add[s].sum()) / max(len(s), FLOOR) for s in bags) + bias
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+    """Slope and offset of log-odds x that make the labels likeliest, by Newton's method, with the labels drawn in a little."""
+    if not (0 < y.sum() < len(y)):
+        return 1.0, 0.0
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    z = np.stack([x, np.ones_like(x)])
+    w, ridge = np.array([1.0, 0.0]), np.diag([1e-2, 1e-3])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(w @ z, -35, 35)))
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)) @ z.T + ridge, z @ (p - t) + ridge @ (w - [1.0, 0.0]))
+        w = w - np.clip(step, -1, 1)
+        w[0] = max(w[0], 1e-2)
+    return float(w[0]), float(w[1])
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, clean_segments: int = CLEAN_SEGMENTS) -> dict | None:
     """The model, from docs(doc_id, text) and labels(doc_id, toxic); None where a label is missing."""
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = sample_per_label(known, "toxic", per_label)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
 
+    def apart(doc_id: object) -> bool:
+        return zlib.crc32(f"apart {doc_id}".encode()) % 5 == 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc_id, text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 own = _segments(text)
-                if toxic != 1 and len(own) > clean_segments:
+                if toxic != 1 and not apart(doc_id) and len(own) > clean_segments:
                     own = [own[i] for i in np.linspace(0, len(own) - 1, clean_segments).astype(int)]
                 if own:
                     rows.append((doc_id, toxic, own))
@@ -167,11 +196,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, clean_se
     for r in found.toLocalIterator():  # per_label rows of each label
         rows.append((r.toxic, str(r.doc_id), [np.array(s, np.int32) for s in r.bags]))
     rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
-    toxic, clean = [r[2] for r in rows if r[0] == 1], [s for r in rows if r[0] != 1 for s in r[2]]
+    toxic, clean = ([r[2] for r in rows if (r[0] == 1) == k and not apart(r[1])] for k in (True, False))
     if not toxic or not clean:
         return None
     add, bias = train(toxic, clean)
-    return {"add": add.astype(np.float32), "bias": bias}
+    own = [r for r in rows if apart(r[1])]
+    slope, offset = calibrate(np.array([worst_segment(r[2], add, bias) for r in own]), np.array([int(r[0] == 1) for r in own]))
+    return {"add": (add * slope).astype(np.float32), "bias": bias * slope + offset}
 
 
 def log_odds(text: str | None, add: np.ndarray, bias: float) -> float:

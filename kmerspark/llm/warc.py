@@ -41,6 +41,9 @@ FIELDS = {
 ARCHIVE_BYTES = 1 << 21
 FILE_RECORDS = 20_000
 LEAST_REVISITED = 1000
+#: Rows that a task turns into Python objects at once, and the date of archives whose pages have none.
+SLICE = 256
+DATE = "19970101000000"
 END = "\r\n\r\n"
 
 
@@ -81,54 +84,65 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 1
 
 
-def to_archives(pages: DataFrame, date: str = "19970101000000") -> DataFrame:
-    """(archive): ARC archives of pages(page_id, url, html), versions 1 and 2 in turn."""
-    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
+def _build(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[bytes]:
+    parts: list[bytes] = []
+    made = size = version = 0
+    for b in _slices(batches):
+        for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if not parts:
+                version, name = 1 + made % 2, f"part-{made}.arc"
+                parts, made = [arc_opening(version, name, date)], made + 1
+                size = len(parts[0])
+            body = html.encode()
+            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page_id or ''}\r\nContent-Length: {len(body)}\r\n\r\n"
+            parts.append(arc_record(version, safe_url(url), date, head.encode() + body, size))
+            size += len(parts[-1])
+            if size >= ARCHIVE_BYTES:
+                yield b"".join(parts)
+                parts = []
+    if parts:
+        yield b"".join(parts)
+
+
+def _records(archives: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    names = ["page_id", "url", "date", "ip", "head", "payload"]
+    for archive in archives:
+        rows = []
+        for field, block in parse_arc(archive):
+            head, _, payload = block.partition(b"\r\n\r\n")
+            page_id = re.search(rb"\r\nX-Page-Id: (-?\d*)", head)[1]
+            rows.append((int(page_id) if page_id else None, field["URL"], field["Archive-date"], field["IP-address"], head.decode(), payload.decode()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.string()) for i, c in enumerate(zip(*rows, strict=True))], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = 0
-        for b in batches:
-            parts: list[bytes] = []
-            size = version = 0
-            for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if not parts:
-                    version, name = 1 + made % 2, f"part-{made}.arc"
-                    parts, made = [arc_opening(version, name, date)], made + 1
-                    size = len(parts[0])
-                body = html.encode()
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page_id or ''}\r\nContent-Length: {len(body)}\r\n\r\n"
-                parts.append(arc_record(version, safe_url(url), date, head.encode() + body, size))
-                size += len(parts[-1])
-                if size >= ARCHIVE_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["archive"])
-                    parts = []
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["archive"])
-
-    return rows.mapInArrow(run, "archive binary")
 
+def _pages(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("string").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
 
-def from_archives(archives: DataFrame) -> DataFrame:
-    """(page_id, url, date, ip, head, payload) of every record of the ARC archives."""
-    names = ["page_id", "url", "date", "ip", "head", "payload"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for archive in b.column(0):
-                rows = []
-                for field, block in parse_arc(archive.as_py()):
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    page_id = re.search(rb"\r\nX-Page-Id: (-?\d*)", head)[1]
-                    rows.append((int(page_id) if page_id else None, field["URL"], field["Archive-date"], field["IP-address"], head.decode(), payload.decode()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.string()) for i, c in enumerate(zip(*rows, strict=True))], names)
+RECORD = "page_id long, url string, date string, ip string, head string, payload string"
+
 
-    return archives.mapInArrow(run, "page_id long, url string, date string, ip string, head string, payload string")
+def to_archives(pages: DataFrame, date: str = DATE) -> DataFrame:
+    """(archive): ARC archives of pages(page_id, url, html), versions 1 and 2 in turn."""
+    return _pages(pages).mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([a], pa.binary())], ["archive"]) for a in _build(it, date)), "archive binary")
 
 
-def _record_id(page_id: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit(""))).cast("binary"))
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+def from_archives(archives: DataFrame) -> DataFrame:
+    """(page_id, url, date, ip, head, payload) of every record of the ARC archives in archives(archive)."""
+    return archives.mapInArrow(lambda it: _records(a.as_py() for b in it for a in b.column(0)), RECORD)
+
+
+def through_archives(pages: DataFrame, date: str = DATE) -> DataFrame:
+    """from_archives(to_archives(pages)), with each archive handed over inside the task that made it."""
+    return _pages(pages).mapInArrow(lambda it: _records(_build(it, date)), RECORD)
 
 
 def with_types(records: DataFrame) -> DataFrame:
@@ -139,6 +153,11 @@ def with_types(records: DataFrame) -> DataFrame:
     return joined.withColumn("keeper", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")))
 
 
+def _record_id(page_id: Column) -> Column:
+    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit(""))).cast("binary"))
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+
+
 def warc_text(typed: DataFrame) -> DataFrame:
     """(value): each record as WARC text, without the bytes that end it."""
     revisit = F.col("keeper").isNotNull()
@@ -166,7 +185,7 @@ def warc_text(typed: DataFrame) -> DataFrame:
 
 def write_warc(pages: DataFrame, path: str) -> None:
     """WARC files of pages(page_id, url, html), by way of ARC archives."""
-    typed = with_types(from_archives(to_archives(pages)))
+    typed = with_types(through_archives(pages))
     warc_text(typed).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 

@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerspark.llm import chat, chunks, language_id, toxicity, warc
-from kmerspark.llm.decontaminate import decontamination_report
+from kmerspark.llm import chat, chunks, decontaminate, language_id, toxicity, warc
 from kmerspark.llm.mixing import mix_sources
 from kmerspark.llm.quality_rules import quality_rules
 from kmerspark.llm.sharding import shard_documents
@@ -27,7 +26,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_chat": chat.ORACLE, "op10_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE, "op10_warc": warc.ORACLE}

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from kmerspark.functions import codec
 from kmerspark.operators.flags import base_codes, each_sequence, stretches, with_branches
 from kmerspark.operators.graph import successor_masks
+from kmerspark.operators.windows import _CODE
 
 #: Edges whose successors may be broadcast to decode; 9 bytes each.
 MAX_EDGES = 200_000_000
@@ -66,46 +67,65 @@ def segments(seqs: DataFrame, kp1: int) -> DataFrame:
     return rows.select("seq_id", F.col("brc_id").cast("long"), "p.len", F.coalesce(F.sum("p.len").over(before), F.lit(0)).cast("long").alias("start"), F.when(F.col("p.good"), "good").otherwise("bad").alias("type"))
 
 
-def restore_record(brc: str, n: int, k: int, nodes: np.ndarray, masks: np.ndarray, branches: np.ndarray | None, kmer_format: bool) -> str:
-    """The n bases of a good record.
+#: The base that a mask with one bit stands for.
+_FORCED = np.array([0, 0, 1, 0, 2, 0, 0, 0, 3] + [0] * 7, np.int64)
 
-    branches: None if the record was written with all multi-out edges, whose
-    k-mers have several successors; else the sorted set that it was written with,
-    and an item is skipped also where a forced edge is in the set.
+
+def restore_records(brcs: list[str], lengths: list[int], k: int, nodes: np.ndarray, masks: np.ndarray, branches: np.ndarray | None, kmer_format: bool) -> list[str]:
+    """The bases of good records, all decoded in step: one search a base for all that are not done.
+
+    nodes, branches: sorted codes as signed longs.  branches: None if the records
+    were written with all multi-out edges, whose k-mers have several successors;
+    else the set that they were written with, and an item is skipped also where a
+    forced edge is in the set.
     """
-    step = k + 1 if kmer_format else 1
-    out = list(brc[:k])
-    low = (1 << 2 * k) - 1
-    node = 0
-    for c in brc[:k]:
-        node = node << 2 | codec.BASES.index(c)
-    at = k
-    for _ in range(n - k):
-        i = int(np.searchsorted(nodes, node))
-        if i == len(nodes) or int(nodes[i]) != node:
+    step, low = (k + 1 if kmer_format else 1), (1 << 2 * k) - 1
+    order = sorted(range(len(brcs)), key=lambda i: -lengths[i])
+    n = np.array([lengths[i] for i in order], np.int64)
+    size = np.array([len(brcs[i]) for i in order], np.int64)
+    given = _CODE[np.frombuffer("".join(brcs[i] for i in order).encode(), np.uint8)].astype(np.int64)
+    end = np.cumsum(size)
+    at, to = end - size, np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), np.uint8)
+    if (size < k).any() or (n < k).any():
+        raise ValueError("a record is shorter than k")
+    node = np.zeros(len(n), np.int64)
+    for t in range(k):
+        out[to + t] = given[at]
+        node = node << 2 | given[at]
+        at += 1
+    for t in range(k, int(n[0]) if len(n) else 0):
+        m = int(np.searchsorted(-n, -t))  # the first m are longer than t
+        own = node[:m]
+        i = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
+        if not len(nodes) or (nodes[i] != own).any():
             raise ValueError("no successor: the edges are not those of the encoded sequence")
-        mask = int(masks[i])
-        if mask & (mask - 1):
-            if at + step > len(brc):
-                raise ValueError("the record ends before its length is reached")
-            base = codec.BASES.index(brc[at + step - 1])
-            at += step
-        else:
-            base = mask.bit_length() - 1
-            if branches is not None:
-                edge = node << 2 | base
-                j = int(np.searchsorted(branches, edge))
-                at += step * (j < len(branches) and int(branches[j]) == edge)
-        out.append(codec.BASES[base])
-        node = (node << 2 | base) & low
-    return "".join(out)
+        mask = masks[i]
+        many = (mask & (mask - 1)) != 0
+        base = _FORCED[mask]
+        item = at[:m] + step - 1
+        if (item[many] >= end[:m][many]).any():
+            raise ValueError("a record ends before its length is reached")
+        base[many] = given[item[many]]
+        used = many
+        if branches is not None and len(branches):
+            edge = own << 2 | base
+            used = many | (branches[np.minimum(np.searchsorted(branches, edge), len(branches) - 1)] == edge)
+        at[:m] += step * used
+        out[to[:m] + t] = base
+        node[:m] = (own << 2 | base) & low
+    text = np.frombuffer(codec.BASES.encode(), np.uint8)[out].tobytes().decode()
+    made = [""] * len(brcs)
+    for j, i in enumerate(order):
+        made[i] = text[to[j] : to[j] + n[j]]
+    return made
 
 
 def restore(brcs: DataFrame, edges: DataFrame, kp1: int, kmer_format: bool = False, branch_set: DataFrame | None = None, max_edges: int = MAX_EDGES) -> DataFrame:
     """(seq_id, seq) from walk's records and the graph's edges(code).
 
     Every base depends on the k before it, so a record is decoded in one pass by
-    one task, against the successors of all k-mers.  They are broadcast as two
+    one task, along with the others of its batch, against the successors of all k-mers.  They are broadcast as two
     sorted arrays, once their number is checked; past ``max_edges`` this raises,
     and the graph must be split by sequence group first.
     """
@@ -115,15 +135,18 @@ def restore(brcs: DataFrame, edges: DataFrame, kp1: int, kmer_format: bool = Fal
     if n > max_edges or (branch_set is not None and branch_set.count() > max_edges):
         raise ValueError(f"{n} k-mers have successors; at most {max_edges} are broadcast")
     table = succ.select("kmer", F.col("mask").cast("byte").alias("mask")).toArrow()
-    nodes, masks = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy().astype(np.uint8)
+    nodes, masks = table.column(0).to_numpy(), table.column(1).to_numpy().astype(np.uint8)
     order = np.argsort(nodes)
-    own = None if branch_set is None else np.sort(branch_set.select("code").distinct().toArrow().column(0).to_numpy().view(np.uint64))
+    own = None if branch_set is None else np.sort(branch_set.select("code").distinct().toArrow().column(0).to_numpy())
     shared = brcs.sparkSession.sparkContext.broadcast((nodes[order], masks[order], own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, masks, own = shared.value
         for b in batches:
-            out = [t if kind == "bad" else restore_record(t, n, k, nodes, masks, own, kmer_format) for n, kind, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            n, kinds, out = (b.column(i).to_pylist() for i in (2, 3, 4))
+            good = [i for i, kind in enumerate(kinds) if kind == "good"]
+            for i, text in zip(good, restore_records([out[i] for i in good], [n[i] for i in good], k, nodes, masks, own, kmer_format), strict=True):
+                out[i] = text
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["seq_id", "brc_id", "piece"])
 
     kind = brcs.schema["seq_id"].dataType.simpleString()

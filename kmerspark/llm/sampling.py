@@ -15,7 +15,13 @@ def held_out() -> Column:
 def sample_per_label(labelled: DataFrame, label: str, most: int, seed: int = 42) -> DataFrame:
     """(doc_id, label) of at most ``most`` rows of each label, the first by a hash of doc_id.
 
-    The rank is limited before the shuffle, so a hot label costs a task no more than the rest.
+    Labels are counted first, and only rows whose hash is low enough for twice
+    as many as wanted go on to be ranked, so no task ranks a hot label whole.
+    The counts are broadcast: a classifier has weights for each label in any case.
     """
-    first = W.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    return labelled.select("doc_id", label).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= most).drop("_rank")
+    keyed = labelled.select("doc_id", label, F.xxhash64(F.lit(seed), "doc_id").alias("_hash"))
+    counts = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.shiftrightunsigned("_hash", 33) / float(1 << 31)
+    low = keyed.join(F.broadcast(counts), label).where(share * F.col("_n") < 2 * most)
+    first = W.partitionBy(label).orderBy(share, "_hash", "doc_id")
+    return low.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= most).select("doc_id", label)

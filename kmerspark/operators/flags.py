@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kmerspark.operators.graph import branch_positions
-from kmerspark.operators.windows import _CODE
+from kmerspark.operators.windows import _CODE, BATCH
 
 
 def with_branches(seqs: DataFrame, branches: DataFrame, kp1: int) -> DataFrame:
@@ -43,12 +43,16 @@ def each_sequence(marked: DataFrame, make: Callable[[str, np.ndarray], dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            held, which, n = [], [], 0
             for i in range(b.num_rows):
                 out = make(b.column(1)[i].as_py(), b.column(2)[i].values.to_numpy(zero_copy_only=False) if len(b.column(2)[i]) else np.zeros(0, np.int32))
-                n = len(out[names[0]])
-                if n:
-                    own = b.column(0).slice(i, 1).take(pa.array(np.zeros(n, np.int64)))
-                    yield pa.RecordBatch.from_arrays([own, *(pa.array(out[name], t) for name, _, t in schema)], ["seq_id", *names])
+                held.append(out)
+                which.append(np.full(len(out[names[0]]), i))
+                n += sum(map(len, out[names[-1]])) if schema[-1][1] == "string" else len(out[names[0]])
+                if n >= BATCH or i == b.num_rows - 1:
+                    own = b.column(0).take(pa.array(np.concatenate(which)))
+                    yield pa.RecordBatch.from_arrays([own, *(pa.array([x for o in held for x in o[name]], t) for name, _, t in schema)], ["seq_id", *names])
+                    held, which, n = [], [], 0
 
     return marked.select("seq_id", "seq", "at").mapInArrow(run, ", ".join([f"seq_id {kind}", *(f"{n} {t}" for n, t, _ in schema)]))
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from kmerspark.functions.codec import check_k
 
 BLOCK = 1 << 16
+#: Windows that a task hands back at once.
+BATCH = 1 << 18
 _CODE = np.full(256, 4, np.uint8)
 for _i, _b in enumerate(b"ACGT"):
     _CODE[[_b, _b + 32]] = _i
@@ -59,11 +61,17 @@ def kmer_codes(seqs: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
+            held, which, n = [], [], 0
+            for i, at in enumerate(b.column(1).to_pylist()):
                 place, code = block_codes(np.frombuffer(b.column(2)[i].as_buffer(), np.uint8), k)
-                if len(place):
-                    which = pa.array(np.zeros(len(place), np.int64))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1).take(which), pa.array(place + b.column(1)[i].as_py()), pa.array(code)], ["seq_id", "pos", "code"])
+                held.append((place + at, code))
+                which.append(np.full(len(place), i))
+                n += len(place)
+                if n >= BATCH or i == b.num_rows - 1:
+                    if n:
+                        own = b.column(0).take(pa.array(np.concatenate(which)))
+                        yield pa.RecordBatch.from_arrays([own, *(pa.array(np.concatenate(c)) for c in zip(*held, strict=True))], ["seq_id", "pos", "code"])
+                    held, which, n = [], [], 0
 
     return blocks(seqs, k, size).mapInArrow(run, f"seq_id {kind}, pos long, code long")
 

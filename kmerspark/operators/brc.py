@@ -7,6 +7,7 @@ the whole k+1-mers there).  What lies between good segments is kept as it is.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,10 +70,39 @@ def segments(seqs: DataFrame, kp1: int) -> DataFrame:
 
 #: The base that a mask with one bit stands for.
 _FORCED = np.array([0, 0, 1, 0, 2, 0, 0, 0, 3] + [0] * 7, np.int64)
+#: Records that are left when each is decoded alone: a step of fewer costs more in arrays than base by base.
+ALONE = 24
+
+
+def _rest_of_record(out: np.ndarray, node: int, items: np.ndarray, low: int, step: int, nodes: memoryview, masks: memoryview, branches: memoryview | None) -> None:
+    """Fill out with the bases that follow k-mer node; items: what is left of the record's text, as codes."""
+    given, made, at = items.tobytes(), bytearray(len(out)), step - 1
+    forced = _FORCED.tolist()
+    for t in range(len(made)):
+        i = bisect_left(nodes, node)
+        if i == len(nodes) or nodes[i] != node:
+            raise ValueError("no successor: the edges are not those of the encoded sequence")
+        mask = masks[i]
+        if mask & (mask - 1):
+            if at >= len(given):
+                raise ValueError("a record ends before its length is reached")
+            base = given[at]
+            at += step
+        else:
+            base = forced[mask]
+            if branches is not None:
+                edge = node << 2 | base
+                edge -= (edge >> 63) << 64  # as a signed long
+                j = bisect_left(branches, edge)
+                if j < len(branches) and branches[j] == edge:
+                    at += step
+        made[t] = base
+        node = (node << 2 | base) & low
+    out[:] = np.frombuffer(bytes(made), np.uint8)
 
 
 def restore_records(brcs: list[str], lengths: list[int], k: int, nodes: np.ndarray, masks: np.ndarray, branches: np.ndarray | None, kmer_format: bool) -> list[str]:
-    """The bases of good records, all decoded in step: one search a base for all that are not done.
+    """The bases of good records, decoded in step, one search a base for all that are not done; the last and longest few alone.
 
     nodes, branches: sorted codes as signed longs.  branches: None if the records
     were written with all multi-out edges, whose k-mers have several successors;
@@ -96,6 +126,11 @@ def restore_records(brcs: list[str], lengths: list[int], k: int, nodes: np.ndarr
         at += 1
     for t in range(k, int(n[0]) if len(n) else 0):
         m = int(np.searchsorted(-n, -t))  # the first m are longer than t
+        if m <= ALONE:
+            views = memoryview(nodes), memoryview(masks), memoryview(branches) if branches is not None and len(branches) else None
+            for j in range(m):
+                _rest_of_record(out[to[j] + t : to[j] + n[j]], int(node[j]), given[at[j] : end[j]].astype(np.uint8), low, step, *views)
+            break
         own = node[:m]
         i = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
         if not len(nodes) or (nodes[i] != own).any():

@@ -248,3 +248,25 @@ def test_codecs(spark):
     assert set(got) == {(1, 0), (1, 1), (1, 2), (3, 0)} and got[3, 0] == "ACGT"
     assert bytes(code((got[1, 0] + got[1, 1] + got[1, 2])[i : i + 4]) for i in range(0, 1024, 4)) == bytes(range(256))
     assert out.where("id = 3").select(compress.bases_to_bytes(F.col("bases"))).first()[0] == b"\x1b"
+
+
+@pytest.mark.parametrize("kp1", [4, 9, 32])
+@pytest.mark.parametrize("kmer_format", [False, True])
+def test_records_decode_alike_in_step_and_alone(spark, monkeypatch, kp1, kmer_format):
+    rng = random.Random(kp1)
+    unit = "".join(rng.choice("ACGT") for _ in range(50))
+    rows = [(i, "T" * (40 * (i == 0)) + "".join(unit[rng.randrange(10) :] for _ in range(rng.randint(1, 9)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "seq_id long, seq string")
+    edges = kmer_codes(df, kp1).select("code").distinct()
+    o = graph.multi_out(edges)
+    both = sets.merge([o, graph.multi_in(edges, kp1)], distinct=True)
+    table = sorted(tuple(r) for r in graph.successor_masks(edges).collect())
+    nodes, masks = np.array([r[0] for r in table]), np.array([r[1] for r in table], np.uint8)
+    for used, skip in ((o, None), (both, np.sort(np.array([r.code for r in both.collect()], np.int64)))):
+        records = sorted(brc.walk(df, used, kp1, kmer_format).where("type = 'good'").collect(), key=lambda r: r.seq_id)
+        texts, lengths = [r.brc for r in records], [r.len for r in records]
+        for alone in (0, 7, 1000):
+            monkeypatch.setattr(brc, "ALONE", alone)
+            assert brc.restore_records(texts, lengths, kp1 - 1, nodes, masks, skip, kmer_format) == [s for _, s in rows]
+            with pytest.raises(ValueError):
+                brc.restore_records(texts, [n + 1000 for n in lengths], kp1 - 1, nodes, masks, skip, kmer_format)

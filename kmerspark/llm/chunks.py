@@ -83,6 +83,14 @@ def cuts(data: np.ndarray) -> list[int]:
     return ends
 
 
+def _whole(data: np.ndarray, ends: list[int]) -> list[int]:
+    """ends, moved on to where a character of the UTF-8 text begins."""
+    out = np.array(ends)
+    for _ in range(3):
+        out += (out < len(data)) & (data[np.minimum(out, len(data) - 1)] & 0xC0 == 0x80)
+    return np.unique(out).tolist()
+
+
 def chunked(docs: DataFrame) -> DataFrame:
     """(doc_id, row, idx, start, size, words, digest) of every chunk; row tells rows of docs apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -96,7 +104,7 @@ def chunked(docs: DataFrame) -> DataFrame:
                 if not raw:
                     continue
                 data = np.frombuffer(raw, np.uint8)
-                ends = cuts(data)
+                ends = _whole(data, cuts(data))
                 starts = [0, *ends[:-1]]
                 space = _SPACE[data]
                 heads = ~space
@@ -120,26 +128,33 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     doc_id, start and size (bytes of the UTF-8 text), words, n_chunks, and
     first_doc_id: the smallest doc_id with the run's first chunk, or this one's
-    own where it is the first itself; is_first says so for the whole run.
+    own where it is the first itself; is_first says so for the whole run.  parts
+    tells the run apart, in order, wherever the first document of its chunks
+    changes: start, size, words, n_chunks and first_doc_id, for all its chunks.
     """
     chunks = materialize(chunked(docs), "chunks")
     seen = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id <> last").drop("last")
     shared = chunks.join(seen, "digest")
     place = W.partitionBy("row").orderBy("idx")
-    islands = shared.withColumn("island", F.col("idx") - F.row_number().over(place))
-    runs = islands.groupBy("row", "doc_id", "island").agg(
-        F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("n_chunks"),
-        F.min_by("first_doc_id", "idx").alias("first_doc_id"), F.bool_and(F.col("first_doc_id") == F.col("doc_id")).alias("is_first"),
+    turns = F.coalesce(F.lag("first_doc_id").over(place) != F.col("first_doc_id"), F.lit(False)).cast("int")
+    islands = shared.withColumns({"island": F.col("idx") - F.row_number().over(place), "turn": turns})
+    parts = islands.withColumn("part", F.sum("turn").over(place.rowsBetween(W.unboundedPreceding, W.currentRow))).groupBy("row", "doc_id", "island", "part", "first_doc_id").agg(
+        F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("n_chunks")
+    )
+    runs = parts.groupBy("row", "doc_id", "island").agg(
+        F.min("start").alias("start"), F.sum("size").alias("size"), F.sum("words").alias("words"), F.sum("n_chunks").alias("n_chunks"),
+        F.min_by("first_doc_id", "part").alias("first_doc_id"), F.bool_and(F.col("first_doc_id") == F.col("doc_id")).alias("is_first"),
+        F.sort_array(F.collect_list(F.struct("start", "size", "words", "n_chunks", "first_doc_id"))).alias("parts"),
     )
-    return runs.where((F.col("words") >= min_words) & (F.col("n_chunks") >= 2)).select("row", "doc_id", "start", "size", "words", "n_chunks", "first_doc_id", "is_first")
+    return runs.where((F.col("words") >= min_words) & (F.col("n_chunks") >= 2)).select("row", "doc_id", "start", "size", "words", "n_chunks", "first_doc_id", "is_first", "parts")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs(doc_id, text, ...) without repeated passages that a smaller doc_id holds first.
+    """docs(doc_id, text, ...) without repeated passages that a smaller doc_id holds first; a chunk stays where it is first.
 
     doc_id must be unique here: it joins a document to its passages.
     """
-    spans = repeated_passages(docs, min_words).where("NOT is_first").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("_spans"))
+    spans = repeated_passages(docs, min_words).select("doc_id", F.inline("parts")).where("first_doc_id <> doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("_spans"))
     raw = F.col("text").cast("binary")
     # what lies between the spans, and after the last
     gaps = F.expr("transform(_spans, (s, i) -> struct(IF(i = 0, 0, _spans[i - 1].start + _spans[i - 1].size) AS a, s.start AS b))")

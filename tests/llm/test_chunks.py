@@ -69,3 +69,25 @@ def test_removal_keeps_the_first(spark):
     assert out[3] == before[3] and out[200] is None and out[201] == "" and out[5] == before[5]
     middle = passage[120:320]
     assert middle in out[3] and middle not in out[17] and middle not in out[21]
+
+
+def test_text_that_is_first_in_a_run_survives(spark):
+    rng = random.Random(6)
+    a, b = words(rng, 60), words(rng, 60)
+    docs = {3: f"{words(rng, 40)} {a} {words(rng, 40)}", 5: f"{a} {b}", 9: f"{a} {b}"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = chunks.chunked(df).collect()
+    kept = {r.doc_id: r.text for r in chunks.remove_repeats(df).collect()}
+    assert all(any(docs[r.doc_id].encode()[r.start : r.start + r.size] in t.encode() for t in kept.values()) for r in rows)
+    assert kept[3] == docs[3] and b[60:] in kept[5] and a[60:-60] not in kept[5] and kept[9] == ""
+    found = chunks.repeated_passages(df).collect()
+    assert {(r.doc_id, p.first_doc_id) for r in found for p in r.parts} == {(3, 3), (5, 3), (5, 5), (9, 3), (9, 5)}
+    assert all([(p.start + p.size) for p in r.parts[:-1]] == [p.start for p in r.parts[1:]] and sum(p.size for p in r.parts) == r.size for r in found)
+
+
+def test_removal_of_text_with_wide_characters(spark):
+    rng = random.Random(8)
+    passage = "".join(rng.choices("äéßжд語 ", k=500))
+    docs = {i: f"{words(rng, 40)} {passage} {words(rng, 40)}" for i in range(4)}
+    out = {r.doc_id: r.text for r in chunks.remove_repeats(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert out[0] == docs[0] and all("\ufffd" not in t and passage[100:400] not in t and set(t) <= set(docs[i]) for i, t in out.items() if i)

@@ -573,7 +573,10 @@ def huffman_bits(spark: SparkSession, sf: str) -> DataFrame:
 def _block(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks of 32 conversations' first 12 columns: rows of one width, padded with N."""
     seqs = tables.conversations(spark, sf)
-    return seqs.select(F.floor(F.col("seq_id") / 32000).alias("block"), F.col("seq_id").alias("row"), F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 12))).alias("part"), "seq").where("length(seq) > 0").select("block", (F.col("row") * 100000 + F.col("part")).alias("row"), F.rpad(F.expr("substring(seq, CAST(part * 12 + 1 AS INT), 12)"), 12, "N").alias("s"))
+    # a late turn's row, or a long text's later one, lies below zero; rows are told apart within their block
+    row = F.expr("IF(row >= 0 AND part < 100000, row * 100000 + part, -1 - (pmod(row, 32000) * 1099511627776 + part))")
+    block = F.expr("(seq_id - pmod(seq_id, 32000)) DIV 32000")
+    return seqs.select(block.alias("block"), F.col("seq_id").alias("row"), F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 12))).alias("part"), "seq").where("length(seq) > 0").select("block", row.alias("row"), F.rpad(F.expr("substring(seq, CAST(part * 12 + 1 AS INT), 12)"), 12, "N").alias("s"))
 
 
 _PB = "pb AS (SELECT CAST(floor(seq_id / 32000) AS BIGINT) AS block, seq_id * 100000 + part AS row, rpad(substr(seq, part * 12 + 1, 12), 12, 'N') AS s FROM (SELECT seq_id, seq, unnest(range(0, (length(seq) + 11) // 12)) AS part FROM C WHERE length(seq) > 0))"

@@ -22,9 +22,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("seq_id"), to_bases(F.col("text")).alias("seq"), "lang", "source")
 
 
+def turn_id(conv_id: Column, turn: Column) -> Column:
+    """One long for a turn of a conversation, different for any two of them.
+
+    Up to turn 999 it is conv_id * 1000 + turn; later turns lie below zero, where
+    no such number is.  Ids that do not fit raise; it is null where either is.
+    """
+    early = (turn < 1000) & (conv_id < 1 << 53)
+    fits = (turn >= 0) & (conv_id >= 0) & (early | ((turn >= 1000) & (turn < 1 << 31) & (conv_id < 1 << 32)))
+    wide = -1 - (conv_id.cast("long") * (1 << 31) + turn)
+    return F.when(~fits, F.raise_error(F.concat(F.lit("no sequence id for turn "), turn.cast("string"), F.lit(" of conversation "), conv_id.cast("string"))).cast("long")).when(early, conv_id * 1000 + turn).otherwise(wide)
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, seq, role) of the turns of conversations."""
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq_id"), to_bases(F.col("text")).alias("seq"), "role")
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select(turn_id(F.col("conv_id"), F.col("turn")).alias("seq_id"), to_bases(F.col("text")).alias("seq"), "role")
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

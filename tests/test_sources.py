@@ -1,14 +1,17 @@
 """File sources, streaming and the command line."""
 
 import gzip
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kmerspark.functions import codec
-from kmerspark.jobs import cli
-from kmerspark.operators import counting
+from kmerspark.jobs import catalog, cli
+from kmerspark.operators import brc, counting, graph
+from kmerspark.operators.windows import kmer_codes
 from kmerspark.ranks import numbered_within, ranked, salt_of
-from kmerspark.sources import fasta, mer, sam
+from kmerspark.sources import fasta, mer, sam, tables
 from kmerspark.streaming.counting import streaming_counts
 
 
@@ -84,3 +87,24 @@ def test_numbering(spark):
     assert sorted(r.n for r in out if r.g == "a") == list(range(500)) and sorted(r.n for r in out if r.g == "b") == [0, 1, 2]
     got = ranked(df.repartition(5), ["x", "g"], "n").orderBy("n").collect()
     assert [r.n for r in got] == list(range(503)) and [(r.x, r.g) for r in got] == sorted((r.x, r.g) for r in got)
+
+
+def test_turns_of_long_conversations_stay_apart(spark, tmp_path):
+    rng = random.Random(2)
+    text = lambda: "".join(rng.choices("abcdefg \n", k=rng.randint(20, 60)))
+    rows = [(c, t, "user", text()) for c, n in ((7, 1500), (8, 600), (9, 2)) for t in range(n)]
+    rows.append((1 << 31, 1200, "user", text()))
+    rows.append((9, 2, "user", "ab" * 700_000))  # more parts than 100,000 of 12 columns
+    rows.append((9, 3, "user", text()))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    at, seqs = str(tmp_path), tables.conversations(spark, str(tmp_path))
+    ids = [r.seq_id for r in seqs.select("seq_id").collect()]
+    assert len(set(ids)) == len(rows) and {7 * 1000 + t for t in range(1000)} | {8 * 1000 + t for t in range(600)} <= set(ids)
+    block = catalog._block(spark, at)
+    assert block.select("block", "row").distinct().count() == block.count()
+    short = seqs.where("length(seq) < 100")
+    kmers = kmer_codes(short, 9).select("code").distinct()
+    back = brc.restore(brc.walk(short, graph.multi_out(kmers), 9), kmers, 9)
+    assert sorted(map(tuple, back.select("seq_id", "seq").collect())) == sorted(map(tuple, short.select("seq_id", "seq").collect()))
+    with pytest.raises(Exception, match="no sequence id"):
+        spark.range(1).select(tables.turn_id(F.lit(-1), F.lit(0))).collect()

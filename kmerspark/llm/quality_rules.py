@@ -1,10 +1,11 @@
 """Quality rules under weak supervision.
 
-Each rule looks at counts of one document and votes good, votes bad or
-abstains.  How far a rule can be trusted is not set by hand: expectation-
-maximisation over the vote patterns of the whole corpus estimates, for each
-rule, how often its votes are right, and the posterior probability of "good"
-replaces the demand that all rules pass.
+Each rule looks at counts of one document and votes good, votes bad or, in
+between, abstains.  How far a rule's votes can be trusted is not set by hand:
+expectation-maximisation over the vote patterns of the whole corpus estimates,
+for each rule, how often it votes good on good documents and on bad ones, and
+the posterior probability of "good" replaces the demand that all rules pass: a
+sign that the other rules' votes contradict often enough is outvoted by them.
 
 Everything is built from DataFrame functions.  Documents meet the model only
 through their vote pattern.  There are at most 3 ** len(RULES) patterns, so the
@@ -20,6 +21,7 @@ are not looked at.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -39,25 +41,26 @@ def _share(n: str, of: str) -> Column:
 def rules() -> dict[str, Column]:
     """The rules, as columns over the counts of count_columns().
 
-    All but the last look for one sign of junk each and otherwise abstain; the
-    last vouches for documents well clear of every sign.
+    Each looks at one sign of junk: it votes good well clear of it and bad where
+    it is strong.
     """
     symbols, letters, bars = _share("n_symbols", "n_words"), _share("n_letters", "word_chars"), _share("n_bars", "n_words")
     capitals, bangs = _share("n_upper", "word_chars"), _share("n_bangs", "n_words")
     repeats, lines, length = _share("n_repeat_words", "n_words"), _share("n_dup_lines", "n_lines"), _share("word_chars", "n_words")
-    bad = {
-        "symbols": symbols > 0.25,
-        "few_letters": letters < 0.75,
-        "bars": bars > 0.15,
-        "repeats": repeats > 0.4,
-        "dup_lines": lines > 0.3,
-        "variety": _share("n_distinct", "n_words") < 0.12,
-        "capitals": capitals > 0.3,
-        "shouting": bangs > 0.3,
-        "word_length": (length < 2.5) | (length > 14),
+    variety, line = _share("n_distinct", "n_words"), _share("n_words", "n_lines")
+    signs = {
+        "symbols": (symbols < 0.05, symbols > 0.25),
+        "few_letters": (letters > 0.85, letters < 0.75),
+        "bars": (bars < 0.03, bars > 0.15),
+        "repeats": (repeats < 0.2, repeats > 0.4),
+        "dup_lines": (lines < 0.1, lines > 0.3),
+        "variety": (variety > 0.25, variety < 0.12),
+        "capitals": (capitals < 0.12, capitals > 0.3),
+        "shouting": (bangs < 0.1, bangs > 0.3),
+        "word_length": (length.between(3, 12), (length < 2.5) | (length > 14)),
+        "short_lines": (line >= 6, line < 2.5),
     }
-    prose = (symbols < 0.05) & (letters > 0.85) & (bars < 0.03) & (repeats < 0.2) & (lines < 0.1) & (capitals < 0.12) & (bangs < 0.1) & length.between(3, 12)
-    return {name: F.when(c, BAD).otherwise(ABSTAIN) for name, c in bad.items()} | {"prose": F.when(prose, GOOD).otherwise(ABSTAIN)}
+    return {name: F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN) for name, (good, bad) in signs.items()}
 
 
 def count_columns(docs: DataFrame) -> DataFrame:
@@ -100,45 +103,50 @@ def vote_pattern(counts: DataFrame) -> DataFrame:
     return counts.withColumn("pattern", sum((v * 3**j for j, v in enumerate(rules().values())), F.lit(0)).cast("int"))
 
 
-def posteriors(patterns: DataFrame, iterations: int = 40, prior: float = 0.5, accuracy: float = 0.8, pseudo: float = 10.0) -> DataFrame:
+def posteriors(patterns: DataFrame, iterations: int = 40, prior: float = 0.5, on_good: float = 0.9, on_bad: float = 0.6, pseudo: float = 10.0) -> DataFrame:
     """(pattern, posterior) from (pattern, n), by expectation-maximisation.
 
-    A rule that votes is right with a probability of its own, whatever the
-    document; whether it votes says nothing.  The state of one fold over 2 x
-    iterations is the posterior of each pattern and the rules' accuracies; even
-    steps re-estimate the first, odd steps the second.  ``pseudo`` votes at the
-    starting accuracy are added to each rule's.  The share of good documents is
-    given, not fitted: fitted along with rules that mostly abstain, it drifts to
-    one and takes the accuracies with it.
+    A rule that votes says good with one probability on good documents and with
+    another on bad ones; whether it votes says nothing.  There are two, and not
+    one accuracy, because junk shows few of the signs: most rules vote good on
+    it too, and such votes must not count as much as a sign that good documents
+    hardly ever show.  The state of one fold over 2 x iterations is the posterior
+    of each pattern and the rules' probabilities; even steps re-estimate the
+    first, odd steps the second.  ``pseudo`` votes at the starting values, on_good
+    and on_bad, are added to each rule's.  The share of good documents is given,
+    not fitted: fitted along with the rules, it drifts to one.
     """
     k = len(rules())
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("pattern", F.col("n").cast("double").alias("n")))).alias("ps"))
     digits = lambda p: F.array(*[(F.floor(p["pattern"] / 3**j) % 3).cast("int") for j in range(k)])
     one = one.select(F.transform("ps", lambda p: F.struct(p["pattern"].alias("pattern"), p["n"].alias("n"), digits(p).alias("v"))).alias("ps"))
     which = F.sequence(F.lit(0), F.lit(k - 1))
-    start = F.struct(F.transform("ps", lambda p: F.lit(0.0)).alias("q"), F.array(*[F.lit(accuracy)] * k).alias("right"))
+    start = F.struct(F.transform("ps", lambda p: F.lit(0.0)).alias("q"), F.array(*[F.lit(on_good)] * k).alias("good"), F.array(*[F.lit(on_bad)] * k).alias("bad"))
 
     def expect(s: Column) -> Column:
         def log_odds(p: Column) -> Column:
             def vote(a: Column, j: Column) -> Column:
-                v, right = F.get(p["v"], j), F.get(s["right"], j)
-                return a + F.when(v == GOOD, F.log(right / (1 - right))).when(v == BAD, F.log((1 - right) / right)).otherwise(0.0)
+                v, good, bad = F.get(p["v"], j), F.get(s["good"], j), F.get(s["bad"], j)
+                return a + F.when(v == GOOD, F.log(good / bad)).when(v == BAD, F.log((1 - good) / (1 - bad))).otherwise(0.0)
 
             return F.aggregate(which, F.lit(math.log(prior / (1 - prior))), vote)
 
         q = F.transform("ps", lambda p: 1 / (1 + F.exp(-log_odds(p))))
-        return F.struct(q.alias("q"), s["right"].alias("right"))
+        return F.struct(q.alias("q"), s["good"].alias("good"), s["bad"].alias("bad"))
 
     def total(cells: Column) -> Column:
         return F.aggregate(cells, F.lit(0.0), lambda a, x: a + x)
 
     def maximise(s: Column) -> Column:
-        def right(j: Column) -> Column:
-            agreed = F.transform("ps", lambda p, i: p["n"] * F.when(F.get(p["v"], j) == GOOD, F.get(s["q"], i)).when(F.get(p["v"], j) == BAD, 1 - F.get(s["q"], i)).otherwise(0.0))
-            voted = F.transform("ps", lambda p: F.when(F.get(p["v"], j) != ABSTAIN, p["n"]).otherwise(0.0))
-            return (total(agreed) + pseudo * accuracy) / (total(voted) + pseudo)
+        def says_good(weight: Callable[[Column], Column], first: float) -> Column:
+            def of(j: Column) -> Column:
+                said = F.transform("ps", lambda p, i: F.when(F.get(p["v"], j) == GOOD, p["n"] * weight(i)).otherwise(0.0))
+                voted = F.transform("ps", lambda p, i: F.when(F.get(p["v"], j) != ABSTAIN, p["n"] * weight(i)).otherwise(0.0))
+                return (total(said) + pseudo * first) / (total(voted) + pseudo)
 
-        return F.struct(s["q"].alias("q"), F.transform(which, right).alias("right"))
+            return F.transform(which, of)
+
+        return F.struct(s["q"].alias("q"), says_good(lambda i: F.get(s["q"], i), on_good).alias("good"), says_good(lambda i: 1 - F.get(s["q"], i), on_bad).alias("bad"))
 
     steps = F.sequence(F.lit(0), F.lit(2 * iterations))
     fitted = one.select("ps", F.aggregate(steps, start, lambda s, i: F.when(i % 2 == 0, expect(s)).otherwise(maximise(s))).alias("m"))

@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 
 from kmerspark.llm.decontaminate import decontamination_report, remove_documents, remove_spans
 from kmerspark.llm.mixing import fit_budget, mix_sources, mixed_documents
-from kmerspark.llm.quality_rules import quality_rules
+from kmerspark.llm.quality_rules import count_columns, quality_rules, rules, vote_pattern
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -35,6 +35,20 @@ def test_quality_verdicts(spark):
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
 
 
+def test_quality_votes_can_outvote_a_sign(spark):
+    rng = random.Random(5)
+    words = lambda n: [rng.choice("bcdfgl") + rng.choice("aeiou") + rng.choice("mnrst") + rng.choice("aeiou") + rng.choice("klmp") for _ in range(n)]
+    clean = [" ".join(words(120)) for _ in range(400)]
+    loud = [" ".join(w.upper() for w in words(120)) for _ in range(60)]
+    junk = [" ".join(f"{w} ##|| %%$" for w in words(60)) for _ in range(40)]
+    rows = list(enumerate(clean + loud + junk))
+    got = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] for i in range(460)) and not any(got[i] for i in range(460, 500))
+    votes = vote_pattern(count_columns(spark.createDataFrame(rows[400:460], "doc_id long, text string"))).select("pattern").collect()
+    place = list(rules()).index("capitals")
+    assert all(r.pattern // 3**place % 3 == 2 for r in votes)
+
+
 def test_quality_empty(spark):
     assert quality_rules(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -14,14 +14,15 @@ expression, and the posteriors are joined back by a broadcast of that bound.
 
 Defined results: a null text counts as an empty one (all counts 0, base_failed);
 an empty text fails the base; a row repeated in the input is repeated in the
-output; an empty table gives an empty table; columns besides doc_id and text
-are not looked at.
+output, and each row is judged by itself, also where doc_id is null or repeated;
+an empty table gives an empty table; columns besides doc_id and text are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -63,18 +64,18 @@ def rules() -> dict[str, Column]:
     return {name: F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN) for name, (good, bad) in signs.items()}
 
 
-def count_columns(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that the rules use, one row per input row.
+def count_columns(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The counts that the rules use, one row per input row, and the columns to keep, as the struct doc.
 
     Repeated three-word windows are found inside the row.  Places are sorted by
     the upper bits of their window's hash, as plain longs; only places whose bits
     meet again are compared as words, so the count is exact and costs little on
     text that does not repeat.
     """
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    split = text.select("doc_id", "t", F.array_remove(F.split("t", SPACE + "+"), "").alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("ls"))
+    text = docs.select(F.struct(*keep).alias("doc"), F.coalesce("text", F.lit("")).alias("t"))
+    split = text.select("doc", "t", F.array_remove(F.split("t", SPACE + "+"), "").alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("ls"))
     counts = split.select(
-        "doc_id",
+        "doc",
         "w",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -95,7 +96,7 @@ def count_columns(docs: DataFrame) -> DataFrame:
     windows = seen.withColumn("g", F.expr(f"sort_array(transform(c, x -> struct(concat_ws(' ', slice(w, CAST(x & {(1 << PLACE_BITS) - 1} AS INT) + 1, 3)) AS g, CAST(x & {(1 << PLACE_BITS) - 1} AS INT) AS p)))"))
     places = windows.withColumn("p", F.expr("sort_array(transform(filter(g, (x, i) -> (i > 0 AND g[i - 1].g = x.g) OR (i < size(g) - 1 AND g[i + 1].g = x.g)), x -> x.p))"))
     covered = F.expr("IF(size(p) = 0, 0, 3 + aggregate(transform(p, (x, i) -> IF(i = 0, 0, least(3, x - p[i - 1]))), 0, (a, x) -> a + x))")
-    return places.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"), "n_lines", "n_upper", "n_letters", "n_bangs", "n_bars", "n_distinct")
+    return places.select("doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"), "n_lines", "n_upper", "n_letters", "n_bangs", "n_bars", "n_distinct")
 
 
 def vote_pattern(counts: DataFrame) -> DataFrame:
@@ -153,6 +154,15 @@ def posteriors(patterns: DataFrame, iterations: int = 40, prior: float = 0.5, on
     return fitted.select(F.explode(F.arrays_zip(F.col("ps.pattern").alias("pattern"), F.col("m.q").alias("q"))).alias("x")).select(F.col("x.pattern").alias("pattern"), F.col("x.q").alias("posterior"))
 
 
+def _judged(docs: DataFrame, keep: Sequence[str], threshold: float = 0.5, iterations: int = 40, min_words: int = 50) -> DataFrame:
+    """The written counts of docs with base_failed, posterior and kept; the posteriors meet the rows by a broadcast."""
+    counts = materialize(vote_pattern(count_columns(docs, keep)), "quality-counts")
+    model = posteriors(counts.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), iterations)
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    judged = counts.join(F.broadcast(model), "pattern", "left")  # at most 3 ** len(rules()) rows
+    return judged.withColumns({"base_failed": failed, "kept": ~failed & (F.col("posterior") >= threshold)})
+
+
 def quality_rules(docs: DataFrame, threshold: float = 0.5, iterations: int = 40, min_words: int = 50) -> DataFrame:
     """One row per row of docs(doc_id, text): the counts, base_failed, posterior, kept.
 
@@ -160,19 +170,10 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5, iterations: int = 40,
     repeated three-word windows.  kept: not base_failed, and the posterior
     probability of a good document is at least threshold.
     """
-    counts = materialize(vote_pattern(count_columns(docs)), "quality-counts")
-    model = posteriors(counts.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), iterations)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        counts.join(F.broadcast(model), "pattern", "left")  # at most 3 ** len(rules()) rows
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("posterior") >= threshold)).alias("kept"), "posterior")
-    )
+    judged = _judged(docs, ["doc_id"], threshold, iterations, min_words)
+    return judged.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
 def keep_good(docs: DataFrame, **kw) -> DataFrame:
-    """docs without the rejected ones.
-
-    Rows that share a doc_id go together if any of them is rejected; rows without one are judged by themselves only as a group of that kind and stay.
-    """
-    rejected = quality_rules(docs, **kw).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    """docs without the rejected rows: each row carries its text along with its counts, so nothing is joined by an id."""
+    return _judged(docs, docs.columns, **kw).where("kept").select("doc.*")

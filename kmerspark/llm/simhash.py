@@ -5,16 +5,20 @@ are dealt to shards so that two within the radius meet in at least one: of n
 blocks of bits, at most ``radius`` can differ, so fingerprints that agree on
 some choice of n - radius blocks share that shard.  A shard's fingerprints form
 a BK-tree, whose edges carry the distance of child and parent; a query follows
-only edges within the radius of its own distance.  Large shards are cut into
-several trees, and each of the shard's fingerprints is sent to all of them.
+only edges within the radius of its own distance.  A large shard is dealt anew
+by the bits that its fingerprints need not agree on: cut into radius + 1 parts,
+two within the radius agree on one of them.  What is still large after that is
+cut into several trees, and each of its fingerprints is sent to all of them;
+within the radius of one fingerprint there are no more than sum(C(64, i)) others.
 
 From a shard only a spanning forest of its links leaves, never all pairs, and
 components are joined up across shards by a distributed algorithm.
 
 Defined results: null and empty texts have fingerprint 0, linked like any other;
 exact copies share a fingerprint and so a component; a null doc_id is never a
-component's smallest; repeated rows are returned repeated; an empty table gives
-an empty table; columns besides doc_id and text are not looked at.
+component's smallest, and component_id is null where there is no other; repeated
+rows are returned repeated; an empty table gives an empty table; columns besides
+doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +31,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructType
 
 from kmerspark.llm.components import components
+from kmerspark.rows import fresh, meet, without_rows
 from kmerspark.scratch import materialize
 
 SEED = 42
@@ -60,16 +66,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, name: str = "fp", whole: bool = True) -> DataFrame:
+    """docs(text, ...) with the fingerprint as a signed long in a further column, and without the text unless whole; the text comes first in docs."""
+    own = 0 if whole else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t) for t in b.column(0).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[own:], pa.array(fps)], [*b.schema.names[own:], name])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.mapInArrow(run, StructType(docs.schema.fields[own:]).add(name, LongType()))
 
 
 class Forest:
@@ -153,6 +159,22 @@ def block_plan(n: int, radius: int = RADIUS, mean: int = MEAN_SHARD) -> list[lis
     raise ValueError("radius")
 
 
+def rest_of(fields: list[tuple[int, int]], parts: int) -> list[list[tuple[int, int]]]:
+    """The bits outside the fields, in so many parts of (shift, width) fields."""
+    held = {b for shift, width in fields for b in range(shift, shift + width)}
+    free = [b for b in range(64) if b not in held]
+    out = []
+    for i in range(parts):
+        own: list[tuple[int, int]] = []
+        for b in free[len(free) * i // parts : len(free) * (i + 1) // parts]:
+            if own and sum(own[-1]) == b:
+                own[-1] = (own[-1][0], own[-1][1] + 1)
+            else:
+                own.append((b, 1))
+        out.append(own)
+    return out
+
+
 def links_within(fps: DataFrame, radius: int = RADIUS, max_tree: int = MAX_TREE) -> DataFrame:
     """Links (u, v) of fps(fp), distinct longs, that connect all within the radius of each other.
 
@@ -166,13 +188,21 @@ def links_within(fps: DataFrame, radius: int = RADIUS, max_tree: int = MAX_TREE)
             out = out * (1 << width) + F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1)
         return out
 
+    def large(shards: DataFrame, keys: list[str]) -> DataFrame:
+        return shards.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_tree).select(*keys, F.ceil(F.col("n") / max_tree).cast("int").alias("trees"))
+
     dealt = fps.select("fp", F.posexplode(F.array(*[key(f) for f in plan])).alias("part", "key"))
-    large = dealt.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_tree).select("part", "key", F.ceil(F.col("n") / max_tree).cast("int").alias("trees"))
-    sized = dealt.join(large, ["part", "key"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+    marked = dealt.join(large(dealt, ["part", "key"]), ["part", "key"], "left")
+    again = F.lit(None).cast("array<bigint>")
+    for part, fields in enumerate(plan):
+        again = F.when(F.col("part") == part, F.array(*[key(f) for f in rest_of(fields, radius + 1)])).otherwise(again)
+    anew = marked.select("fp", "part", "key", F.posexplode(F.when(F.col("trees").isNull(), F.array(F.lit(0).cast("long"))).otherwise(again)).alias("sub", "subkey"))
+    shard = ["part", "key", "sub", "subkey"]
+    sized = anew.join(large(anew, shard), shard, "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
-    sent = sized.select("fp", "part", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
-    rows = sent.select("part", "key", "tree", (F.col("own") == F.col("tree")).alias("node"), "fp")
-    spread = rows.repartition("part", "key", "tree").sortWithinPartitions("part", "key", "tree", F.desc("node"), "fp")
+    sent = sized.select("fp", *shard, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
+    rows = sent.select(*shard, "tree", (F.col("own") == F.col("tree")).alias("node"), "fp")
+    spread = rows.repartition(*shard, "tree").sortWithinPartitions(*shard, "tree", F.desc("node"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -190,7 +220,7 @@ def links_within(fps: DataFrame, radius: int = RADIUS, max_tree: int = MAX_TREE)
 
 def _last_group(b: pa.RecordBatch) -> int:
     """Where the batch's last shard starts."""
-    cols = [np.asarray(b.column(i)) for i in range(3)]
+    cols = [np.asarray(b.column(i)) for i in range(5)]
     same = np.logical_and.reduce([c == c[-1] for c in cols]) if b.num_rows else np.zeros(0, bool)
     return b.num_rows - int(same[::-1].argmin()) if b.num_rows and not same.all() else 0
 
@@ -201,9 +231,9 @@ def _search(held: list[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]
     t = pa.Table.from_batches(held).combine_chunks()
     if not t.num_rows:
         return
-    part, key, tree, node = (np.asarray(t.column(i).to_numpy()) for i in range(4))
-    fp = t.column(4).to_numpy().view(np.uint64)
-    shard = np.cumsum(np.concatenate(([True], (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (tree[1:] != tree[:-1])))) - 1
+    *place, node = (np.asarray(t.column(i).to_numpy()) for i in range(6))
+    fp = t.column(6).to_numpy().view(np.uint64)
+    shard = np.cumsum(np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in place])))) - 1
     lone = np.bincount(shard)[shard] < 2
     fp, shard, node = fp[~lone], shard[~lone], node[~lone]
     if not len(fp):
@@ -219,22 +249,33 @@ def _search(held: list[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(fp[out].view(np.int64)), pa.array(fp[root[out]].view(np.int64))], ["u", "v"])
 
 
+def _roots(first: DataFrame, radius: int) -> DataFrame:
+    """first(fp, ...) with the root of each fp's component."""
+    groups = components(links_within(first.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
+    return first.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, fingerprint, component_id."""
-    prints = materialize(fingerprints(docs), "fingerprints")
-    first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    groups = components(links_within(first.select("fp"), radius))
-    grouped = first.join(groups, first["fp"] == groups["node"])
-    smallest = grouped.groupBy("root").agg(F.min("first").alias("least"))
-    named = grouped.select("fp", "root").join(smallest, "root").select("fp", "least")
-    found = first.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = materialize(fingerprints(docs.select("text", "doc_id"), whole=False), "fingerprints")
+    first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    rooted = _roots(first, radius)
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    found = materialize(rooted.join(smallest, "root").select("fp", "n", "component_id"), "components")
+    return meet(prints, found, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id, once.
+    """docs with one row of each component: that of the smallest doc_id, nulls last, then of the least hash of the text.
 
-    Rows without a doc_id cannot be told apart from each other and all stay.
+    Rows are told apart by their numbers, so repeated and null doc_ids are rows
+    like others: two texts that are not near each other both stay.
     """
-    kept = near_duplicates(docs, radius).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    row, fp = fresh("_row", docs.columns), fresh("_fp", docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    tagged = materialize(fingerprints(docs.select("text", *others, F.monotonically_increasing_id().alias(row)), fp), "tagged")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col(row).alias("row"))
+    first = materialize(tagged.select(F.col(fp).alias("fp"), rank.alias("rank")).groupBy("fp").agg(F.min("rank").alias("rank")), "distinct-fingerprints")
+    kept = _roots(first, radius).groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))
+    dropped = materialize(tagged.select(row).join(kept, row, "left_anti"), "dropped")
+    return without_rows(tagged, dropped, row).select(*docs.columns)

@@ -11,7 +11,8 @@ temperature.  Every text is predicted whole.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
 and so is every text where there is nothing to learn from; a null doc_id counts
-as the empty text for the folds; an empty table gives an empty table; columns
+as the empty text for the folds and is not in the sample; rows that share doc_id
+and lang are in the sample once; an empty table gives an empty table; columns
 besides doc_id, text and lang are not looked at.
 """
 
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kmerspark.llm.sampling import held_out, sample_per_label
+from kmerspark.llm.sampling import held_out, sample_per_label, texts_of
 
 #: Buckets that n-grams of 1 to ORDERS characters are hashed to.
 DIM = 1 << 15
@@ -129,7 +130,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     total, df = document_frequencies(known.select("text"))
     idf = np.log((1 + total) / (1 + df)) + 1
     picked = sample_per_label(known, "lang", per_language)  # per_language rows of each language
-    texts = known.join(F.broadcast(picked), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    texts = texts_of(known, picked, ["doc_id", "lang"]).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

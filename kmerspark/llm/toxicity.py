@@ -17,7 +17,9 @@ fifth of the sample, with all its segments, only sets the slope and the offset
 that turn a document's log-odds into a probability.  Every text is scored whole.
 
 Defined results: an empty or null text, and one without a letter or digit, has
-the score of a clean segment without n-grams (0); labels of null are not used;
+the score of a clean segment without n-grams (0); labels of null are not used,
+and of several labels of a doc_id the greatest is; of rows that share a doc_id
+one is learned from, and all are scored;
 without both labels to learn from all scores are 0; an empty table gives an
 empty table; columns besides doc_id, text and toxic are not looked at.
 """
@@ -32,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kmerspark.llm.sampling import held_out, sample_per_label
+from kmerspark.llm.sampling import held_out, sample_per_label, texts_of
 
 BUCKETS = 1 << 17
 ORDERS = (3, 4, 5)
@@ -173,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, clean_se
     """The model, from docs(doc_id, text) and labels(doc_id, toxic); None where a label is missing."""
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = sample_per_label(known, "toxic", per_label)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    texts = texts_of(docs, picked, ["doc_id"])
 
     def apart(doc_id: object) -> bool:
         return zlib.crc32(f"apart {doc_id}".encode()) % 5 == 0

@@ -10,8 +10,14 @@ Only counts by length reach the knapsack: d distinct lengths need d * (d + 1) /
 words, so a source of S words has fewer than sqrt(2 * S) of them.
 
 Defined results: a null text has size 0; null sources form one source, the last;
-sizes of 0 are taken 0 times over; rows alike in every respect are told apart
-only by place and may swap decisions; an empty table gives an empty table.
+sizes of 0 take no words; rows alike in every respect are told apart only by
+place and may swap decisions; an empty table gives an empty table; columns
+besides doc_id, text and source are not looked at, whatever their names.
+
+The table is bounded and its result is not always the best there is: it trades
+the TRIED shortest lengths that have documents left, up to TRADED documents of
+each of the TRIED shortest taken lengths, and the NEAR lengths nearest to the
+rest, at most COPIES documents of each, and tells MAX_SUMS sums apart.
 """
 
 from __future__ import annotations
@@ -20,9 +26,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kmerspark.ranks import numbered_within, ranked, salt_of
+from kmerspark.rows import MAX_BROADCAST, fresh, numbered
 from kmerspark.scratch import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +40,8 @@ MAX_SUMS = 1 << 21
 TRIED = 48
 #: Documents of one length that are handed back at most, and the words that all of them may have.
 TRADED = 16
+NEAR = 4
+COPIES = 1 << 10
 TRADED_WORDS = 1 << 19
 
 
@@ -74,14 +83,14 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarr
     taken[given] -= back
     left += float((sizes[given] * back).sum())
     open_ = usable[taken[usable] < counts[usable]]
-    pool = np.unique(np.concatenate([open_[:TRIED], given, open_[np.argsort(np.abs(sizes[open_] - left), kind="stable")[:4]]])).astype(np.int64)
+    pool = np.unique(np.concatenate([open_[:TRIED], given, open_[np.argsort(np.abs(sizes[open_] - left), kind="stable")[:NEAR]]])).astype(np.int64)
     if not len(pool):
         return taken
     unit = max(1, (int(left) + int(sizes[pool].max())) // MAX_SUMS)
     goal, reach = int(round(left / unit)), (int(left) + int(sizes[pool].max())) // unit + 1
     parts, tables, mask, sums = [], [], (1 << (reach + 1)) - 1, 1
     for i in pool:
-        n, step = int(min(counts[i] - taken[i], max(1, left // sizes[i] + 1), 1 << 10)), 1
+        n, step = int(min(counts[i] - taken[i], max(1, left // sizes[i] + 1), COPIES)), 1
         while n > 0:  # bounded counts as powers of two
             step_n = min(step, n)
             tables.append(sums)
@@ -109,37 +118,54 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["src", "no_src", "size", "source_size", "target"]].assign(passes=passes, extra=extra)
 
 
+def _facts(seed: int) -> dict[str, Column]:
+    """What a row is mixed by: its source, its size, and a key to choose by."""
+    return {
+        "src": F.coalesce("source", F.lit("")),
+        "no_src": F.col("source").isNull(),
+        "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
+        "key": F.xxhash64(F.lit(seed), "doc_id", "text"),
+    }
+
+
+def _placed(sized: DataFrame, tie: str, weights: Sequence[int], share: float, most: float) -> DataFrame:
+    """sized(src, no_src, size, key, tie) with source_size, target, passes, extra, _salt, and nth: the row's number in its source and size."""
+    lengths = sized.groupBy("src", "no_src", "size").agg(F.count(F.lit(1)).alias("n"))
+    targets = source_targets(sized.groupBy("src", "no_src").agg(F.sum("size").alias("source_size")), weights, share, most)
+    plan = lengths.join(targets, ["src", "no_src"]).groupBy("src", "no_src").applyInPandas(_fit, "src string, no_src boolean, size long, source_size long, target double, passes int, extra long")
+    salted = sized.withColumn("_salt", salt_of("key", salts=SALTS))
+    return numbered_within(salted, ["src", "no_src", "size"], ["key", tie], "nth", facts=materialize(plan, "plan"))
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
     """One row per row of docs(doc_id, text, source): size, source_size, target, copies, taken.
 
     copies: how often the mix takes the document; taken: its words in the mix.
     """
-    sized = materialize(
-        docs.select(
-            "doc_id",
-            F.coalesce("source", F.lit("")).alias("src"),
-            F.col("source").isNull().alias("no_src"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"),
-        ).withColumn("_salt", salt_of("key", salts=SALTS)),
-        "sized",
-    )
-    lengths = sized.groupBy("src", "no_src", "size").agg(F.count(F.lit(1)).alias("n"))
-    targets = source_targets(sized.groupBy("src", "no_src").agg(F.sum("size").alias("source_size")), weights, share, most)
-    plan = lengths.join(targets, ["src", "no_src"]).groupBy("src", "no_src").applyInPandas(_fit, "src string, no_src boolean, size long, source_size long, target double, passes int, extra long")
-    placed = numbered_within(sized, ["src", "no_src", "size"], ["key", "doc_id"], "nth", facts=materialize(plan, "plan"))
+    sized = materialize(docs.select("doc_id", *[c.alias(n) for n, c in _facts(seed).items()]), "sized")
     copies = F.col("passes") + F.when(F.col("nth") < F.col("extra"), 1).otherwise(0)
-    return placed.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"), "key")
+    return _placed(sized, "doc_id", weights, share, most).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
-    """docs as the mix takes them: each row as often as its copies say.
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
+    """docs as the mix takes them: each row as often as its copies say, which no other row shares.
 
-    A row finds its decision by doc_id and the hash of its text.  Rows alike in
-    both share their copies evenly, rounded up.
+    Of each source and length the rows up to one place in the order of the keys
+    are taken once more, so a row needs no more than that place to be judged.
+    There is one for each length of a source, and they are broadcast up to
+    MAX_BROADCAST of them; no text is shuffled.
     """
-    seed = kw.get("seed", 42)
-    took = mix_sources(docs, **kw).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.ceil(F.avg("copies")).cast("int").alias("_copies"))
-    keyed = docs.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    rows = keyed.join(took.where("_copies > 0"), keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    facts = {n: fresh(f"_{n}", docs.columns) for n in ("src", "no_src", "size", "key", "last", "passes", "copy")}
+    made = _facts(seed)
+    kept, row = numbered(docs.withColumns({facts[n]: made[n] for n in made}))
+    sized = kept.select(F.col(row).alias("row"), *[F.col(facts[n]).alias(n) for n in made])
+    place = lambda salt, key, row: F.struct(salt.alias("salt"), key.alias("key"), row.alias("row"))
+    placed = _placed(sized, "row", weights, share, most)
+    at = F.when(F.col("nth") == F.col("extra") - 1, place(F.col("_salt"), F.col("key"), F.col("row")))
+    plan = placed.groupBy("src", "no_src", "size").agg(F.max("passes").alias(facts["passes"]), F.max(at).alias(facts["last"]))
+    plan = materialize(plan.select(*[F.col(n).alias(facts[n]) for n in ("src", "no_src", "size")], facts["passes"], facts["last"]), "places")
+    few = plan.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    joined = kept.join(F.broadcast(plan) if few else plan, [facts[n] for n in ("src", "no_src", "size")])
+    own = place(salt_of(facts["key"], salts=SALTS), F.col(facts["key"]), F.col(row))
+    copies = F.col(facts["passes"]) + F.when(own <= F.col(facts["last"]), 1).otherwise(0)
+    return joined.where(copies > 0).withColumn(facts["copy"], F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)

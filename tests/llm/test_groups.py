@@ -6,10 +6,12 @@ from collections import defaultdict
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from kmerspark.llm import simhash
 from kmerspark.llm.components import components
 from kmerspark.llm.sharding import difference, shard_documents
+from kmerspark.rows import meet
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -81,12 +83,57 @@ def test_near_duplicates(spark):
     got = sorted(map(str, (tuple(r) for r in simhash.near_duplicates(df).collect())))
     known = [(i, brute.simhash(t)) for i, t, _ in rows if i is not None]
     want = brute.groups([i for i, _ in known], [f for _, f in known])
-    assert got == sorted(str((i, f"{f:016x}", want[i])) for i, f in [*known]) + [] or got == sorted([str((i, f"{f:016x}", want[i])) for i, f in known] + [str((None, f"{brute.simhash('just one'):016x}", 9003))])
+    assert got == sorted([str((i, f"{f:016x}", want[i])) for i, f in known] + [str((None, f"{brute.simhash('just one'):016x}", 9003))])
     kept = simhash.keep_one(df).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(want.values())) and sum(r.doc_id is None for r in kept) == 1
+    assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
     assert simhash.near_duplicates(df.where("false")).count() == 0
 
 
+def test_one_row_of_each_component_is_kept(spark):
+    a, b = "one two three four five six", "other words that are not near at all"
+    rows = [(7, a), (7, b), (7, a), (None, a), (None, "a text of its own without an id"), (None, "a text of its own without an id"), (3, b), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, 1, "r", 2) for i, t in rows], "doc_id long, text string, fp long, _row string, root long")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, [(7, a), (3, b), (None, "a text of its own without an id"), (8, None)]))
+    assert simhash.keep_one(docs.where("false")).count() == 0
+
+
+def test_hot_keys_meet_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(i % 7 if i < 900 else i, i) for i in range(1000)], "k long, x long")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("y", F.col("k") * 2)
+    for hot in (0, 100, 5000):
+        got = sorted((r.k, r.x, r.y) for r in meet(rows, table, ["k"], "n", hot).collect())
+        assert got == sorted((r.k, r.x, 2 * r.k) for r in rows.collect())
+
+
+def test_rest_of_bits():
+    for plan in (simhash.block_plan(10), simhash.block_plan(10**9)):
+        for fields in plan:
+            parts = simhash.rest_of(fields, 5)
+            bits = [b for p in [fields, *parts] for s, w in p for b in range(s, s + w)]
+            assert len(parts) == 5 and sorted(bits) == list(range(64))
+
+
+def plain_differencing(sizes, shards):
+    """Sums of the shards by the method's own words: partitions as lists, the largest spread first."""
+    parts = [[s] + [0] * (shards - 1) for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: max(p) - min(p))
+        a, b = sorted(parts.pop()), sorted(parts.pop(), reverse=True)
+        parts.append([x + y for x, y in zip(a, b, strict=True)])
+    return parts[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 10**6), min_size=1, max_size=40, unique=True), st.integers(2, 8))
+def test_differencing_against_a_plain_version(sizes, shards):
+    at = difference(sizes, shards)
+    sums = [sum(s for s, x in zip(sizes, at, strict=True) if x == k) for k in range(shards)]
+    plain = plain_differencing(sizes, shards)
+    assert max(sums) - min(sums) <= max(max(plain) - min(plain), max(sizes) // 50)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 1000), max_size=60), st.integers(1, 8))
 def test_differencing_is_balanced(sizes, shards):

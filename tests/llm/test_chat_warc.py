@@ -43,8 +43,8 @@ def test_conversations_read_back(spark):
 def test_arc_parsing(version):
     data = warc.arc_opening(version, "x.arc", "19970101000000") + warc.arc_record(version, "http://a/", "19970101000000", b"HTTP/1.1 200 OK\r\n\r\n\n\nbody\n") + warc.arc_record(version, "-", "19970101000000", b"")
     got = list(warc.parse_arc(data))
-    assert [b for _, b in got] == [b"HTTP/1.1 200 OK\r\n\r\n\n\nbody\n", b""] and got[0][0]["URL"] == "http://a/"
-    for broken in (data[:-3] + b"xx\n", data.replace(b"URL IP", b"URI IP"), data[: len(data) - 1]):
+    assert [b for *_, b in got] == [b"HTTP/1.1 200 OK\r\n\r\n\n\nbody\n", b""] and got[0][1]["URL"] == "http://a/"
+    for broken in (data[:-3] + b"xx\n", data.replace(b"URL IP", b"URI IP"), data[: len(data) - 2]):
         with pytest.raises(ValueError):
             list(warc.parse_arc(broken))
 
@@ -67,3 +67,31 @@ def test_archives_read_back(spark):
         want.append(str((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", 3 if again else None)))
     assert out == sorted(want)
     assert warc.convert(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_foreign_archives(spark, tmp_path):
+    page = "HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\ncaf\xe9 ".encode("latin-1") + b"\x00\xff" * 600
+    first = b"filedesc://IA-1.arc 0.0.0.0 19960923142103 text/plain 76\n1 0 Alexa Internet\nURL IP-address Archive-date Content-type Archive-length\n\n"
+    record = lambda url, block: f"{url} 9.9.9.9 19960923142103 text/html {len(block)}\n".encode("latin-1") + block + b"\n"
+    data = first + record("http://a/\xe9", page) + b"\n" + record("http://b/", page) + record("dns:c", b"1.2.3.4") + record("http://d/", b"HTTP/1.0 204 Empty\r\n\r\n")
+    opening = b"1 0 Alexa Internet\nURL IP-address Archive-date Content-type Archive-length\n"
+    data = data.replace(b"text/plain 76\n", f"text/plain {len(opening)}\n".encode())
+    archives = spark.createDataFrame([("one.arc", data), ("two.arc", data[:-1])], "name string, archive binary")
+    path = f"file://{tmp_path}/out"
+    warc.write_records(warc.from_archives(archives), path)
+    out = warc.read_warc(spark, path).collect()
+    body = page.partition(b"\r\n\r\n")[2]
+    assert len(out) == 8 and len({r.record_id for r in out}) == 8 and {r.page_id for r in out} == {None}
+    assert sorted((r.payload_bytes, r.payload_digest, r.record_type) for r in out) == sorted(
+        2 * [(len(body), hashlib.sha1(body).hexdigest(), "response")] * 2 + [(7, hashlib.sha1(b"1.2.3.4").hexdigest(), "resource")] * 2 + [(0, hashlib.sha1(b"").hexdigest(), "response")] * 2
+    )
+
+
+def test_record_ids_are_unique_and_files_bounded(spark, tmp_path, monkeypatch):
+    rows = [(i % 3 if i % 5 else None, "same", "<p>" + "z" * (2000 if i % 2 else 90_000 + i)) for i in range(60)]
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000)
+    path = f"file://{tmp_path}/out"
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
+    out = warc.read_warc(spark, path).collect()
+    assert len(out) == 60 and len({r.record_id for r in out}) == 60
+    assert len(list((tmp_path / "out" / "large").glob("*.gz"))) >= 15 and len(list((tmp_path / "out" / "small").glob("*.gz"))) >= 10

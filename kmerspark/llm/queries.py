@@ -35,7 +35,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that documents share; documents that share none do not appear."""
-    return chunks.repeated_passages(_table(spark, sf_dir, "documents")).drop("row")
+    return chunks.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

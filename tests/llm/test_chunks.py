@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from kmerspark.llm import chunks
 
@@ -64,6 +65,10 @@ def test_shared_passages_are_found_and_clean_documents_are_not(spark):
 def test_removal_keeps_the_first(spark):
     docs, passage = corpus(random.Random(4))
     docs = [d for d in docs if d[0] not in (203, None)]
+    odd = spark.createDataFrame([(*d, 1, "r", "s") for d in [*docs, (None, passage), (17, passage)]], "doc_id long, text string, _row int, row string, _spans string")
+    left = chunks.remove_repeats(odd)
+    assert left.columns == odd.columns and left.count() == len(docs) + 2
+    assert [r.text for r in left.where("doc_id is null").collect()] == [passage] and passage[120:320] not in "".join(r.text for r in left.where("doc_id = 17").collect())
     out = {r.doc_id: r.text for r in chunks.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     before = dict(docs)
     assert out[3] == before[3] and out[200] is None and out[201] == "" and out[5] == before[5]
@@ -76,7 +81,7 @@ def test_text_that_is_first_in_a_run_survives(spark):
     a, b = words(rng, 60), words(rng, 60)
     docs = {3: f"{words(rng, 40)} {a} {words(rng, 40)}", 5: f"{a} {b}", 9: f"{a} {b}"}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    rows = chunks.chunked(df).collect()
+    rows = chunks.chunked(df.withColumn("row", F.col("doc_id"))).collect()
     kept = {r.doc_id: r.text for r in chunks.remove_repeats(df).collect()}
     assert all(any(docs[r.doc_id].encode()[r.start : r.start + r.size] in t.encode() for t in kept.values()) for r in rows)
     assert kept[3] == docs[3] and b[60:] in kept[5] and a[60:-60] not in kept[5] and kept[9] == ""
@@ -91,3 +96,45 @@ def test_removal_of_text_with_wide_characters(spark):
     docs = {i: f"{words(rng, 40)} {passage} {words(rng, 40)}" for i in range(4)}
     out = {r.doc_id: r.text for r in chunks.remove_repeats(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
     assert out[0] == docs[0] and all("\ufffd" not in t and passage[100:400] not in t and set(t) <= set(docs[i]) for i, t in out.items() if i)
+
+
+def plain_passages(docs, most_words=50):
+    """(doc_id, start, size, words, n_chunks) of the runs, by sets of chunk bytes."""
+    cut, held = {}, {}
+    for i, t in docs:
+        raw = t.encode()
+        ends = chunks._whole(np.frombuffer(raw, np.uint8), chunks.cuts(np.frombuffer(raw, np.uint8)))
+        cut[i] = [(a, b, sum(raw[p : p + 1].strip() != b"" and (p == 0 or raw[p - 1 : p].strip() == b"") for p in range(a, b))) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for a, b, _ in cut[i]:
+            held.setdefault(raw[a:b], set()).add(i)
+    out = []
+    for i, t in docs:
+        shared = [len(held[t.encode()[a:b]]) > 1 for a, b, _ in cut[i]]
+        at = 0
+        while at < len(shared):
+            end = at
+            while end < len(shared) and shared[end]:
+                end += 1
+            if end - at >= 2 and sum(w for *_, w in cut[i][max(0, at - 1) : end + 1]) > most_words - chunks.SLACK:
+                out.append((i, cut[i][at][0], cut[i][end - 1][1] - cut[i][at][0], sum(w for *_, w in cut[i][at:end]), end - at))
+            at = end + 1
+    return sorted(out)
+
+
+def test_passages_against_a_plain_version(spark):
+    rng = random.Random(10)
+    pool = [words(rng, rng.choice([10, 30, 44, 50, 51, 60, 90])) for _ in range(25)]
+    docs = [(i, "\n".join([words(rng, rng.randint(0, 40)), *rng.sample(pool, rng.randint(0, 3)), words(rng, rng.randint(1, 40))])) for i in range(120)]
+    out = chunks.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.size, r.words, r.n_chunks) for r in out) == plain_passages(docs)
+
+
+def test_passages_of_just_over_fifty_words(spark):
+    rng = random.Random(11)
+    short = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 6))) for _ in range(n))
+    docs = []
+    for k in range(300):
+        p = short(51) if k < 200 else short(24)
+        docs += [(2 * k + j, f"{short(30)} {p} {short(30)}") for j in (0, 1)]
+    found = {r.doc_id for r in chunks.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id").collect()}
+    assert len([i for i in found if i < 400]) >= 396 and not [i for i in found if i >= 400]

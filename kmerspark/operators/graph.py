@@ -10,13 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kmerspark.functions import codec
-from kmerspark.operators.windows import kmer_codes
+from kmerspark.operators.windows import kmer_codes, kmer_counts
 
 
 def _bit(base: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1), base.cast("int"))
 
 
+def edge_rows(seqs: DataFrame, kp1: int, spread: bool = False) -> DataFrame:
+    """(code) of the edges of seqs(seq_id, seq), each once for every batch of windows that holds it: for what reads repeated rows as one."""
+    return kmer_counts(seqs, kp1, spread=spread).select("code")
+
+
 def successor_masks(edges: DataFrame) -> DataFrame:
     """(kmer, mask): bit b is set if the k-mer goes on with base b."""
     return edges.groupBy(codec.prefix("code").alias("kmer")).agg(F.bit_or(_bit(codec.last_base("code"))).alias("mask"))

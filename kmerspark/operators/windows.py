@@ -1,9 +1,14 @@
 """Sequences to k-mers.
 
-Sequences are a DataFrame with seq_id (long) and seq (string).  A long sequence
-is cut into overlapping blocks first, so a chromosome is as many tasks' work as
-it has blocks, and memory follows the block and not the sequence.  The codes of
-a block are built in arrays, by doubling the length of what they cover.
+Sequences are a DataFrame with seq_id and seq (string).  A long sequence is cut
+into overlapping blocks first, so memory follows the block and not the sequence;
+with ``spread`` the blocks are dealt to all tasks, so that one chromosome is many
+tasks' work (its text is shuffled once).  The codes of a block are built in
+arrays, by doubling the length of what they cover.
+
+Defined results: a null seq counts as an empty one, and has no windows, like one
+shorter than k; rows that share a seq_id, or have none, are sequences of their
+own, whose windows are all there under that id; an empty table has no windows.
 """
 
 from __future__ import annotations
@@ -17,8 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 from kmerspark.functions.codec import check_k
 
 BLOCK = 1 << 16
-#: Windows that a task hands back at once.
+#: Windows that a task hands back at once, and that it counts at once.
 BATCH = 1 << 18
+COUNTED = 1 << 21
 _CODE = np.full(256, 4, np.uint8)
 for _i, _b in enumerate(b"ACGT"):
     _CODE[[_b, _b + 32]] = _i
@@ -26,7 +32,11 @@ for _i, _b in enumerate(b"ACGT"):
 
 def block_codes(data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, codes) of the windows of k bytes that hold bases only."""
-    base = _CODE[data]
+    return base_windows(_CODE[data], k)
+
+
+def base_windows(base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of an array of 0 to 3 for bases and 4 for all else."""
     n = len(base) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -46,15 +56,17 @@ def block_codes(data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return clean, codes[:n][clean].view(np.int64)
 
 
-def blocks(seqs: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
+def blocks(seqs: DataFrame, k: int, size: int = BLOCK, spread: bool = False) -> DataFrame:
     """(seq_id, at, block): stretches of the sequences that start every ``size`` places and overlap by k - 1."""
     plain = F.when(F.octet_length("seq") == F.length("seq"), F.col("seq")).otherwise(F.regexp_replace("seq", r"[^\x00-\x7F]", "N"))
     whole = seqs.select("seq_id", plain.cast("binary").alias("seq"), F.length("seq").alias("n")).where(F.col("n") >= k)
-    starts = whole.select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.col("n") - k, F.lit(size))).alias("at"))
-    return starts.select("seq_id", F.col("at").cast("long"), F.expr(f"substring(seq, at + 1, {size + k - 1})").alias("block"))
+    starts = F.sequence(F.lit(0), F.col("n") - k, F.lit(size))
+    cut = F.transform(starts, lambda at: F.struct(at.cast("long").alias("at"), F.substring("seq", at + 1, F.lit(size + k - 1)).alias("block")))
+    rows = whole.select("seq_id", F.explode(cut).alias("x")).select("seq_id", "x.at", "x.block")
+    return rows.repartition("seq_id", "at") if spread else rows
 
 
-def kmer_codes(seqs: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
+def kmer_codes(seqs: DataFrame, k: int, size: int = BLOCK, spread: bool = False) -> DataFrame:
     """(seq_id, pos, code) of every window of k bases; pos is its 0-based start."""
     check_k(k)
     kind = seqs.schema["seq_id"].dataType.simpleString()
@@ -73,7 +85,30 @@ def kmer_codes(seqs: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([own, *(pa.array(np.concatenate(c)) for c in zip(*held, strict=True))], ["seq_id", "pos", "code"])
                     held, which, n = [], [], 0
 
-    return blocks(seqs, k, size).mapInArrow(run, f"seq_id {kind}, pos long, code long")
+    return blocks(seqs, k, size, spread).mapInArrow(run, f"seq_id {kind}, pos long, code long")
+
+
+def kmer_counts(seqs: DataFrame, k: int, size: int = BLOCK, spread: bool = False) -> DataFrame:
+    """(code, n): windows counted in batches where they are made; a k-mer has a row for each batch that holds it."""
+    check_k(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+
+        held, n = [], 0
+        for b in batches:
+            for block in b.column(0):
+                held.append(block_codes(np.frombuffer(block.as_buffer(), np.uint8), k)[1])
+                n += len(held[-1])
+                if n >= COUNTED:
+                    yield counted()
+                    held, n = [], 0
+        if n:
+            yield counted()
+
+    return blocks(seqs, k, size, spread).select("block").mapInArrow(run, "code long, n long")
 
 
 def kmer_strings(seqs: DataFrame, k: int, size: int = 512) -> DataFrame:

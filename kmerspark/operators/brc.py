@@ -3,6 +3,14 @@
 A good segment is a stretch of bases at least k+1 long; it is written as its
 first k bases and then only the bases chosen at branches (or, in k-mer format,
 the whole k+1-mers there).  What lies between good segments is kept as it is.
+
+Every record carries row, the number of its sequence, by which records are
+brought together again; seq_id and the other columns of a sequence come along
+and may be null or repeated.
+
+Defined results: a null seq counts as an empty one, which is one empty bad
+record; rows that share a seq_id, or have none, are sequences of their own; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from kmerspark.functions import codec
-from kmerspark.operators.flags import base_codes, each_sequence, stretches, with_branches
+from kmerspark.operators.flags import base_codes, each_sequence, stretches
 from kmerspark.operators.graph import successor_masks
 from kmerspark.operators.windows import _CODE
 
@@ -35,11 +44,22 @@ def _cut(text: str, kp1: int) -> tuple[list[int], list[int], list[bool]]:
     return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
 
 
-_FIELDS = [("brc_id", "long", pa.int64()), ("len", "long", pa.int64()), ("start", "long", pa.int64()), ("type", "string", pa.string())]
+_FIELDS = StructType().add("brc_id", "long").add("len", "long").add("start", "long").add("type", "string")
+
+
+def _record_fields(starts: list[int], ends: list[int], good: list[bool]) -> dict[str, list]:
+    return {"brc_id": list(range(len(starts))), "len": [b - a for a, b in zip(starts, ends, strict=True)], "start": starts, "type": ["good" if g else "bad" for g in good]}
 
 
-def walk(seqs: DataFrame, branches: DataFrame, kp1: int, kmer_format: bool = False, pass_special: bool = False) -> DataFrame:
-    """(seq_id, brc_id, len, start, type, brc) of seqs(seq_id, seq); with pass_special bad records are left out and ids stay."""
+def _with_row(seqs: DataFrame) -> DataFrame:
+    return seqs if "row" in seqs.columns else seqs.withColumn("row", F.monotonically_increasing_id())
+
+
+def walk(seqs: DataFrame, branches: DataFrame, kp1: int, kmer_format: bool = False, pass_special: bool = False, **kw) -> DataFrame:
+    """seqs(seq, ...) with, in place of seq, (row, brc_id, len, start, type, brc); with pass_special bad records are left out and ids stay.
+
+    row is taken from seqs if it has that column, which must then tell its rows apart.
+    """
     k = kp1 - 1
 
     def make(text: str, at: np.ndarray) -> dict[str, list]:
@@ -51,21 +71,15 @@ def walk(seqs: DataFrame, branches: DataFrame, kp1: int, kmer_format: bool = Fal
         for a, b, ok, i, j in zip(starts, ends, good, lo, hi, strict=True):
             items = (text[p - k : p + 1] if kmer_format else text[p] for p in at[i:j].tolist())
             body.append(text[a : a + k] + "".join(items) if ok else text[a:b])
-        return {"brc_id": list(range(len(starts))), "len": [b - a for a, b in zip(starts, ends, strict=True)], "start": starts, "type": ["good" if g else "bad" for g in good], "brc": body}
+        return _record_fields(starts, ends, good) | {"brc": body}
 
-    out = each_sequence(with_branches(seqs, branches, kp1), make, [*_FIELDS, ("brc", "string", pa.string())])
+    out = each_sequence(_with_row(seqs), branches, kp1, make, StructType(_FIELDS.fields[:]).add("brc", "string"), **kw)
     return out.where(F.col("type") == "good") if pass_special else out
 
 
 def segments(seqs: DataFrame, kp1: int) -> DataFrame:
-    """(seq_id, brc_id, len, start, type) by built-in functions: no graph is needed for them."""
-    clean = F.regexp_replace(F.upper(F.coalesce("seq", F.lit(""))), "\x01", "N")
-    parts = F.transform(F.split(F.regexp_replace(clean, f"([ACGT]{{{kp1},}})", "\x01$1\x01"), "\x01"), lambda p, i: F.struct((i % 2 == 1).alias("good"), F.length(p).cast("long").alias("len")))
-    kept = F.filter(parts, lambda p: p["len"] > 0)
-    whole = F.when(F.size(kept) == 0, F.array(F.struct(F.lit(False).alias("good"), F.lit(0).cast("long").alias("len")))).otherwise(kept)
-    rows = seqs.select("seq_id", F.posexplode(whole).alias("brc_id", "p"))
-    before = W.partitionBy("seq_id").orderBy("brc_id").rowsBetween(W.unboundedPreceding, -1)
-    return rows.select("seq_id", F.col("brc_id").cast("long"), "p.len", F.coalesce(F.sum("p.len").over(before), F.lit(0)).cast("long").alias("start"), F.when(F.col("p.good"), "good").otherwise("bad").alias("type"))
+    """seqs(seq, ...) with, in place of seq, (brc_id, len, start, type): no graph is needed for them, and nothing is shuffled."""
+    return each_sequence(seqs, None, kp1, lambda text, at: _record_fields(*_cut(text, kp1)), _FIELDS)
 
 
 #: The base that a mask with one bit stands for.
@@ -157,12 +171,13 @@ def restore_records(brcs: list[str], lengths: list[int], k: int, nodes: np.ndarr
 
 
 def restore(brcs: DataFrame, edges: DataFrame, kp1: int, kmer_format: bool = False, branch_set: DataFrame | None = None, max_edges: int = MAX_EDGES) -> DataFrame:
-    """(seq_id, seq) from walk's records and the graph's edges(code).
+    """The sequences (seq, and the columns that walk carried along) from walk's records and the graph's edges(code).
 
     Every base depends on the k before it, so a record is decoded in one pass by
-    one task, along with the others of its batch, against the successors of all k-mers.  They are broadcast as two
-    sorted arrays, once their number is checked; past ``max_edges`` this raises,
-    and the graph must be split by sequence group first.
+    one task, along with the others of its batch, against the successors of all
+    k-mers.  They are broadcast as two sorted arrays, once their number is
+    checked; past ``max_edges`` this raises, and the graph must be split by
+    sequence group first.  The number is counted when this is called.
     """
     k = kp1 - 1
     succ = successor_masks(edges)
@@ -174,6 +189,8 @@ def restore(brcs: DataFrame, edges: DataFrame, kp1: int, kmer_format: bool = Fal
     order = np.argsort(nodes)
     own = None if branch_set is None else np.sort(branch_set.select("code").distinct().toArrow().column(0).to_numpy())
     shared = brcs.sparkSession.sparkContext.broadcast((nodes[order], masks[order], own))
+    records = ["brc_id", "len", "start", "type", "brc"]
+    carried = [c for c in brcs.columns if c not in (*records, "row")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, masks, own = shared.value
@@ -182,24 +199,52 @@ def restore(brcs: DataFrame, edges: DataFrame, kp1: int, kmer_format: bool = Fal
             good = [i for i, kind in enumerate(kinds) if kind == "good"]
             for i, text in zip(good, restore_records([out[i] for i in good], [n[i] for i in good], k, nodes, masks, own, kmer_format), strict=True):
                 out[i] = text
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["seq_id", "brc_id", "piece"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), b.column(5)], ["row", "brc_id", "piece", "carried"])
 
-    kind = brcs.schema["seq_id"].dataType.simpleString()
-    pieces = brcs.select("seq_id", "brc_id", "len", "type", "brc").mapInArrow(run, f"seq_id {kind}, brc_id long, piece string")
+    rows = brcs.select("row", "brc_id", "len", "type", "brc", F.struct(F.lit(True).alias("_"), *carried).alias("carried"))
+    pieces = rows.mapInArrow(run, StructType([rows.schema["row"], rows.schema["brc_id"]]).add("piece", "string").add(rows.schema["carried"]))
     ordered = F.sort_array(F.collect_list(F.struct("brc_id", "piece")))
-    return pieces.groupBy("seq_id").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("seq"))
+    # a record that is first in its sequence is enough to say what comes along
+    whole = pieces.groupBy("row").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("seq"), F.min_by("carried", "brc_id").alias("carried"))
+    return whole.select("row", *[F.col("carried")[c].alias(c) for c in carried], "seq")
 
 
-def to_text(brcs: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """(seq_id, brc_id, record): records as text, headed by >brc_id|len|start|type|name."""
-    rows = brcs.withColumn("name", F.col("seq_id").cast("string")) if names is None else brcs.join(names, "seq_id")
-    head = F.concat_ws("|", F.concat(F.lit(">"), F.col("brc_id")), "len", "start", "type", "name")
-    return rows.select("seq_id", "brc_id", F.concat(head, F.lit("\n"), "brc", F.lit("\n")).alias("record"))
+def _name(brcs: DataFrame) -> Column:
+    return F.coalesce(F.col("name") if "name" in brcs.columns else F.col("seq_id").cast("string"), F.lit(""))
+
+
+def to_text(brcs: DataFrame) -> DataFrame:
+    """brcs with, in place of brc, record: the text headed by >brc_id|len|start|type|name; the name is seq_id where there is none."""
+    head = F.concat_ws("|", F.concat(F.lit(">"), F.col("brc_id")), "len", "start", "type", _name(brcs))
+    return brcs.withColumn("record", F.concat(head, F.lit("\n"), "brc", F.lit("\n"))).drop("brc")
 
 
 def from_text(records: DataFrame) -> DataFrame:
-    """walk's columns and the name from records(record); the name keeps any further bars."""
-    lines = records.select(F.split(F.expr("substring(record, 2)"), "\n", 2).alias("l"))
-    head = F.split(F.get("l", 0), r"\|", 5)
-    f = lambda i, t: F.get(head, i).cast(t)
-    return lines.select(f(0, "long").alias("brc_id"), f(1, "long").alias("len"), f(2, "long").alias("start"), f(3, "string").alias("type"), f(4, "string").alias("name"), F.rtrim(F.get("l", 1), F.lit("\n")).alias("brc"))
+    """records(record, ...) with, in place of record, walk's columns and the name; the name keeps any further bars."""
+    head = F.split(F.get("_lines", F.lit(0)), r"\|", 5)
+    f = lambda i, t: F.get(head, F.lit(i)).cast(t)
+    lines = records.withColumn("_lines", F.split(F.expr("substring(record, 2)"), "\n", 2))
+    fields = {"brc_id": f(0, "long"), "len": f(1, "long"), "start": f(2, "long"), "type": f(3, "string"), "name": f(4, "string"), "brc": F.rtrim(F.get("_lines", F.lit(1)), F.lit("\n"))}
+    return lines.withColumns(fields).drop("record", "_lines")
+
+
+def write_text(brcs: DataFrame, path: str, order: list[str]) -> None:
+    """walk's records as .brc text, in the order of the sequences and of their records; a blank line ends each."""
+    to_text(brcs.orderBy(*order, "row", "brc_id")).select(F.col("record").alias("value")).write.text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """(file, part, at, row, name, brc_id, len, start, type, brc) of .brc text files.
+
+    A sequence begins where brc_id is 0, so names may be repeated; row numbers
+    the sequences, by how many begin up to the record in its split and in the
+    splits before it, of which there is a row each.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at")]
+    rows = from_text(raw.select(F.concat(F.lit(">"), F.regexp_replace("value", r"^\s*>", "")).alias("record"), *place).where("length(record) > 1"))
+    begins = (F.col("brc_id") == 0).cast("int")
+    inside = rows.withColumn("_begun", F.sum(begins).over(W.partitionBy("file", "part").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    before = W.orderBy("file", "part").rowsBetween(W.unboundedPreceding, -1)
+    splits = rows.groupBy("file", "part").agg(F.sum(begins).alias("_n")).select("file", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return inside.join(splits, ["file", "part"]).select("file", "part", "at", (F.col("_before") + F.col("_begun")).cast("long").alias("row"), "name", "brc_id", "len", "start", "type", "brc")

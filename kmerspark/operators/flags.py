@@ -1,4 +1,10 @@
-"""Sequences with the places of their branches, and what is done to them row by row."""
+"""Sequences with the places of their branches, and what is done to them row by row.
+
+Defined results: a null seq counts as an empty one; rows that share a seq_id, or
+have none, are sequences of their own; columns of seqs besides seq are carried
+along to what is made of a row, whatever their names but those made; an empty
+table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -7,25 +13,25 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from kmerspark.operators.graph import branch_positions
-from kmerspark.operators.windows import _CODE, BATCH
-
+from kmerspark.operators.windows import _CODE, BATCH, base_windows
+from kmerspark.rows import fresh, numbered
+from kmerspark.scratch import materialize
 
-def with_branches(seqs: DataFrame, branches: DataFrame, kp1: int) -> DataFrame:
-    """seqs(seq_id, seq) with at: the sorted 0-based places where an edge of branches(code) ends, empty where none does.
+#: Codes of a branch set that are broadcast at most, 8 bytes each, and bases of a sequence that are looked up at once.
+MAX_SET = 8_000_000
+PIECE = 1 << 20
 
-    The sequence's own row is as large as its places are many, so they are gathered by it.
-    """
-    at = branch_positions(seqs, branches, kp1).groupBy("seq_id").agg(F.sort_array(F.collect_list(F.col("pos").cast("int"))).alias("at"))
-    return seqs.select("seq_id", F.coalesce("seq", F.lit("")).alias("seq")).join(at, "seq_id", "left").withColumn("at", F.coalesce("at", F.array().cast("array<int>")))
+Make = Callable[[str, np.ndarray], dict[str, list]]
 
 
 def base_codes(text: str) -> np.ndarray:
     """0 to 3 for bases, 4 for all else, one for each character."""
     if text.isascii():
         return _CODE[np.frombuffer(text.encode(), np.uint8)]
-    return _CODE[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 255)]
+    return _CODE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 255)]
 
 
 def stretches(special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,34 +42,72 @@ def stretches(special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], cut)), np.concatenate((cut, [len(special)]))
 
 
-def each_sequence(marked: DataFrame, make: Callable[[str, np.ndarray], dict[str, list]], schema: list[tuple[str, str, pa.DataType]]) -> DataFrame:
-    """Rows made from each row of marked(seq_id, seq, at); schema: (name, Spark type, Arrow type) of the columns after seq_id."""
-    kind = marked.schema["seq_id"].dataType.simpleString()
-    names = [n for n, _, _ in schema]
+def places(text: str, branches: np.ndarray, kp1: int) -> np.ndarray:
+    """The 0-based places where an edge of the sorted codes ends."""
+    found, base = [np.zeros(0, np.int64)], base_codes(text)
+    for a in range(0, len(base) - kp1 + 1 if len(branches) else 0, PIECE):
+        at, code = base_windows(base[a : a + PIECE + kp1 - 1], kp1)
+        i = np.minimum(np.searchsorted(branches, code), len(branches) - 1)
+        found.append(at[branches[i] == code] + (a + kp1 - 1))
+    return np.concatenate(found)
+
+
+def each_sequence(seqs: DataFrame, branches: DataFrame | None, kp1: int, make: Make, added: StructType, max_set: int = MAX_SET) -> DataFrame:
+    """The rows that make(seq, places of branches) gives for each row of seqs(seq, ...): the other columns of seqs, then the added ones.
+
+    Up to max_set codes of branches(code), by count, are broadcast as a sorted
+    array and looked up inside the row; nothing is shuffled.  Beyond that windows
+    and branches meet in a shuffle, under the row's own written number.
+    """
+    spark, carried = seqs.sparkSession, [c for c in seqs.columns if c != "seq"]
+    text, place = F.coalesce("seq", F.lit("")).alias("seq"), fresh("_at", carried)
+    shared = None
+    if branches is None:
+        rows = seqs.select(*carried, text, F.array().cast("array<int>").alias(place))
+    else:
+        codes = materialize(branches.select("code").distinct(), "branches")
+        if codes.limit(max_set + 1).count() <= max_set:
+            shared = spark.sparkContext.broadcast(np.sort(codes.toArrow().column(0).to_numpy()))
+            rows = seqs.select(*carried, text, F.lit(None).cast("array<int>").alias(place))
+        else:
+            kept, row = numbered(seqs)
+            at = branch_positions(kept.select(F.col(row).alias("seq_id"), "seq"), codes, kp1).groupBy("seq_id").agg(F.sort_array(F.collect_list(F.col("pos").cast("int"))).alias(place)).withColumnRenamed("seq_id", row)
+            rows = kept.join(at, row, "left").select(*carried, text, F.coalesce(place, F.array().cast("array<int>")).alias(place))
+    schema, n_carried = StructType(rows.schema.fields[:-2] + added.fields), len(carried)
+    names = [f.name for f in added.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            types = _arrow_types(added)
             held, which, n = [], [], 0
             for i in range(b.num_rows):
-                out = make(b.column(1)[i].as_py(), b.column(2)[i].values.to_numpy(zero_copy_only=False) if len(b.column(2)[i]) else np.zeros(0, np.int32))
+                seq = b.column(n_carried)[i].as_py()
+                given = b.column(n_carried + 1)[i]
+                at = places(seq, shared.value, kp1) if shared is not None else given.values.to_numpy(zero_copy_only=False) if len(given) else np.zeros(0, np.int64)
+                out = make(seq, at)
                 held.append(out)
                 which.append(np.full(len(out[names[0]]), i))
-                n += sum(map(len, out[names[-1]])) if schema[-1][1] == "string" else len(out[names[0]])
+                n += len(out[names[0]]) + len(seq)
                 if n >= BATCH or i == b.num_rows - 1:
-                    own = b.column(0).take(pa.array(np.concatenate(which)))
-                    yield pa.RecordBatch.from_arrays([own, *(pa.array([x for o in held for x in o[name]], t) for name, _, t in schema)], ["seq_id", *names])
+                    at_rows = pa.array(np.concatenate(which))
+                    made = [pa.array([x for o in held for x in o[name]], t) for name, t in zip(names, types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(at_rows) for c in range(n_carried)), *made], [*b.schema.names[:n_carried], *names])
                     held, which, n = [], [], 0
 
-    return marked.select("seq_id", "seq", "at").mapInArrow(run, ", ".join([f"seq_id {kind}", *(f"{n} {t}" for n, t, _ in schema)]))
+    return rows.mapInArrow(run, schema)
+
+
+def _arrow_types(fields: StructType) -> list[pa.DataType]:
+    known = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    return [known[f.dataType.simpleString()] for f in fields.fields]
 
 
-def flag_branches(seqs: DataFrame, branches: DataFrame, kp1: int) -> DataFrame:
-    """(seq_id, flagged): seq with the base at each branch replaced by its digit."""
+def flag_branches(seqs: DataFrame, branches: DataFrame, kp1: int, **kw) -> DataFrame:
+    """seqs with, in place of seq, flagged: seq with the base at each branch replaced by its digit."""
 
     def make(text: str, at: np.ndarray) -> dict[str, list]:
-        chars = list(text)
-        for p, c in zip(at.tolist(), base_codes(text)[at].tolist(), strict=True):
-            chars[p] = str(c)
-        return {"flagged": ["".join(chars)]}
+        chars = np.array(list(text), dtype="<U1")
+        chars[at] = np.array(list("0123"))[base_codes(text)[at]]
+        return {"flagged": ["".join(chars.tolist())]}
 
-    return each_sequence(with_branches(seqs, branches, kp1), make, [("flagged", "string", pa.string())])
+    return each_sequence(seqs, branches, kp1, make, StructType().add("flagged", "string"), **kw)

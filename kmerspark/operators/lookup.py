@@ -1,4 +1,8 @@
-"""Looking k-mers up in a table of counts."""
+"""Looking k-mers up in a table of counts.
+
+Defined results: a null seq counts as an empty one; rows that share a seq_id, or
+have none, are reads of their own; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kmerspark.functions import codec
 from kmerspark.operators.windows import kmer_codes
+from kmerspark.rows import numbered
 
 
 def lookup(counts: DataFrame, probes: DataFrame) -> DataFrame:
@@ -18,7 +23,8 @@ def read_counters(reads: DataFrame, counts: DataFrame, k: int, canonical: bool =
 
     A read shorter than k has no counters.  Distinct k-mers of the reads meet the counts; a frequent one does so once.
     """
-    windows = kmer_codes(reads, k)
+    kept, row = numbered(reads.select("seq_id", "seq"))
+    windows = kmer_codes(kept.select(F.col(row).alias("seq_id"), "seq"), k)
     probe = windows.select("code").distinct()
     if canonical:
         probe = probe.withColumn("key", codec.encode(codec.canonical(codec.decode("code", k))))
@@ -27,7 +33,7 @@ def read_counters(reads: DataFrame, counts: DataFrame, k: int, canonical: bool =
     known = probe.join(counts.select(F.col("code").alias("key"), "cnt"), "key").select("code", "cnt")
     hits = windows.join(known, "code").groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "cnt"))).alias("hits"))
     n = F.greatest(F.length(F.coalesce("seq", F.lit(""))) - k + 1, F.lit(0))
-    rows = reads.select("seq_id", n.alias("n")).join(hits, "seq_id", "left")
+    rows = kept.select(row, "seq_id", n.alias("n")).join(hits.withColumnRenamed("seq_id", row), row, "left")
     # the zeros before each hit, the hit, and the zeros after the last
     gap = lambda a, b: f"array_repeat(0L, {b} - {a} - 1)"
     full = F.expr(f"IF(hits IS NULL, array_repeat(0L, n), flatten(concat(transform(hits, (h, i) -> concat({gap('IF(i = 0, -1, hits[i - 1].pos)', 'h.pos')}, array(h.cnt))), array({gap('element_at(hits, -1).pos', 'n')}))))")

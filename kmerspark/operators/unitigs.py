@@ -1,19 +1,24 @@
-"""Cutting sequences into unitigs at branch edges, and keeping each once."""
+"""Cutting sequences into unitigs at branch edges, and keeping each once.
+
+Defined results: those of flags.py; of equal keys the piece of the least seq_id,
+nulls first, then of the earliest piece is kept.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from kmerspark.operators.flags import base_codes, each_sequence, stretches, with_branches
+from kmerspark.operators.flags import base_codes, each_sequence, stretches
 
 
-def cut_unitigs(seqs: DataFrame, branches: DataFrame, kp1: int) -> DataFrame:
-    """(seq_id, idx, start, unitig) of seqs(seq_id, seq), cut where an edge of branches(code) ends.
+def cut_unitigs(seqs: DataFrame, branches: DataFrame, kp1: int, **kw) -> DataFrame:
+    """seqs(seq, ...) with, in place of seq, (idx, start, outer, unitig), cut where an edge of branches(code) ends.
 
     Pieces of a clean stretch overlap by k - 1 bases; each maximal stretch of
-    special characters is a piece.  Case is kept; an empty sequence is one empty piece.
+    special characters is a piece.  Case is kept; an empty sequence is one empty
+    piece.  outer: it is the first or the last of its sequence.
     """
 
     def make(text: str, at: np.ndarray) -> dict[str, list]:
@@ -22,28 +27,28 @@ def cut_unitigs(seqs: DataFrame, branches: DataFrame, kp1: int) -> DataFrame:
         starts, ends = np.sort(np.concatenate((starts, at - kp1 + 2))).tolist(), np.sort(np.concatenate((ends, at))).tolist()
         if not starts:
             starts, ends = [0], [0]
-        return {"idx": list(range(len(starts))), "start": starts, "unitig": [text[a:b] for a, b in zip(starts, ends, strict=True)]}
+        n = len(starts)
+        return {"idx": list(range(n)), "start": starts, "outer": [i in (0, n - 1) for i in range(n)], "unitig": [text[a:b] for a, b in zip(starts, ends, strict=True)]}
 
-    return each_sequence(with_branches(seqs, branches, kp1), make, [("idx", "long", pa.int64()), ("start", "long", pa.int64()), ("unitig", "string", pa.string())])
+    return each_sequence(seqs, branches, kp1, make, StructType().add("idx", "long").add("start", "long").add("outer", "boolean").add("unitig", "string"), **kw)
 
 
 def dedup_unitigs(unitigs: DataFrame, k: int) -> DataFrame:
-    """The first and the last piece of each sequence, and each inner piece over k long whose first k-mer no earlier inner piece has.
+    """The outer pieces, and each inner piece over k long whose first k-mer no earlier inner piece has.
 
     Earlier is by (seq_id, idx) over the whole input.  The earliest is kept by an
     aggregate with partial minima, so a k-mer that most pieces start with costs a row a task.
     """
-    last = unitigs.groupBy("seq_id").agg(F.max("idx").alias("last"))
-    rows = unitigs.join(last, "seq_id")
-    ends = rows.where((F.col("idx") == 0) | (F.col("idx") == F.col("last"))).select(*unitigs.columns)
-    inner = rows.where((F.col("idx") > 0) & (F.col("idx") < F.col("last")) & (F.length("unitig") > k))
+    inner = unitigs.where(~F.col("outer") & (F.length("unitig") > k))
     first = F.upper(F.substring("unitig", 1, k))
     key = F.when(first.rlike("[^ACGT]"), F.concat(F.lit("special:"), F.substring(first, k, 1) == "-")).otherwise(first)
-    kept = inner.groupBy(key.alias("key")).agg(F.min(F.struct(*unitigs.columns)).alias("u")).select("u.*")
-    return ends.unionByName(kept)
+    order = ["seq_id", "idx", *[c for c in unitigs.columns if c not in ("seq_id", "idx")]]
+    kept = inner.groupBy(key.alias("key")).agg(F.min(F.struct(*order)).alias("u")).select("u.*")
+    return unitigs.where("outer").unionByName(kept)
 
 
 def to_text(unitigs: DataFrame) -> DataFrame:
-    """(seq_id, idx, record): records as text, headed by >idx|start|name."""
-    head = F.concat_ws("|", F.concat(F.lit(">"), F.col("idx")), "start", "seq_id")
-    return unitigs.select("seq_id", "idx", F.concat(head, F.lit("\n"), "unitig", F.lit("\n")).alias("record"))
+    """unitigs with, in place of unitig, record: the text headed by >idx|start|name; the name is seq_id where there is none."""
+    name = F.col("name") if "name" in unitigs.columns else F.col("seq_id").cast("string")
+    head = F.concat_ws("|", F.concat(F.lit(">"), F.col("idx")), "start", F.coalesce(name, F.lit("")))
+    return unitigs.withColumn("record", F.concat(head, F.lit("\n"), "unitig", F.lit("\n"))).drop("unitig")

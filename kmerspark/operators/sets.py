@@ -13,8 +13,10 @@ from kmerspark.scratch import materialize
 
 
 def sort_kmers(kmers: DataFrame, distinct: bool = False) -> DataFrame:
-    """In k-mer order: a range shuffle and a sort in each range."""
-    return (kmers.distinct() if distinct else kmers).orderBy(codec.unsigned_order("code"))
+    """In k-mer order: a range shuffle and a sort in each range; rows of one k-mer may take several ranges."""
+    if distinct:
+        return kmers.distinct().orderBy(codec.unsigned_order("code"))
+    return kmers.orderBy(codec.unsigned_order("code"), F.rand(1))
 
 
 def merge(tables: Sequence[DataFrame], distinct: bool = False) -> DataFrame:
@@ -77,10 +79,10 @@ def check_order(table: DataFrame, strict: bool = False) -> DataFrame:
 def adjacent_deltas(codes: DataFrame) -> DataFrame:
     """(delta): the differences of codes next to each other in order; for k of 31 or less.
 
-    One range shuffle: differences inside a range by a window over the range,
-    between ranges from one row each.
+    One range shuffle, which runs when this is called: differences inside a range
+    by a window over the range, between ranges from one row each.
     """
-    ranged = materialize(codes.select("code").repartitionByRange("code").withColumn("_range", F.spark_partition_id()), "ranged")
+    ranged = materialize(codes.select("code").repartitionByRange("code", F.rand(1)).withColumn("_range", F.spark_partition_id()), "ranged")
     inside = ranged.withColumn("delta", F.col("code") - F.lag("code").over(W.partitionBy("_range").orderBy("code"))).where("delta IS NOT NULL").select("delta")
     ends = ranged.groupBy("_range").agg(F.min("code").alias("lo"), F.max("code").alias("hi"))
     between = ends.withColumn("delta", F.col("lo") - F.lag("hi").over(W.orderBy("lo", "hi"))).where("delta IS NOT NULL").select("delta")

@@ -39,10 +39,11 @@ def ranked(df: DataFrame, order: Sequence[str | Column], name: str = "rank") ->
 
     The rows are range-partitioned and sorted once, written, and numbered by
     (rows in earlier ranges) + (place in the range): one shuffle, and a window
-    over one row per range in place of one over the table.  Rows that tie get
-    numbers in no set order; add columns to ``order`` to fix it.
+    over one row per range in place of one over the table.  Rows that tie may lie
+    in several ranges and get numbers in no set order; add columns to ``order`` to
+    fix it.  The shuffle runs when this is called.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = df.repartitionByRange(*order, F.rand(1)).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     kept = materialize(ranged, "ranked").withColumn("_range", F.shiftright("_id", 33))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     starts = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

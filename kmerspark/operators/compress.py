@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from kmerspark.functions import codec
 
 
 def rle_runs(rows: DataFrame) -> DataFrame:
-    """(row, start, value, length) of the runs in rows(row, s), found inside the row."""
-    runs = F.regexp_extract_all("s", F.lit(r"((?s).)\1*"), F.lit(0))
-    each = rows.select("row", F.posexplode(runs).alias("i", "r"))
-    before = W.partitionBy("row").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    return each.select("row", F.coalesce(F.sum(F.length("r")).over(before), F.lit(0)).cast("long").alias("start"), F.substring("r", 1, 1).alias("value"), F.length("r").cast("long").alias("length"))
+    """(row, start, value, length) of the runs in rows(row, s), found inside the row; a null or empty s has none."""
+    kind = rows.schema["row"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                points = np.frombuffer((b.column(1)[i].as_py() or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+                starts = np.flatnonzero(np.concatenate(([True], points[1:] != points[:-1]))) if len(points) else np.zeros(0, np.int64)
+                own = b.column(0).take(pa.array(np.full(len(starts), i)))
+                yield pa.RecordBatch.from_arrays([own, pa.array(starts, pa.int64()), pa.array([chr(c) for c in points[starts]], pa.string()), pa.array(np.diff(np.concatenate((starts, [len(points)]))), pa.int64())], ["row", "start", "value", "length"])
+
+    return rows.select("row", "s").mapInArrow(run, f"row {kind}, start long, value string, length long")
 
 
 def rle_digits(runs: DataFrame) -> DataFrame:
@@ -71,32 +80,51 @@ def huffman_bits(runs: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(coded), "symbol").agg(F.count(F.lit(1)).alias("symbols"), F.coalesce(F.sum("n"), F.lit(0)).alias("written"), F.coalesce(F.sum(F.col("n") * F.col("bits")), F.lit(0)).cast("long").alias("bits"))
 
 
-def pbwt_encode(rows: DataFrame, width: int) -> DataFrame:
+#: Cells of a block, which one task holds.
+MAX_CELLS = 1 << 25
+
+
+def pbwt_encode(rows: DataFrame, width: int, max_cells: int = MAX_CELLS) -> DataFrame:
     """(block, col, rank, row, value) of rows(block, row, s), strings of ``width`` characters.
 
     Column j lists its characters in the order of the rows by columns j - 1 down
-    to 0, then by row.  Blocks are transformed apart from each other, as many
-    tasks as blocks and columns.
+    to 0, then by row.  Each column is one stable sort of the one before, so a
+    block takes time and memory by its cells.  Blocks are transformed apart from
+    each other; one of over max_cells cells raises.
     """
-    cells = rows.select("block", "row", "s", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("col"))
-    keyed = cells.select("block", "row", "col", F.expr("substring(s, col + 1, 1)").alias("value"), F.reverse(F.expr("substring(s, 1, col)")).alias("_key"))
-    order = W.partitionBy("block", "col").orderBy("_key", "row")
-    return keyed.select("block", "col", (F.row_number().over(order) - 1).alias("rank"), "row", "value")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row")
+        n = len(pdf)
+        if n * width > max_cells:
+            raise ValueError(f"block {pdf['block'].iloc[0]}: {n} rows of {width} are over {max_cells} cells; make smaller blocks")
+        cells = np.array([list(s) for s in pdf["s"]], dtype="<U1").reshape(n, width)
+        ids, order = pdf["row"].to_numpy(), np.arange(n)
+        at = np.empty((width, n), np.int64)
+        for j in range(width):
+            at[j] = order
+            order = order[np.argsort(cells[order, j], kind="stable")]
+        col = np.repeat(np.arange(width, dtype=np.int32), n)
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "col": col, "rank": np.tile(np.arange(n, dtype=np.int32), width), "row": ids[at.ravel()], "value": cells[at.ravel(), col]})
+
+    return rows.select("block", "row", "s").groupBy("block").applyInPandas(run, "block long, col int, rank int, row long, value string")
 
 
 def pbwt_decode(encoded: DataFrame) -> DataFrame:
-    """(block, row, s) from (block, col, rank, value): column by column, each block on its own, its rows numbered from 0."""
+    """(block, row, s) from (block, col, rank, value): column by column, each block, bounded as in encoding, on its own; its rows numbered from 0."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = pdf.sort_values(["col", "rank"]).groupby("col")["value"].apply(list)
-        n = len(columns.iloc[0])
-        order, out = np.arange(n), np.empty((len(columns), n), dtype=object)
-        for j, values in enumerate(columns):
-            out[j, order] = values
-            order = order[np.argsort(np.array(values), kind="stable")]
-        return pd.DataFrame({"block": pdf["block"].iloc[0], "row": np.arange(n), "s": ["".join(out[:, i]) for i in range(n)]})
-
-    return encoded.groupBy("block").applyInPandas(run, "block long, row long, s string")
+        pdf = pdf.sort_values(["col", "rank"])
+        width = int(pdf["col"].max()) + 1
+        cells = pdf["value"].to_numpy(dtype="<U1").reshape(width, -1)
+        back = np.empty(cells.shape[::-1], dtype="<U1")
+        order = np.arange(cells.shape[1])
+        for j in range(width):
+            back[order, j] = cells[j]
+            order = order[np.argsort(cells[j], kind="stable")]
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "row": np.arange(len(back)), "s": ["".join(r) for r in back]})
+
+    return encoded.select("block", "col", "rank", "value").groupBy("block").applyInPandas(run, "block long, row long, s string")
 
 
 def bytes_to_bases(rows: DataFrame, fragment: int | None = None) -> DataFrame:

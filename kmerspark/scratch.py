@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder of this application."""
     base = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {KEY} to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kmerspark-")
         spark.conf.set(KEY, base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -30,11 +32,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and return the table read back."""
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write df once, now, and return the table read back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

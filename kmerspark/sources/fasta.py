@@ -1,38 +1,104 @@
-"""FASTA text, split over records by Spark's own text reader; gzip by the file's name."""
+"""FASTA and FASTQ text, split over records by Spark's own text reader; gzip by the file's name."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: A record's place: ordered by these, records are as in the files.
+PLACE = ["file", "part", "at"]
+SCHEMA = "file string, part long, at long, name string, comment string, id string, seq string"
 
-def read_fasta(spark: SparkSession, paths: str | Sequence[str], leading_text: bool = False) -> DataFrame:
-    """(file, name, comment, id, seq) of FASTA files.
+
+def _pieces(spark: SparkSession, paths: str | Sequence[str], separator: str) -> DataFrame:
+    raw = spark.read.option("lineSep", separator).text(paths if isinstance(paths, str) else list(paths))
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def _records(pieces: DataFrame, parse: Callable[[str, str, bool], tuple[str, str] | None]) -> DataFrame:
+    """SCHEMA from pieces, in the order of the files; parse(file, text, whether it opens its file) gives a header line and a sequence, or None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            rows = []
+            for file, part, at, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = parse(file, text, part == 0 and file != last)
+                last = file
+                if found is not None:
+                    name, _, comment = re.sub(r"\s", "\t", found[0], count=1).partition("\t")
+                    rows.append((file, part, at, name, comment or None, f"{name} {comment}" if comment else name, found[1]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i in (1, 2) else pa.string()) for i, c in enumerate(zip(*rows, strict=True))], [f.split()[0] for f in SCHEMA.split(", ")])
+
+    return pieces.mapInArrow(run, SCHEMA)
+
+
+def _fasta(file: str, text: str, opens: bool) -> tuple[str, str] | None:
+    if opens:  # only the first record of a file has kept its ">", as no line end comes before it
+        text = text.lstrip()
+        if text.startswith("@") and re.match(r"@[^\n]*\n[^\n]*\n\+", text):
+            raise ValueError(f"{file}: FASTQ records, not FASTA; use read_fastq")
+        if not text.startswith(">"):
+            return None  # leading text
+        text = text[1:]
+    head, _, body = text.partition("\n")
+    return head.rstrip("\r"), "".join(body.split())
+
+
+def read_fasta(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(file, part, at, name, comment, id, seq) of FASTA files.
 
     A record starts at a line with ">".  The name goes up to the first blank, the
     comment is the rest of the line, id is both.  Sequence lines are joined,
     carriage returns and blanks dropped; a record without sequence has an empty
-    one, and blank files give no rows.  With ``leading_text`` files may have text
-    before their first record, which is dropped; finding it reads the files twice.
+    one, text before a file's first record is dropped, and blank files give no
+    rows.  A file of FASTQ records raises.
     """
-    raw = spark.read.option("lineSep", "\n>").text(paths if isinstance(paths, str) else list(paths)).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    if leading_text:  # the first piece of a file is a record only if it has kept its ">"
-        first = raw.groupBy(F.col("file").alias("_file")).agg(F.min_by("value", "at").startswith(">").alias("_whole"), F.min("at").alias("_first"))
-        raw = raw.join(first, raw["file"] == first["_file"]).where(F.col("_whole") | (F.col("at") > F.col("_first"))).select("value", "file")
-    rows = raw.where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "").select("file", F.regexp_replace("value", r"^\s*>", "").alias("rec"))
-    lines = rows.select("file", F.regexp_replace(F.regexp_extract("rec", r"^([^\n]*)", 1), r"\r$", "").alias("head"), F.regexp_replace(F.regexp_extract("rec", r"^[^\n]*\n?([\s\S]*)$", 1), r"\s", "").alias("seq"))
-    name = F.regexp_extract("head", r"^(\S*)", 1)
-    comment = F.regexp_extract("head", r"^\S*\s(.*)$", 1)
-    return lines.select("file", name.alias("name"), F.when(comment != "", comment).alias("comment"), F.concat_ws(" ", name, F.when(comment != "", comment)).alias("id"), "seq")
+    return _records(_pieces(spark, paths, "\n>"), _fasta)
+
+
+def _fastq(file: str, text: str, opens: bool) -> tuple[str, str] | None:
+    if opens:
+        text = text.lstrip()
+        if text.startswith(">"):
+            raise ValueError(f"{file}: FASTA records, not FASTQ; use read_fasta")
+        if not text.startswith("@"):
+            return None  # leading text
+        text = text[1:]
+    lines = [x.rstrip("\r") for x in text.rstrip("\n").split("\n")]
+    if len(lines) == 1 and not opens:
+        return None  # what follows the "@" that a quality line begins with
+    if len(lines) not in (3, 4) or not lines[2].startswith("+") or (len(lines) == 4 and len(lines[3]) != len(lines[1])):
+        raise ValueError(f"{file}: not a record of four lines: @{text[:80]!r}")
+    return lines[0], lines[1]
+
+
+def read_fastq(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """The same columns of FASTQ files, with records of four lines; qualities are read and dropped.
+
+    Text before a file's first record is dropped; records of other than four
+    lines, or with a quality of another length, raise.  A quality that begins
+    with "@" is not measured, since it looks like a record's start.
+    """
+    return _records(_pieces(spark, paths, "\n@"), _fastq)
+
+
+def fasta_record(name: str, seq: str) -> Column:
+    """A FASTA record on two lines."""
+    return F.concat(F.lit(">"), F.coalesce(F.col(name), F.lit("")), F.lit("\n"), F.col(seq))
 
 
 def fasta_text(seqs: DataFrame, width: int = 60) -> DataFrame:
-    """(value): seqs(name, seq) as FASTA records, wrapped at ``width``."""
-    wrapped = F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
-    return seqs.select(F.concat(F.lit(">"), "name", F.lit("\n"), wrapped).alias("value"))
+    """(value): seqs(name, seq) as FASTA records, wrapped at ``width``; 0 for one line."""
+    wrapped = seqs.withColumn("seq", F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")) if width else seqs
+    return wrapped.select(fasta_record("name", "seq").alias("value"))
 
 
-def write_fasta(seqs: DataFrame, path: str, width: int = 60, compression: str | None = None) -> None:
-    out = fasta_text(seqs, width).write
+def write_fasta(seqs: DataFrame, path: str, width: int = 60, compression: str | None = None, order: Sequence[str] = ()) -> None:
+    """seqs(name, seq) as FASTA files; in the given order over the files by name, if there is one."""
+    out = fasta_text(seqs.orderBy(*order) if order else seqs, width).write
     (out.option("compression", compression) if compression else out).text(path)

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from kmerspark.functions.codec import check_k
 
@@ -60,7 +65,105 @@ def from_parts(parts: DataFrame) -> DataFrame:
     return parts.select("part", "data").mapInArrow(run, "part long, place long, k int, code long")
 
 
-def read_mer(spark: SparkSession, path: str) -> DataFrame:
-    """(part, place, k, code) of flat k-mer files; part numbers the files of one read."""
-    files = spark.read.format("binaryFile").load(path).select(F.monotonically_increasing_id().alias("part"), F.col("content").alias("data"))
-    return from_parts(files)
+class MerSource(DataSource):
+    """The format "mer": (file, pos, k, code) of flat k-mer files, by ranges of bytes; written as a file for each partition.
+
+    Options: path, a file or a folder of them as any URI that pyarrow knows, and
+    range, the k-mers of one range.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "mer"
+
+    def schema(self) -> str:
+        return "file string, pos long, k int, code long"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return MerReader(self.options["path"], int(self.options.get("range", PART)))
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return MerWriter(self.options["path"], int(self.options["k"]))
+
+
+@dataclass
+class Range(InputPartition):
+    file: str
+    k: int
+    first: int
+    n: int
+
+
+class MerReader(DataSourceReader):
+    def __init__(self, path: str, size: int):
+        self.path, self.size = path, size
+
+    def partitions(self) -> list[Range]:
+        """Ranges of every file, once its length is what its header says; headers alone are read."""
+        files, root = fs.FileSystem.from_uri(self.path)
+        info = files.get_file_info(root)
+        found = [info] if info.is_file else sorted((f for f in files.get_file_info(fs.FileSelector(root)) if f.is_file and f.base_name.endswith("mer")), key=lambda f: f.path)
+        out = []
+        for f in found:
+            with files.open_input_file(f.path) as stream:
+                k, n = struct.unpack(HEADER, stream.read(struct.calcsize(HEADER)))
+            if f.size != struct.calcsize(HEADER) + 8 * n:
+                raise ValueError(f"{f.path}: {n} k-mers declared in {f.size} bytes")
+            out += [Range(f.path, k, a, min(self.size, n - a)) for a in range(0, n, self.size)]
+        return out
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        files, _ = fs.FileSystem.from_uri(self.path)
+        with files.open_input_file(partition.file) as stream:
+            stream.seek(struct.calcsize(HEADER) + 8 * partition.first)
+            codes = np.frombuffer(stream.read(8 * partition.n), "<i8")
+        n = len(codes)
+        yield pa.RecordBatch.from_arrays([pa.array([partition.file] * n), pa.array(np.arange(partition.first, partition.first + n)), pa.array(np.full(n, partition.k, np.int32)), pa.array(codes)], ["file", "pos", "k", "code"])
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    file: str
+
+
+class MerWriter(DataSourceArrowWriter):
+    """Each partition's codes, in their order, become a file of their own, which is renamed when all are done."""
+
+    def __init__(self, path: str, k: int):
+        self.path, self.k = path, k
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        files, root = fs.FileSystem.from_uri(self.path)
+        files.create_dir(root)
+        context = TaskContext.get()
+        name = f"{root}/_part-{context.partitionId():06d}-{context.taskAttemptId()}"
+        codes = [b.column(b.schema.get_field_index("code")).to_numpy() for b in iterator]
+        with files.open_output_stream(name) as out:
+            out.write(struct.pack(HEADER, self.k, sum(map(len, codes))))
+            for c in codes:
+                out.write(c.astype("<i8").tobytes())
+        return Written(name)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        files, _ = fs.FileSystem.from_uri(self.path)
+        for m in filter(None, messages):
+            folder, _, name = m.file.rpartition("/")
+            files.move(m.file, f"{folder}/{name[1:].rpartition('-')[0]}.smer")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        files, _ = fs.FileSystem.from_uri(self.path)
+        for m in filter(None, messages):
+            files.delete_file(m.file)
+
+
+def read_mer(spark: SparkSession, path: str, size: int = PART) -> DataFrame:
+    """(file, pos, k, code) of a flat k-mer file, or of a folder's in the order of their names, read by ranges of ``size`` k-mers."""
+    spark.dataSource.register(MerSource)
+    return spark.read.format("mer").option("range", size).load(path)
+
+
+def write_mer(kmers: DataFrame, k: int, path: str) -> None:
+    """kmers(code) in their order as flat files, one for each partition; in name order they are one sorted file if kmers are sorted."""
+    check_k(k)
+    kmers.sparkSession.dataSource.register(MerSource)
+    kmers.select("code").write.format("mer").option("k", k).mode("append").save(path)

@@ -72,6 +72,11 @@ def register(oracle: str | None = None):
     return keep
 
 
+def _graph_rows(spark: SparkSession, sf: str, k: int = 9) -> DataFrame:
+    """Edges of the conversations' graph, for what reads repeated rows as one."""
+    return graph.edge_rows(tables.conversations(spark, sf), k)
+
+
 def _conv_edges(spark: SparkSession, sf: str, k: int) -> DataFrame:
     return kmer_codes(tables.conversations(spark, sf), k).select("code")
 
@@ -134,29 +139,29 @@ def kmer_windows(spark: SparkSession, sf: str) -> DataFrame:
     return kmer_strings(tables.conversations(spark, sf), 15)
 
 
-@register(sql([windows("w", "B", 15)], f"SELECT DISTINCT kmer, {code('kmer')} AS code FROM w"))
+@register(sql([windows("w", "C", 15)], f"SELECT DISTINCT kmer, {code('kmer')} AS code FROM w"))
 def kmer_encode(spark: SparkSession, sf: str) -> DataFrame:
-    return kmer_strings(tables.benchmark(spark, sf), 15).select("kmer", codec.encode("kmer").alias("code")).distinct()
+    return kmer_strings(tables.conversations(spark, sf), 15).select("kmer", codec.encode("kmer").alias("code")).distinct()
 
 
-@register(sql([windows("w", "B", 32)], "SELECT seq_id, pos, kmer FROM w"))
+@register(sql([windows("w", "C", 32)], "SELECT seq_id, pos, kmer FROM w"))
 def kmer_decode(spark: SparkSession, sf: str) -> DataFrame:
-    return kmer_codes(tables.benchmark(spark, sf), 32).select("seq_id", "pos", codec.decode("code", 32).alias("kmer"))
+    return kmer_codes(tables.conversations(spark, sf), 32).select("seq_id", "pos", codec.decode("code", 32).alias("kmer"))
 
 
-@register(sql([windows("w", "B", 11)], "SELECT DISTINCT kmer, reverse(translate(kmer, 'ACGT', 'TGCA')) AS rc FROM w"))
+@register(sql([windows("w", "C", 11)], "SELECT DISTINCT kmer, reverse(translate(kmer, 'ACGT', 'TGCA')) AS rc FROM w"))
 def revcomp(spark: SparkSession, sf: str) -> DataFrame:
-    return kmer_strings(tables.benchmark(spark, sf), 11).select("kmer").distinct().withColumn("rc", codec.revcomp("kmer"))
+    return kmer_strings(tables.conversations(spark, sf), 11).select("kmer").distinct().withColumn("rc", codec.revcomp("kmer"))
 
 
-@register(sql([windows("w", "B", 11)], "SELECT DISTINCT kmer, right(kmer, 3) || left(kmer, 8) AS to_right, substr(kmer, 3) || left(kmer, 2) AS to_left FROM w"))
+@register(sql([windows("w", "C", 11)], "SELECT DISTINCT kmer, right(kmer, 3) || left(kmer, 8) AS to_right, substr(kmer, 3) || left(kmer, 2) AS to_left FROM w"))
 def kmer_rotate(spark: SparkSession, sf: str) -> DataFrame:
-    return kmer_strings(tables.benchmark(spark, sf), 11).select("kmer").distinct().select("kmer", codec.rotate("kmer", 3).alias("to_right"), codec.rotate("kmer", -2).alias("to_left"))
+    return kmer_strings(tables.conversations(spark, sf), 11).select("kmer").distinct().select("kmer", codec.rotate("kmer", 3).alias("to_right"), codec.rotate("kmer", -2).alias("to_left"))
 
 
-@register(sql([windows("w", "B", 11)], "SELECT DISTINCT kmer, i, CASE WHEN i BETWEEN 0 AND 10 THEN substr(kmer, i + 1, 1) END AS base FROM w, (SELECT unnest([-1, 0, 5, 10, 11]) AS i)"))
+@register(sql([windows("w", "C", 11)], "SELECT DISTINCT kmer, i, CASE WHEN i BETWEEN 0 AND 10 THEN substr(kmer, i + 1, 1) END AS base FROM w, (SELECT unnest([-1, 0, 5, 10, 11]) AS i)"))
 def kmer_symbol_at(spark: SparkSession, sf: str) -> DataFrame:
-    kmers = kmer_strings(tables.benchmark(spark, sf), 11).select("kmer").distinct()
+    kmers = kmer_strings(tables.conversations(spark, sf), 11).select("kmer").distinct()
     return kmers.select("kmer", F.explode(F.array(*map(F.lit, (-1, 0, 5, 10, 11)))).alias("i")).withColumn("base", codec.symbol_at("kmer", F.col("i")))
 
 
@@ -167,6 +172,7 @@ def base_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- bags and sets: assistants' k-mers against the other roles' ----
 
+_ALL = windows("w", "C", 10)
 _A, _T = windows("wa", "(SELECT * FROM C WHERE role = 'assistant')", 10), windows("wt", "(SELECT * FROM C WHERE role IS DISTINCT FROM 'assistant')", 10)
 
 
@@ -176,9 +182,9 @@ def _two(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return kmer_codes(seqs.where(own), 10).select("code"), kmer_codes(seqs.where(~own), 10).select("code")
 
 
-@register(sql([_A], "SELECT kmer FROM wa"))
+@register(sql([_ALL], "SELECT kmer FROM w"))
 def kmer_sort(spark: SparkSession, sf: str) -> DataFrame:
-    return counting.with_kmers(sets.sort_kmers(_two(spark, sf)[0]), 10)
+    return counting.with_kmers(sets.sort_kmers(_conv_edges(spark, sf, 10)), 10)
 
 
 @register(sql([_A, _T], "SELECT kmer FROM wa UNION ALL SELECT kmer FROM wt"))
@@ -213,21 +219,21 @@ def kmer_intersect(spark: SparkSession, sf: str) -> DataFrame:
     return counting.with_kmers(sets.intersection(*_two(spark, sf)), 10)
 
 
-@register(sql([_A], "SELECT count(*) AS n, true AS sorted, CAST(NULL AS BIGINT) AS first_violation FROM wa"))
+@register(sql([_ALL], "SELECT count(*) AS n, true AS sorted, CAST(NULL AS BIGINT) AS first_violation FROM w"))
 def check_sorted(spark: SparkSession, sf: str) -> DataFrame:
-    return sets.check_order(sets.with_positions(_two(spark, sf)[0]))
+    return sets.check_order(sets.with_positions(_conv_edges(spark, sf, 10)))
 
 
-@register(sql([_A, "p AS (SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS pos FROM wa)"], "SELECT (SELECT count(*) FROM wa) AS n, min(pos) IS NULL AS sorted, min(pos) AS first_violation FROM (SELECT pos, kmer, lag(kmer) OVER (ORDER BY pos) AS b FROM p) WHERE b >= kmer"))
+@register(sql([_ALL, "p AS (SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS pos FROM w)"], "SELECT (SELECT count(*) FROM w) AS n, min(pos) IS NULL AS sorted, min(pos) AS first_violation FROM (SELECT pos, kmer, lag(kmer) OVER (ORDER BY pos) AS b FROM p) WHERE b >= kmer"))
 def check_strict(spark: SparkSession, sf: str) -> DataFrame:
-    return sets.check_order(sets.with_positions(_two(spark, sf)[0]), strict=True)
+    return sets.check_order(sets.with_positions(_conv_edges(spark, sf, 10)), strict=True)
 
 
 _P = "p AS (SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS pos FROM e)"
 
 
 def _file(spark: SparkSession, sf: str) -> DataFrame:
-    return sets.with_positions(_conv_edges(spark, sf, KP).distinct())
+    return sets.with_positions(_graph_rows(spark, sf).distinct())
 
 
 @register(sql([_W, _E, _P], "SELECT pos, kmer FROM p ORDER BY pos LIMIT 20"))
@@ -263,29 +269,29 @@ def mer_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(sql([_WD, _ED, _OD], "SELECT kmer FROM o"))
 def split_o(spark: SparkSession, sf: str) -> DataFrame:
-    return counting.with_kmers(graph.multi_out(kmer_codes(tables.documents(spark, sf), LONGP), distinct=True), LONGP)
+    return counting.with_kmers(graph.multi_out(graph.edge_rows(tables.documents(spark, sf), LONGP), distinct=True), LONGP)
 
 
 @register(sql([_WD, _ED, _ID], "SELECT kmer FROM i"))
 def split_i(spark: SparkSession, sf: str) -> DataFrame:
-    return counting.with_kmers(graph.multi_in(kmer_codes(tables.documents(spark, sf), LONGP), LONGP, distinct=True), LONGP)
+    return counting.with_kmers(graph.multi_in(graph.edge_rows(tables.documents(spark, sf), LONGP), LONGP, distinct=True), LONGP)
 
 
 @register(sql([_W, _E], f"SELECT left(kmer, {K}) AS kmer, CAST(bit_or(CAST(1 << (instr('ACGT', right(kmer, 1)) - 1) AS INTEGER)) AS INTEGER) AS mask, count(*) = 1 AS single FROM e GROUP BY 1"))
 def successor_mask(spark: SparkSession, sf: str) -> DataFrame:
-    masks = graph.successor_masks(_conv_edges(spark, sf, KP))
+    masks = graph.successor_masks(_graph_rows(spark, sf))
     return masks.select(codec.decode("kmer", K).alias("kmer"), "mask", (F.bit_count("mask") == 1).alias("single"))
 
 
 @register(sql([_W, _E], f"SELECT kmer, left(kmer, {K}) AS source, right(kmer, {K}) AS target, left(kmer, 1) AS first FROM e"))
 def edge_endpoints(spark: SparkSession, sf: str) -> DataFrame:
-    ends = graph.endpoints(_conv_edges(spark, sf, KP).distinct(), KP)
+    ends = graph.endpoints(_graph_rows(spark, sf).distinct(), KP)
     return ends.select(codec.decode("code", KP).alias("kmer"), codec.decode("source", K).alias("source"), codec.decode("target", K).alias("target"), codec.decode(codec.first_base("code", KP), 1).alias("first"))
 
 
 @register(sql(_GRAPH, f"SELECT seq_id, pos + {K} AS pos FROM w WHERE kmer IN (SELECT kmer FROM o)"))
 def branch_positions(spark: SparkSession, sf: str) -> DataFrame:
-    edges_, seqs = _conv_edges(spark, sf, KP), tables.conversations(spark, sf)
+    edges_, seqs = _graph_rows(spark, sf), tables.conversations(spark, sf)
     return graph.branch_positions(seqs, graph.multi_out(edges_, distinct=True), KP).select("seq_id", "pos")
 
 
@@ -295,7 +301,7 @@ def _both(edges_: DataFrame, kp1: int) -> DataFrame:
 
 @register(sql(_GRAPH, f"SELECT seq_id, pos + {K} AS pos FROM w WHERE kmer IN (SELECT kmer FROM o UNION SELECT kmer FROM i)"))
 def unitig_cuts(spark: SparkSession, sf: str) -> DataFrame:
-    edges_, seqs = _conv_edges(spark, sf, KP), tables.conversations(spark, sf)
+    edges_, seqs = _graph_rows(spark, sf), tables.conversations(spark, sf)
     return graph.branch_positions(seqs, _both(edges_, KP), KP).select("seq_id", "pos")
 
 
@@ -304,8 +310,8 @@ _FLAG = f"SELECT seq_id, c.p, CASE WHEN o.kmer IS NULL THEN substr(seq, c.p + 1,
 
 @register(sql([*_GRAPH, f"f AS ({_FLAG})"], "SELECT C.seq_id, coalesce(string_agg(x, '' ORDER BY p), '') AS flagged FROM C LEFT JOIN f ON C.seq_id = f.seq_id GROUP BY C.seq_id"))
 def okmerflag(spark: SparkSession, sf: str) -> DataFrame:
-    edges_, seqs = _conv_edges(spark, sf, KP), tables.conversations(spark, sf)
-    return flags.flag_branches(seqs, graph.multi_out(edges_, distinct=True), KP)
+    edges_, seqs = _graph_rows(spark, sf), tables.conversations(spark, sf)
+    return flags.flag_branches(seqs, graph.multi_out(edges_, distinct=True), KP).select("seq_id", "flagged")
 
 
 # ---- branch-only encoding ----
@@ -313,73 +319,76 @@ def okmerflag(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(sql([pieces("sg", "D", LONGP)], "SELECT seq_id, id AS brc_id, len, start, CASE WHEN good THEN 'good' ELSE 'bad' END AS type FROM sg"))
 def brc_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return brc.segments(tables.documents(spark, sf), LONGP)
+    return brc.segments(tables.documents(spark, sf), LONGP).select("seq_id", "brc_id", "len", "start", "type")
 
 
 def _walk_sql(table: str, ctes: list[str], kp1: int, item: str, columns: str, where: str = "") -> str:
     k = kp1 - 1
-    body = f"bd AS (SELECT sg.seq_id, sg.id, string_agg({item}, '' ORDER BY pos) AS s FROM sg JOIN w ON w.seq_id = sg.seq_id AND pos >= start AND pos < start + len WHERE good AND kmer IN (SELECT kmer FROM o) GROUP BY 1, 2)"
+    # a good piece has clean windows only, so they are made from the piece itself
+    own = f"SELECT seq_id, id, i AS pos, substr(piece, i + 1, {kp1}) AS kmer FROM (SELECT seq_id, id, piece, unnest(range(0, len - {k})) AS i FROM sg WHERE good)"
+    body = f"bd AS (SELECT seq_id, id, string_agg({item}, '' ORDER BY pos) AS s FROM ({own}) WHERE kmer IN (SELECT kmer FROM o) GROUP BY 1, 2)"
     rec = f"r AS (SELECT sg.seq_id, sg.id AS brc_id, len, start, CASE WHEN good THEN 'good' ELSE 'bad' END AS type, CASE WHEN good THEN left(piece, {k}) || coalesce(s, '') ELSE piece END AS brc FROM sg LEFT JOIN bd ON bd.seq_id = sg.seq_id AND bd.id = sg.id)"
     return sql([*ctes, pieces("sg", table, kp1), body, rec], f"SELECT {columns} FROM r {where}")
 
 
 _RECORD = "seq_id, brc_id, len, start, type, brc"
+_FIELDS = _RECORD.split(", ")
 _DOCS = [_WD, _ED, _OD]
 
 
 def _walk_conv(spark: SparkSession, sf: str, **kw) -> DataFrame:
-    edges_ = _conv_edges(spark, sf, KP)
+    edges_ = _graph_rows(spark, sf)
     return brc.walk(tables.conversations(spark, sf), graph.multi_out(edges_, distinct=True), KP, **kw)
 
 
 def _walk_docs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     seqs = tables.documents(spark, sf)
-    edges_ = kmer_codes(seqs, LONGP)
+    edges_ = graph.edge_rows(seqs, LONGP)
     return brc.walk(seqs, graph.multi_out(edges_, distinct=True), LONGP), edges_
 
 
 @register(_walk_sql("D", _DOCS, LONGP, "right(kmer, 1)", _RECORD))
 def brc_walk(spark: SparkSession, sf: str) -> DataFrame:
-    return _walk_docs(spark, sf)[0]
+    return _walk_docs(spark, sf)[0].select(*_FIELDS)
 
 
 @register(_walk_sql("C", _GRAPH, KP, "kmer", _RECORD))
 def brc_walk_kmer(spark: SparkSession, sf: str) -> DataFrame:
-    return _walk_conv(spark, sf, kmer_format=True)
+    return _walk_conv(spark, sf, kmer_format=True).select(*_FIELDS)
 
 
 @register(_walk_sql("C", _GRAPH, KP, "right(kmer, 1)", _RECORD, "WHERE type = 'good'"))
 def brc_pass_n(spark: SparkSession, sf: str) -> DataFrame:
-    return _walk_conv(spark, sf, pass_special=True)
+    return _walk_conv(spark, sf, pass_special=True).select(*_FIELDS)
 
 
 @register(_walk_sql("C", _GRAPH, KP, "right(kmer, 1)", "seq_id, brc_id, '>' || brc_id || '|' || len || '|' || start || '|' || type || '|' || seq_id || chr(10) || brc || chr(10) AS record"))
 def brc_text(spark: SparkSession, sf: str) -> DataFrame:
-    return brc.to_text(_walk_conv(spark, sf))
+    return brc.to_text(_walk_conv(spark, sf)).select("seq_id", "brc_id", "record")
 
 
 @register(_walk_sql("C", _GRAPH, KP, "right(kmer, 1)", "CAST(seq_id AS VARCHAR) AS name, brc_id, len, start, type, brc"))
 def brc_parse(spark: SparkSession, sf: str) -> DataFrame:
-    return brc.from_text(brc.to_text(_walk_conv(spark, sf)))
+    return brc.from_text(brc.to_text(_walk_conv(spark, sf)).select("record")).select("name", "brc_id", "len", "start", "type", "brc")
 
 
 @register(sql([], "SELECT seq_id, seq FROM D"))
 def restore_seq(spark: SparkSession, sf: str) -> DataFrame:
     records, edges_ = _walk_docs(spark, sf)
-    return brc.restore(records, edges_, LONGP)
+    return brc.restore(records, edges_, LONGP).select("seq_id", "seq")
 
 
 @register(sql([], "SELECT seq_id, seq FROM C"))
 def restore_seq_kmer(spark: SparkSession, sf: str) -> DataFrame:
-    return brc.restore(_walk_conv(spark, sf, kmer_format=True), _conv_edges(spark, sf, KP), KP, kmer_format=True)
+    return brc.restore(_walk_conv(spark, sf, kmer_format=True), _graph_rows(spark, sf), KP, kmer_format=True).select("seq_id", "seq")
 
 
 @register(sql([], "SELECT seq_id, seq FROM C"))
 def restore_seq_io(spark: SparkSession, sf: str) -> DataFrame:
     """With the set of both kinds of branch edges, which needs them again to be read."""
-    edges_, seqs = _conv_edges(spark, sf, KP), tables.conversations(spark, sf)
+    edges_, seqs = _graph_rows(spark, sf), tables.conversations(spark, sf)
     both = materialize(_both(edges_, KP), "branches")
-    return brc.restore(brc.walk(seqs, both, KP), edges_, KP, branch_set=both)
+    return brc.restore(brc.walk(seqs, both, KP), edges_, KP, branch_set=both).select("seq_id", "seq")
 
 
 @register(sql([], "SELECT CAST(seq_id AS VARCHAR) AS name, seq FROM C"))
@@ -392,7 +401,43 @@ def fasta_parse(spark: SparkSession, sf: str) -> DataFrame:
 @register(sql([], "SELECT '>' || seq_id || chr(10) || seq AS record FROM C"))
 def restore_fasta(spark: SparkSession, sf: str) -> DataFrame:
     seqs = restore_seq_kmer(spark, sf).select(F.col("seq_id").cast("string").alias("name"), "seq")
-    return fasta.fasta_text(seqs, 1 << 30).select(F.col("value").alias("record"))
+    return seqs.select(fasta.fasta_record("name", "seq").alias("record"))
+
+
+_NAMED = "'turn ' || seq_id % 7 || ' of|' || coalesce(role, '')"
+
+
+def _named(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns under names that repeat and hold bars and blanks."""
+    name = F.concat(F.lit("turn "), (F.col("seq_id") % 7).cast("string"), F.lit(" of|"), F.coalesce("role", F.lit("")))
+    return tables.conversations(spark, sf).select("seq_id", name.alias("name"), "seq")
+
+
+def _walk_named(spark: SparkSession, sf: str) -> DataFrame:
+    return brc.walk(_named(spark, sf), graph.multi_out(_graph_rows(spark, sf), distinct=True), KP)
+
+
+@register(_walk_sql("C", _GRAPH, KP, "right(kmer, 1)", f"seq_id, brc_id, '>' || brc_id || '|' || len || '|' || start || '|' || type || '|' || {_NAMED} || chr(10) || brc || chr(10) AS record").replace(" FROM r ", " FROM r JOIN C USING (seq_id) "))
+def brc_text_named(spark: SparkSession, sf: str) -> DataFrame:
+    return brc.to_text(_walk_named(spark, sf)).select("seq_id", "brc_id", "record")
+
+
+@register(sql([], f"SELECT row_number() OVER (ORDER BY seq_id) AS n, '>' || {_NAMED} || chr(10) || seq AS record FROM C"))
+def restore_fasta_named(spark: SparkSession, sf: str) -> DataFrame:
+    """Through .brc text files in the order of the turns, and back to FASTA records in that order."""
+    path = scratch_path(spark, "brc")
+    brc.write_text(_walk_named(spark, sf), path, ["seq_id"])
+    back = brc.restore(brc.read_text(spark, path), _graph_rows(spark, sf), KP)
+    return back.select(F.col("row").alias("n"), fasta.fasta_record("name", "seq").alias("record"))
+
+
+@register(sql([], f"SELECT 'turn' AS name, substr({_NAMED}, 6) AS comment, seq FROM C WHERE seq <> ''"))
+def fastq_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Through FASTQ files whose qualities begin with "@" and "+" as they come."""
+    path = scratch_path(spark, "fastq")
+    quality = F.translate("seq", "ACGTN", "@+I>#")
+    _named(spark, sf).where("seq <> ''").select(F.concat_ws("\n", F.concat(F.lit("@"), "name"), "seq", F.lit("+"), F.regexp_replace(quality, r"[^@+I>#]", "!"))).write.text(path)
+    return fasta.read_fastq(spark, path).select("name", "comment", "seq")
 
 
 # ---- unitigs ----
@@ -407,12 +452,15 @@ _UNITIGS = [_WD, _ED, _OD, _ID, _STRETCH, _CUT]
 
 def _unitigs(spark: SparkSession, sf: str) -> DataFrame:
     seqs = tables.documents(spark, sf)
-    return unitigs.cut_unitigs(seqs, _both(kmer_codes(seqs, LONGP), LONGP), LONGP)
+    return unitigs.cut_unitigs(seqs.select("seq_id", "seq"), _both(graph.edge_rows(seqs, LONGP), LONGP), LONGP)
+
+
+_PIECE = ["seq_id", "idx", "start", "unitig"]
 
 
 @register(sql(_UNITIGS, "SELECT seq_id, idx, start, unitig FROM u"))
 def unitig_cut(spark: SparkSession, sf: str) -> DataFrame:
-    return _unitigs(spark, sf)
+    return _unitigs(spark, sf).select(*_PIECE)
 
 
 _DEDUP = f"""l AS (SELECT *, max(idx) OVER (PARTITION BY seq_id) AS last FROM u),
@@ -422,12 +470,22 @@ kept AS (SELECT seq_id, idx, start, unitig FROM l WHERE idx = 0 OR idx = last UN
 
 @register(sql([*_UNITIGS, _DEDUP], "SELECT seq_id, idx, start, unitig FROM kept"))
 def unitig_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return unitigs.dedup_unitigs(_unitigs(spark, sf), LONG)
+    return unitigs.dedup_unitigs(_unitigs(spark, sf), LONG).select(*_PIECE)
 
 
 @register(sql([*_UNITIGS, _DEDUP], "SELECT seq_id, idx, '>' || idx || '|' || start || '|' || seq_id || chr(10) || unitig || chr(10) AS record FROM kept"))
 def unitig_text(spark: SparkSession, sf: str) -> DataFrame:
-    return unitigs.to_text(unitig_dedup(spark, sf))
+    return unitigs.to_text(unitig_dedup(spark, sf)).select("seq_id", "idx", "record")
+
+
+_CONV_CUT = _CUT.replace("JOIN D ON D.", "JOIN C ON C.").replace(f"{LONG}", f"{K}")
+_UC = [*_GRAPH, pieces("sg", "C", 1), _CONV_CUT]
+
+
+@register(sql(_UC, f"SELECT seq_id, idx, '>' || idx || '|' || start || '|' || {_NAMED} || chr(10) || unitig || chr(10) AS record FROM u JOIN C USING (seq_id)"))
+def unitig_text_named(spark: SparkSession, sf: str) -> DataFrame:
+    cut = unitigs.cut_unitigs(_named(spark, sf), _both(_graph_rows(spark, sf), KP), KP)
+    return unitigs.to_text(cut).select("seq_id", "idx", "record")
 
 
 # ---- lookups ----
@@ -489,7 +547,7 @@ _TAIL = "t AS (SELECT CAST(greatest(1, CASE WHEN x > 0 THEN floor(log2(x) / 2) +
 
 
 def _codes(spark: SparkSession, sf: str) -> DataFrame:
-    return _conv_edges(spark, sf, 12).distinct()
+    return _graph_rows(spark, sf, 12).distinct()
 
 
 @register(sql(_CODES, "SELECT x, y FROM h"))
@@ -542,12 +600,12 @@ def length_hist(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- codecs ----
 
-_RUNS = ["ch AS (SELECT seq_id, unnest(range(0, length(seq))) AS p, seq FROM B)", "cc AS (SELECT seq_id, p, substr(seq, p + 1, 1) AS v FROM ch)", "ii AS (SELECT *, p - row_number() OVER (PARTITION BY seq_id, v ORDER BY p) AS g FROM cc)", "r AS (SELECT seq_id AS row, min(p) AS start, v AS value, count(*) AS length FROM ii GROUP BY seq_id, v, g)"]
+_RUNS = ["ch AS (SELECT seq_id, unnest(range(0, length(seq))) AS p, seq FROM C)", "cc AS (SELECT seq_id, p, substr(seq, p + 1, 1) AS v FROM ch)", "ii AS (SELECT *, p - row_number() OVER (PARTITION BY seq_id, v ORDER BY p) AS g FROM cc)", "r AS (SELECT seq_id AS row, min(p) AS start, v AS value, count(*) AS length FROM ii GROUP BY seq_id, v, g)"]
 _DIGITS = "list_transform(list_reverse(string_split(CASE WHEN length < 4 THEN CAST(length AS VARCHAR) WHEN length < 16 THEN (length // 4) || '' || (length % 4) ELSE (length // 16) || '' || (length // 4 % 4) || '' || (length % 4) END, '')), lambda d: CAST(d AS INTEGER) + 256)"
 
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.benchmark(spark, sf).select(F.col("seq_id").alias("row"), F.col("seq").alias("s"))
+    return tables.conversations(spark, sf).select(F.col("seq_id").alias("row"), F.col("seq").alias("s"))
 
 
 @register(sql(_RUNS, "SELECT row, start, value, length FROM r"))
@@ -565,52 +623,67 @@ def huffman_freq(spark: SparkSession, sf: str) -> DataFrame:
     return compress.symbols(compress.rle_runs(_rows(spark, sf)))
 
 
-@register()
+_HUFFMAN = f"f AS (SELECT symbol, count(*) AS n FROM (SELECT unnest(list_append({_DIGITS}, ascii(value))) AS symbol FROM r) GROUP BY 1)"
+#: Joins the two least weights until one is left; an optimal code's bits are the sum of what was joined.
+_JOINED = "m AS (SELECT list_sort(list(n)) AS ws, CAST(0 AS HUGEINT) AS bits FROM f UNION ALL SELECT list_sort(list_append(ws[3:], ws[1] + ws[2])), bits + ws[1] + ws[2] FROM m WHERE len(ws) > 1)"
+
+
+@register(sql([*_RUNS, _HUFFMAN, _JOINED], "SELECT (SELECT count(*) FROM f) AS symbols, CAST((SELECT sum(n) FROM f) AS BIGINT) AS written, CAST(greatest(max(bits), (SELECT sum(n) FROM f WHERE (SELECT count(*) FROM f) = 1)) AS BIGINT) AS bits FROM m").replace("WITH", "WITH RECURSIVE", 1))
 def huffman_bits(spark: SparkSession, sf: str) -> DataFrame:
     return compress.huffman_bits(compress.rle_runs(_rows(spark, sf)))
 
 
 def _block(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks of 32 conversations' first 12 columns: rows of one width, padded with N."""
+    """Blocks of 32 conversations' texts, in rows of 48 columns, padded with N."""
     seqs = tables.conversations(spark, sf)
     # a late turn's row, or a long text's later one, lies below zero; rows are told apart within their block
     row = F.expr("IF(row >= 0 AND part < 100000, row * 100000 + part, -1 - (pmod(row, 32000) * 1099511627776 + part))")
     block = F.expr("(seq_id - pmod(seq_id, 32000)) DIV 32000")
-    return seqs.select(block.alias("block"), F.col("seq_id").alias("row"), F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 12))).alias("part"), "seq").where("length(seq) > 0").select("block", row.alias("row"), F.rpad(F.expr("substring(seq, CAST(part * 12 + 1 AS INT), 12)"), 12, "N").alias("s"))
+    return seqs.select(block.alias("block"), F.col("seq_id").alias("row"), F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 48))).alias("part"), "seq").where("length(seq) > 0").select("block", row.alias("row"), F.rpad(F.expr("substring(seq, CAST(part * 48 + 1 AS INT), 48)"), 48, "N").alias("s"))
 
 
-_PB = "pb AS (SELECT CAST(floor(seq_id / 32000) AS BIGINT) AS block, seq_id * 100000 + part AS row, rpad(substr(seq, part * 12 + 1, 12), 12, 'N') AS s FROM (SELECT seq_id, seq, unnest(range(0, (length(seq) + 11) // 12)) AS part FROM C WHERE length(seq) > 0))"
+_PB = "pb AS (SELECT CAST(floor(seq_id / 32000) AS BIGINT) AS block, seq_id * 100000 + part AS row, rpad(substr(seq, part * 48 + 1, 48), 48, 'N') AS s FROM (SELECT seq_id, seq, unnest(range(0, (length(seq) + 47) // 48)) AS part FROM C WHERE length(seq) > 0))"
 
 
-@register(sql([_PB], "SELECT block, CAST(col AS INTEGER) AS col, CAST(row_number() OVER (PARTITION BY block, col ORDER BY reverse(left(s, col)), row) - 1 AS INTEGER) AS rank, row, substr(s, col + 1, 1) AS value FROM pb, (SELECT unnest(range(0, 12)) AS col)"))
+@register(sql([_PB], "SELECT block, CAST(col AS INTEGER) AS col, CAST(row_number() OVER (PARTITION BY block, col ORDER BY reverse(left(s, col)), row) - 1 AS INTEGER) AS rank, row, substr(s, col + 1, 1) AS value FROM pb, (SELECT unnest(range(0, 48)) AS col)"))
 def pbwt_encode(spark: SparkSession, sf: str) -> DataFrame:
-    return compress.pbwt_encode(_block(spark, sf), 12)
+    return compress.pbwt_encode(_block(spark, sf), 48)
 
 
 @register(sql([_PB], "SELECT block, row_number() OVER (PARTITION BY block ORDER BY row) - 1 AS row, s FROM pb"))
 def pbwt_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    return compress.pbwt_decode(compress.pbwt_encode(_block(spark, sf), 12))
+    return compress.pbwt_decode(compress.pbwt_encode(_block(spark, sf), 48))
 
 
-@register("SELECT doc_id AS id, CAST(f AS BIGINT) AS frag, string_agg(translate(substr('000102031011121320212223303132330', 1 + 2 * (instr('0123456789ABCDEF', substr(h, p + 1, 1)) - 1), 2), '0123', 'ACGT'), '' ORDER BY p) AS bases FROM (SELECT doc_id, h, p, p // 8192 AS f FROM (SELECT doc_id, h, unnest(range(0, length(h))) AS p FROM (SELECT item_id AS doc_id, hex(encode(text)) AS h FROM benchmark))) GROUP BY 1, 2")
+@register("SELECT doc_id AS id, CAST(f AS BIGINT) AS frag, string_agg(translate(substr('000102031011121320212223303132330', 1 + 2 * (instr('0123456789ABCDEF', substr(h, p + 1, 1)) - 1), 2), '0123', 'ACGT'), '' ORDER BY p) AS bases FROM (SELECT doc_id, h, p, p // 8192 AS f FROM (SELECT doc_id, h, unnest(range(0, length(h))) AS p FROM (SELECT page_id AS doc_id, hex(encode(html)) AS h FROM pages))) GROUP BY 1, 2")
 def bytes_to_bases(spark: SparkSession, sf: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("id"), F.col("text").cast("binary").alias("data"))
-    return compress.bytes_to_bases(items, 4096)
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("id"), F.col("html").cast("binary").alias("data"))
+    return compress.bytes_to_bases(pages, 4096)
 
 
-@register("SELECT row, CAST(p AS BIGINT) AS col, CAST(unicode(substr(text, p + 1, 1)) AS BIGINT) AS v FROM (SELECT item_id AS row, text, unnest(range(0, length(text))) AS p FROM benchmark)")
+@register("SELECT row, CAST(p AS BIGINT) AS col, CAST(unicode(substr(text, p + 1, 1)) AS BIGINT) AS v FROM (SELECT page_id AS row, html AS text, unnest(range(0, length(html))) AS p FROM pages)")
 def qual_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return compress.quality_matrix(spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("row"), F.col("text").alias("s")))
+    return compress.quality_matrix(spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("row"), F.col("html").alias("s")))
 
 
 @register(sql(["a AS (SELECT seq, CAST(CASE seq_id % 5 WHEN 1 THEN 16 WHEN 2 THEN 256 WHEN 3 THEN 2064 ELSE 0 END AS INTEGER) AS flag FROM D)"], "SELECT count(*) AS seqs, CAST(sum(length(seq)) AS BIGINT) AS bases, count(*) FILTER (flag & 16 <> 0) AS reverse FROM a WHERE flag & 2304 = 0"))
 def sam_primary(spark: SparkSession, sf: str) -> DataFrame:
+    return sam.totals(sam.read_sam(spark, _sam(spark, sf)))
+
+
+def _sam(spark: SparkSession, sf: str) -> str:
+    """The documents as alignments, of which some are secondary or supplementary."""
     path = scratch_path(spark, "sam")
     kind = F.col("seq_id") % 5
     flag = F.when(kind == 1, 16).when(kind == 2, 256).when(kind == 3, 2064).otherwise(0)
     line = F.concat_ws("\t", F.col("seq_id").cast("string"), flag.cast("string"), F.lit("ref"), F.lit("1"), F.lit("60"), F.lit("*"), F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.lit("*"))
     tables.documents(spark, sf).select(line).write.text(path)
-    return sam.totals(sam.read_sam(spark, path))
+    return path
+
+
+@register(sql(["a AS (SELECT seq_id, seq FROM D WHERE seq_id % 5 NOT IN (2, 3) AND seq <> '')"], "SELECT '>' || seq_id || chr(10) || seq AS record FROM a"))
+def sam_fasta(spark: SparkSession, sf: str) -> DataFrame:
+    return sam.sequences(sam.read_sam(spark, _sam(spark, sf))).select(fasta.fasta_record("name", "seq").alias("record"))
 
 
 def queries() -> dict[str, Query]:

@@ -1,4 +1,7 @@
-"""Command line over the operators: k-mer tables are Parquet (code), sequences FASTA.
+"""Command line over the operators: k-mer tables are Parquet (code), sequences FASTA or FASTQ.
+
+Records keep their names and their order through text files: walk, unitig and
+flag write text in the order of the input, and restore brings the input back.
 
     python -m kmerspark.jobs.cli count -k 21 -o counts.parquet a.fa.gz b.fa
 """
@@ -7,17 +10,28 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kmerspark.functions import codec
 from kmerspark.operators import brc, counting, flags, graph, sets, unitigs
-from kmerspark.sources.fasta import read_fasta, write_fasta
+from kmerspark.sources import fasta, mer
+
+#: Names of files that are read as FASTQ.
+FASTQ = (".fq", ".fastq")
+
+
+#: Records of several files are ordered by these.
+ORDER = fasta.PLACE
 
 
 def _seqs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Sequences numbered by record; the id stays the name."""
-    return read_fasta(spark, paths).select(F.monotonically_increasing_id().alias("seq_id"), F.col("id").alias("name"), "seq")
+    """(file, part, at, seq_id, name, seq): the id of a record is its name here, and at tells records apart."""
+    kinds = [[p for p in paths if p.removesuffix(".gz").endswith(FASTQ) == own] for own in (False, True)]
+    read = [f(spark, p) for f, p in zip((fasta.read_fasta, fasta.read_fastq), kinds, strict=True) if p]
+    rows = reduce(DataFrame.unionByName, read)
+    return rows.select(*ORDER, F.col("at").alias("seq_id"), F.col("id").alias("name"), "seq")
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -36,6 +50,8 @@ def _parser() -> argparse.ArgumentParser:
             "kmer": lambda: p.add_argument("--kmer-format", action="store_true"),
             "pass": lambda: p.add_argument("--pass-special", action="store_true"),
             "tail": lambda: p.add_argument("-t", "--tail", action="store_true"),
+            "header": lambda: p.add_argument("--header", action="store_true", help="only k and the number of k-mers"),
+            "io": lambda: p.add_argument("-s", "--set", help="the branch edges that the records were written with, if these are not the multi-out edges alone"),
             "rows": lambda: p.add_argument("-n", "--rows", type=int, default=20),
             "mer": lambda: p.add_argument("-m", "--mer", required=True, help="the k-mer to look for"),
             "ref": lambda: (p.add_argument("-r", "--ref", required=True), p.add_argument("-t", "--tgt", required=True)),
@@ -50,14 +66,16 @@ def _parser() -> argparse.ArgumentParser:
     command("merge", "out", "distinct", inputs="+")
     command("compare", "k", "ref", "out")
     command("sort", "out", "distinct", inputs="one")
-    command("view", "k", "rows", "tail", inputs="one")
+    command("view", "k", "rows", "tail", "header", inputs="one")
     command("check", "distinct", inputs="one")
     command("split", "k", "out", inputs="one")
     command("walk", "k", "set", "out", "kmer", "pass", inputs="+")
-    command("restore", "k", "edges", "out", "kmer", inputs="one")
+    command("restore", "k", "edges", "out", "kmer", "io", inputs="one")
     command("search", "mer", inputs="one")
     command("unitig", "k", "set", "out", inputs="+")
     command("flag", "k", "set", "out", inputs="+")
+    command("import", "out", inputs="one")  # .mer and .smer files to a table
+    command("export", "k", "out", inputs="one")  # a table to sorted .smer files
     return top
 
 
@@ -68,14 +86,18 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     save = lambda df: df.write.mode("errorifexists").parquet(a.out)
     match a.command:
         case "count":
-            save(counting.count_kmers(_seqs(spark, a.inputs), a.k, canonical=a.canonical))
+            save(counting.count_kmers(_seqs(spark, a.inputs), a.k, canonical=a.canonical, spread=True))
         case "merge":
             save(sets.sort_kmers(sets.merge([table(p) for p in a.inputs], a.distinct)))
         case "sort":
             save(sets.sort_kmers(table(a.inputs[0]).select("code"), a.distinct))
         case "compare":
             ref, tgt = table(a.ref), table(a.tgt)
-            sets.compare_info(ref, tgt, a.k).write.option("sep", "\t").option("header", True).csv(a.out)
+            sets.compare_info(ref, tgt, a.k).write.option("sep", "\t").option("header", True).csv(f"{a.out}/info")
+            sets.difference(ref, tgt).write.parquet(f"{a.out}/rmt")
+            sets.difference(tgt, ref).write.parquet(f"{a.out}/tmr")
+        case "view" if a.header:
+            print(f"k\t{a.k}\nn\t{table(a.inputs[0]).count()}")
         case "view":
             rows = sets.view(sets.with_positions(table(a.inputs[0])), a.rows, a.tail)
             rows.select("pos", codec.decode("code", a.k).alias("kmer")).orderBy("pos").show(a.rows, truncate=False)
@@ -86,19 +108,24 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             graph.multi_out(edges).write.parquet(f"{a.out}/o")
             graph.multi_in(edges, a.k).write.parquet(f"{a.out}/i")
         case "walk":
-            seqs = _seqs(spark, a.inputs)
-            save(brc.walk(seqs, table(a.set), a.k, a.kmer_format, a.pass_special))
+            brc.write_text(brc.walk(_seqs(spark, a.inputs), table(a.set), a.k, a.kmer_format, a.pass_special), a.out, ORDER)
         case "restore":
-            seqs = brc.restore(table(a.inputs[0]), table(a.edges), a.k, a.kmer_format)
-            write_fasta(seqs.select(F.col("seq_id").cast("string").alias("name"), "seq"), a.out)
+            both = table(a.set) if a.set else None
+            seqs = brc.restore(brc.read_text(spark, a.inputs[0]), table(a.edges), a.k, a.kmer_format, both)
+            fasta.write_fasta(seqs, a.out, width=0, order=["row"])
         case "search":
             probe = spark.createDataFrame([(a.mer,)], "kmer string").select("kmer", codec.encode("kmer").alias("code"))
             sets.search(sets.with_positions(table(a.inputs[0])), probe).show(truncate=False)
         case "unitig":
-            cut = unitigs.cut_unitigs(_seqs(spark, a.inputs), table(a.set), a.k)
-            save(unitigs.dedup_unitigs(cut, a.k - 1))
+            cut = unitigs.dedup_unitigs(unitigs.cut_unitigs(_seqs(spark, a.inputs), table(a.set), a.k), a.k - 1)
+            unitigs.to_text(cut.orderBy(*ORDER, "idx")).select("record").write.text(a.out)
         case "flag":
-            save(flags.flag_branches(_seqs(spark, a.inputs), table(a.set), a.k))
+            flagged = flags.flag_branches(_seqs(spark, a.inputs), table(a.set), a.k).withColumnRenamed("flagged", "seq")
+            fasta.write_fasta(flagged, a.out, width=0, order=ORDER)
+        case "import":
+            save(mer.read_mer(spark, a.inputs[0]).select("code"))
+        case "export":
+            mer.write_mer(sets.sort_kmers(table(a.inputs[0]).select("code")), a.k, a.out)
 
 
 if __name__ == "__main__":

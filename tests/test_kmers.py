@@ -270,3 +270,60 @@ def test_records_decode_alike_in_step_and_alone(spark, monkeypatch, kp1, kmer_fo
             assert brc.restore_records(texts, lengths, kp1 - 1, nodes, masks, skip, kmer_format) == [s for _, s in rows]
             with pytest.raises(ValueError):
                 brc.restore_records(texts, [n + 1000 for n in lengths], kp1 - 1, nodes, masks, skip, kmer_format)
+
+
+REPEATED = [(5, "ACGTACGANNTTACGTAG"), (5, "acgtacgaacgt"), (None, "TTACGTAGACGA"), (None, "ACGTACGANNTTACGTAG"), (5, None), (None, ""), (6, "éACGTACGA")]
+
+
+@pytest.mark.parametrize("kw", [{}, {"max_set": 0}])
+def test_repeated_and_null_ids(spark, kw):
+    """Rows that share an id are sequences of their own, by broadcast and by shuffle."""
+    df = spark.createDataFrame([(i, s, f"name {n}", 9) for n, (i, s) in enumerate(REPEATED)], "seq_id long, seq string, name string, _at int")
+    kmers = kmer_codes(df, KP).select("code").distinct()
+    o = graph.multi_out(kmers)
+    upper = {f"name {n}": "".join(c.upper() if c.isascii() else c for c in s or "") for n, (_, s) in enumerate(REPEATED)}
+    back = brc.restore(brc.walk(df, o, KP, **kw), kmers, KP)
+    assert {r.name: (r.seq_id, r.seq, r["_at"]) for r in back.collect()} == {f"name {n}": (i, upper[f"name {n}"], 9) for n, (i, _) in enumerate(REPEATED)}
+    alone = {}
+    for n, (_, s) in enumerate(REPEATED):
+        one = spark.createDataFrame([(1, s)], "seq_id long, seq string")
+        alone[f"name {n}"] = (flags.flag_branches(one, o, KP).first().flagged, [(r.start, r.unitig) for r in unitigs.cut_unitigs(one, o, KP).orderBy("idx").collect()])
+    flagged = {r.name: r.flagged for r in flags.flag_branches(df, o, KP, **kw).collect()}
+    pieces = {}
+    for r in unitigs.cut_unitigs(df, o, KP, **kw).orderBy("idx").collect():
+        pieces.setdefault(r.name, []).append((r.start, r.unitig))
+    assert {n: (flagged[n], pieces[n]) for n in flagged} == alone
+    assert sorted((r.name, r.start, r.len) for r in brc.segments(df, KP).collect()) == sorted((r.name, r.start, r.len) for r in brc.walk(df, o, KP, **kw).collect())
+    counts = counting.count_kmers(df, KP)
+    assert sorted((str(r.seq_id), r.n) for r in lookup.read_counters(df, counts, KP).collect()) == sorted((str(i), max(0, len(s or "") - KP + 1)) for i, s in REPEATED)
+    assert minimizers.super_kmers(df, 7, 5).count() == sum(minimizers.super_kmers(df.where(f"name = 'name {n}'"), 7, 5).count() for n in range(len(REPEATED)))
+
+
+def test_blocks_do_not_change_what_runs_over_them(spark):
+    rng = random.Random(21)
+    df = spark.createDataFrame([(1, "".join(rng.choices("ACGTN", [9, 9, 9, 9, 1], k=700))), (1, "A" * 300 + "C" * 90), (2, "ACGT" * 40), (3, "")], "seq_id long, seq string")
+    whole = sorted(map(tuple, minimizers.super_kmers(df, 12, 5).collect()))
+    for size in (3, 64, 100):
+        for spread in (False, True):
+            assert sorted(map(tuple, minimizers.super_kmers(df, 12, 5, size, spread).collect())) == whole
+            assert sorted(map(tuple, minimizers.signatures(df, 12, 5, size, spread).collect())) == sorted(map(tuple, minimizers.signatures(df, 12, 5).collect()))
+    assert sorted(map(tuple, counting.count_kmers(df, 12, spread=True).collect())) == sorted(map(tuple, counting.count_kmers(df, 12).collect()))
+
+
+@pytest.mark.parametrize("m", [5, 6])
+def test_normal_mmers(spark, m):
+    rows = spark.range(4**m).select("id", codec.normal_mmer(codec.decode("id", m), m).alias("v")).orderBy("id").collect()
+    assert [r.v for r in rows] == minimizers.normal_mmers(m).tolist()
+
+
+def test_one_frequent_kmer_sorts_in_several_ranges(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(77).alias("code")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ordered = sets.sort_kmers(rows).withColumn("range", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.code for r in ordered] == sorted(r.code for r in rows.collect()) and max(Counter(r["range"] for r in ordered).values()) < 10_000
+    assert stats.delta_histogram(rows).where("x = 0").first().y == 17_999
+    with pytest.raises(Exception, match="cells"):
+        compress.pbwt_encode(spark.createDataFrame([(0, i, "ab") for i in range(9)], "block long, row long, s string"), 2, max_cells=4).collect()

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from kmerspark.functions import codec
 from kmerspark.jobs import catalog, cli
-from kmerspark.operators import brc, counting, graph
+from kmerspark import scratch
+from kmerspark.operators import brc, counting, graph, sets
 from kmerspark.operators.windows import kmer_codes
 from kmerspark.ranks import numbered_within, ranked, salt_of
 from kmerspark.sources import fasta, mer, sam, tables
@@ -24,7 +25,7 @@ def test_fasta(spark, tmp_path):
     assert got == {("s1", "demo  x", "s1 demo  x", "ACGTACGT"), ("s2", None, "s2", ""), ("s3|a%b", "c", "s3|a%b c", "NNAC"), ("z", None, "z", "TT")}
     (tmp_path / "junk").mkdir()
     (tmp_path / "junk" / "c.fa").write_text("junk\nmore\n>q\nA\n")
-    assert [r.name for r in fasta.read_fasta(spark, f"file://{tmp_path}/junk", leading_text=True).collect()] == ["q"]
+    assert [r.name for r in fasta.read_fasta(spark, f"file://{tmp_path}/junk").collect()] == ["q"]
 
 
 def test_fasta_round_trip(spark, tmp_path):
@@ -60,16 +61,24 @@ def test_streaming_counts(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    (tmp_path / "a.fa").write_text(">s1\nACGTACGANNTTACGTAG\n>s2\nACGTACGAACGT\n")
+    (tmp_path / "a.fa").write_text(">s1 first\nACGTACGANN\nTTACGTAG\n>s1 first\nACGTACGAACGT\n>|odd|\nAC\n")
     at = lambda name: f"file://{tmp_path}/{name}"
     run = lambda *a: cli.main(list(a), spark)
     run("count", "-k", "4", "-o", at("counts"), at("a.fa"))
     run("split", "-k", "4", "-o", at("branches"), at("counts"))
     run("walk", "-k", "4", "-s", at("branches/o"), "-o", at("brc"), at("a.fa"))
     run("restore", "-k", "4", "-e", at("counts"), "-o", at("back"), at("brc"))
-    assert {r.seq for r in fasta.read_fasta(spark, at("back")).collect()} == {"ACGTACGANNTTACGTAG", "ACGTACGAACGT"}
+    records = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+    assert records("back") == ">s1 first\nACGTACGANNTTACGTAG\n>s1 first\nACGTACGAACGT\n>|odd|\nAC\n"
+    assert records("brc").startswith(">0|8|0|good|s1 first\nACGTCA\n\n>1|2|8|bad|s1 first\nNN\n\n")
     run("merge", "-d", "-o", at("io"), at("branches/o"), at("branches/i"))
+    run("walk", "-k", "4", "-s", at("io"), "-o", at("brc2"), at("a.fa"))
+    run("restore", "-k", "4", "-e", at("counts"), "-s", at("io"), "-o", at("back2"), at("brc2"))
+    assert records("back2") == records("back")
     run("unitig", "-k", "4", "-s", at("io"), "-o", at("unitigs"), at("a.fa"))
+    run("export", "-k", "4", "-o", at("flat"), at("counts"))
+    run("import", "-o", at("again"), at("flat"))
+    run("view", "-k", "4", "--header", at("again"))
     run("flag", "-k", "4", "-s", at("branches/o"), "-o", at("flags"), at("a.fa"))
     run("sort", "-o", at("sorted"), at("counts"))
     run("compare", "-k", "4", "-r", at("counts"), "-t", at("io"), "-o", at("info"))
@@ -77,8 +86,78 @@ def test_command_line(spark, tmp_path, capsys):
     run("check", "-d", at("io"))
     run("search", "-m", "GTAC", at("counts"))
     out = capsys.readouterr().out
-    assert "AACG" in out and "true" in out and "GTAC" in out
-    assert [codec.BASES[0]] and spark.read.parquet(at("unitigs")).count() > 0
+    assert "AACG" in out and "true" in out and "GTAC" in out and "n\t" in out
+    assert sorted(r.code for r in spark.read.parquet(at("again")).collect()) == sorted(r.code for r in spark.read.parquet(at("counts")).collect())
+    assert records("unitigs").startswith(">0|0|s1 first\nACG\n\n>1|1|s1 first\nCGTA\n\n") and records("unitigs").endswith(">0|0||odd|\nAC\n\n")
+    assert records("flags") == ">s1 first\nACG3A1G0NNTTACG3A2\n>s1 first\nACG3A1G0ACG3\n>|odd|\nAC\n"
+    a, b = (spark.read.parquet(at(n)).select("code").distinct() for n in ("counts", "io"))
+    assert spark.read.parquet(at("info/rmt")).count() == a.exceptAll(b).count() and spark.read.parquet(at("info/tmr")).count() == b.exceptAll(a).count()
+
+
+def test_names_and_order_come_back(spark, tmp_path):
+    """A restored file is the upper-cased input, record by record, over several files and splits."""
+    rng = random.Random(4)
+    lines, want = [], []
+    for i in range(300):
+        name = rng.choice(["same name", f"n{i}", "a|b % c", "x"])
+        seq = "".join(rng.choices("ACGTacgtN-", [9] * 8 + [1, 1], k=rng.choice([0, 1, 8, 9, 40, 300])))
+        lines.append(f">{name}\n" + "".join(f"{seq[a : a + 60]}\n" for a in range(0, len(seq), 60)))
+        want.append(f">{name}\n{seq.upper()}\n")
+    (tmp_path / "in").mkdir()
+    for part in range(3):
+        (tmp_path / "in" / f"{part}.fa").write_text("".join(lines[100 * part : 100 * part + 100]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        run = lambda *a: cli.main(list(a), spark)
+        at = lambda name: f"file://{tmp_path}/{name}"
+        run("count", "-k", "5", "-o", at("counts"), at("in"))
+        run("split", "-k", "5", "-o", at("branches"), at("counts"))
+        run("walk", "-k", "5", "-s", at("branches/o"), "-o", at("brc"), at("in"))
+        run("restore", "-k", "5", "-e", at("counts"), "-o", at("back"), at("brc"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert "".join(p.read_text() for p in sorted((tmp_path / "back").glob("part-*"))) == "".join(want)
+
+
+def test_fastq(spark, tmp_path):
+    text = "junk\n@r1 c\nACGT\n+\n@@II\n@r2\n\n+r2\n\n@r3\nACG\n+\n+I@\n@r4\nA\n+\n@\n"
+    (tmp_path / "a.fq").write_text(text.removeprefix("junk\n"))
+    with gzip.open(tmp_path / "b.fq.gz", "wt") as f:
+        f.write(text)
+    got = sorted((r.name, r.comment, r.seq) for r in fasta.read_fastq(spark, f"file://{tmp_path}/a.fq").collect())
+    assert got == [("r1", "c", "ACGT"), ("r2", None, ""), ("r3", None, "ACG"), ("r4", None, "A")]
+    for name, wrong in (("c", "@r\nACGT\n+\nII\n"), ("d", "@r\nACGT\nAC\n"), ("e", ">r\nAC\n")):
+        (tmp_path / f"{name}.fq").write_text(wrong)
+        with pytest.raises(Exception, match="four lines|FASTA"):
+            fasta.read_fastq(spark, f"file://{tmp_path}/{name}.fq").collect()
+    with pytest.raises(Exception, match="FASTQ"):
+        fasta.read_fasta(spark, f"file://{tmp_path}/a.fq").collect()
+
+
+def test_mer_files(spark, tmp_path):
+    rows = spark.range(0, 5000).select((F.col("id") * 3).alias("code")).repartition(3)
+    mer.write_mer(sets.sort_kmers(rows), 9, str(tmp_path / "flat"))
+    back = mer.read_mer(spark, str(tmp_path / "flat"), 700)
+    found = back.orderBy("file", "pos").collect()
+    assert back.rdd.getNumPartitions() >= 8 and [r.code for r in found] == [3 * i for i in range(5000)] and {r.k for r in found} == {9}
+    (tmp_path / "bad.mer").write_bytes(b"\x09\0\0\0" + b"\x02" + b"\0" * 7 + b"\0" * 8)
+    with pytest.raises(Exception, match="declared"):
+        mer.read_mer(spark, str(tmp_path / "bad.mer")).collect()
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            applicationId = "x"
+            getConf = staticmethod(lambda: Session.conf)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session)
 
 
 def test_numbering(spark):

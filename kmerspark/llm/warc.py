@@ -225,7 +225,7 @@ def warc_text(typed: DataFrame) -> DataFrame:
 def write_records(records: DataFrame, path: str) -> None:
     """WARC files of an archive's records, in folders below path: the small ones, and the others, if there are any."""
     size = F.octet_length("head") + F.octet_length("payload") + 4096  # with room for the header
-    kept = materialize(with_digests(records).withColumn("_size", size), "records")
+    kept = materialize(with_digests(records).withColumn("_size", size), "records", "zstd")
     most = kept.agg(F.max("_size")).first()[0] or 0
     for name, part, largest in (("small", F.col("_size") <= SMALL, SMALL), ("large", F.col("_size") > SMALL, most)):
         if name == "small" or most > SMALL:

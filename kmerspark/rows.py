@@ -23,7 +23,7 @@ def fresh(name: str, taken: Collection[str]) -> str:
 def numbered(df: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:
     """df written once with a number for every row, and the number's column; what reads it again sees the same numbers."""
     row = fresh(name, df.columns)
-    return materialize(df.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+    return materialize(df.withColumn(row, F.monotonically_increasing_id()), "rows", "zstd"), row
 
 
 def without_rows(df: DataFrame, rows: DataFrame, row: str) -> DataFrame:

@@ -156,7 +156,7 @@ def posteriors(patterns: DataFrame, iterations: int = 40, prior: float = 0.5, on
 
 def _judged(docs: DataFrame, keep: Sequence[str], threshold: float = 0.5, iterations: int = 40, min_words: int = 50) -> DataFrame:
     """The written counts of docs with base_failed, posterior and kept; the posteriors meet the rows by a broadcast."""
-    counts = materialize(vote_pattern(count_columns(docs, keep)), "quality-counts")
+    counts = materialize(vote_pattern(count_columns(docs, keep)), "quality-counts", "zstd")
     model = posteriors(counts.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), iterations)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = counts.join(F.broadcast(model), "pattern", "left")  # at most 3 ** len(rules()) rows

@@ -273,7 +273,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     row, fp = fresh("_row", docs.columns), fresh("_fp", docs.columns)
     others = [c for c in docs.columns if c != "text"]
-    tagged = materialize(fingerprints(docs.select("text", *others, F.monotonically_increasing_id().alias(row)), fp), "tagged")
+    tagged = materialize(fingerprints(docs.select("text", *others, F.monotonically_increasing_id().alias(row)), fp), "tagged", "zstd")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col(row).alias("row"))
     first = materialize(tagged.select(F.col(fp).alias("fp"), rank.alias("rank")).groupBy("fp").agg(F.min("rank").alias("rank")), "distinct-fingerprints")
     kept = _roots(first, radius).groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))

@@ -70,3 +70,15 @@ def test_misspellings_share_subwords():
     clean = [toxicity._segments(line(str(rng.choice(filler)))) for _ in range(200)]
     add, bias = toxicity.train(toxic, clean)
     assert toxicity.log_odds(line("wretchednes"), add, bias) > 0 > toxicity.log_odds(line("kilo"), add, bias)
+
+
+def test_samples_are_bounded_where_rows_repeat(spark):
+    rows = [(1, "same id and language", "en")] * 300 + [(2, f"text {i}", "en") for i in range(50)] + [(i, "autre", "fr") for i in range(3, 9)] + [(None, "none", "fr")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, _hash string")
+    picked = sampling.sample_per_label(docs, "lang", 4)
+    texts = sampling.texts_of(docs, picked, ["doc_id", "lang"]).collect()
+    assert len(texts) == picked.count() <= 6 and len({(r.doc_id, r.lang) for r in texts}) == len(texts)
+    assert language_id.identify(docs).count() == len(rows)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (5, 0)], "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labels)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == len(rows)

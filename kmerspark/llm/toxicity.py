@@ -1,11 +1,12 @@
 """Toxicity by subword-bag embeddings.
 
 A text is cut into segments of SEGMENT words.  A segment is the average of the
-embeddings of its words' distinct character n-grams, hashed to buckets and filled
-up to FLOOR with zero vectors (else one word said over and over would weigh as
-much as a segment full of them), put through a linear softmax; embeddings and softmax are trained jointly in numpy.  Words
-never seen share the vectors of the n-grams that they have in common with those
-that were, so misspellings and inflections are recognised.  A document's score
+embeddings of its distinct words and of their distinct character n-grams, hashed
+to buckets and filled up to FLOOR with zero vectors (else one word said over and
+over would weigh as much as a segment full of them), put through a linear
+softmax; embeddings and softmax are trained jointly in numpy.  Words never seen
+share the vectors of the n-grams that they have in common with those that were,
+so misspellings and inflections are recognised.  A document's score
 is its worst segment's, so that the length of a document does not dilute it.
 
 Labels are of documents.  Training starts on whole documents, each one bag of
@@ -14,7 +15,8 @@ common; later passes are over segments, and of a toxic document they use those
 that the model of the pass before finds the worst.  It uses a bounded sample: ``per_label`` documents of each
 label at most, and of a clean document at most ``clean_segments`` segments.  A
 fifth of the sample, with all its segments, only sets the slope and the offset
-that turn a document's log-odds into a probability.  Every text is scored whole.
+that turn a document's log-odds into a probability, with some labels taken to be
+wrong.  Every text is scored whole.
 
 Defined results: an empty or null text, and one without a letter or digit, has
 the score of a clean segment without n-grams (0); labels of null are not used,
@@ -36,14 +38,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from kmerspark.llm.sampling import held_out, sample_per_label, texts_of
 
-BUCKETS = 1 << 17
-ORDERS = (3, 4, 5)
+BUCKETS = 1 << 18
+ORDERS = (3, 4, 5, 6)
 WIDTH = 8
-SEGMENT = 16
-#: N-grams that a segment is averaged over at least.
-FLOOR = 120
+SEGMENT = 8
+#: Words and n-grams that a segment is averaged over at least.
+FLOOR = 70
+#: What an embedding loses in a step that uses it.
+DECAY = 3e-4
 PER_LABEL = 1500
-CLEAN_SEGMENTS = 16
+CLEAN_SEGMENTS = 32
 THRESHOLD = 0.7
 
 
@@ -53,7 +57,7 @@ def _word_characters() -> np.ndarray:
 
 
 def subwords(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(bucket, segment) of every distinct n-gram of each segment, in order, and the number of segments.
+    """(bucket, segment) of every distinct word and n-gram of each segment, in order, and the number of segments.
 
     N-grams lie inside words, with a space for either end of the word.
     """
@@ -79,6 +83,12 @@ def subwords(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
             whole = inner[n - 1 : n - 1 + m] == inner[1 : 1 + m]  # no space but at the ends
             buckets.append(h[whole] & np.uint32(BUCKETS - 1))
             segments.append(segment[:m][whole])
+    first = np.flatnonzero(space[:-1] & ~space[1:]) + 1  # of every word
+    inside = np.arange(len(code)) - np.maximum.accumulate(np.where(space, np.arange(len(code)), 0))
+    h = (code * np.uint32(0x9E3779B1) ^ inside.astype(np.uint32) * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
+    h = np.add.reduceat(np.where(space, np.uint32(0), h ^ h >> np.uint32(15)), first, dtype=np.uint32) * np.uint32(0x9E3779B1)
+    buckets.append((h ^ h >> np.uint32(13)) & np.uint32(BUCKETS - 1))
+    segments.append(segment[first])
     key = np.sort(np.concatenate(segments) * BUCKETS + np.concatenate(buckets))
     key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
     return key % BUCKETS, key // BUCKETS, int(segment[-1]) + 1
@@ -116,7 +126,7 @@ class Bags:
         each = np.repeat(g_mean, sizes, axis=0)
         g_v = np.stack([np.bincount(at, weights=each[:, k], minlength=len(used)) for k in range(WIDTH)], axis=1)
         self.v2[used] += (g_v**2).mean(axis=1)
-        self.v[used] -= rate * g_v / np.sqrt(self.v2[used])[:, None]
+        self.v[used] = (1 - DECAY) * self.v[used] - rate * g_v / np.sqrt(self.v2[used])[:, None]
         self.u2 += g_u**2
         self.b2 += g_b**2
         self.u -= rate * g_u / np.sqrt(self.u2)
@@ -156,19 +166,28 @@ def worst_segment(bags: list[np.ndarray], add: np.ndarray, bias: float) -> float
     return max(float(add[s].sum()) / max(len(s), FLOOR) for s in bags) + bias
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """Slope and offset of log-odds x that make the labels likeliest, by Newton's method, with the labels drawn in a little."""
+def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float]:
+    """Slope and offset of log-odds x that make the labels likeliest, if a share of either label is wrong.
+
+    The shares and the labels meant are estimated in turn, with a Newton step
+    each round; a few wrong labels far off would flatten a plain logistic curve.
+    """
     if not (0 < y.sum() < len(y)):
         return 1.0, 0.0
-    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    z = np.stack([x, np.ones_like(x)])
-    w, ridge = np.array([1.0, 0.0]), np.diag([1e-2, 1e-3])
+    scale = max(float(x.std()), 1e-6)
+    z = np.stack([x / scale, np.ones_like(x)])
+    w, start, ridge = np.array([4.0, -2.0]), np.array([1.0, 0.0]), np.diag([1e-2, 1e-3])
+    missed = false = 0.02
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(w @ z, -35, 35)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)) @ z.T + ridge, z @ (p - t) + ridge @ (w - [1.0, 0.0]))
+        one = p * np.where(y == 1, 1 - missed, missed)
+        t = one / (one + (1 - p) * np.where(y == 1, false, 1 - false))
+        missed = (t[y == 0].sum() + 0.5) / (t.sum() + 10)
+        false = ((1 - t)[y == 1].sum() + 0.5) / ((1 - t).sum() + 10)
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)) @ z.T + ridge, z @ (p - t) + ridge @ (w - start))
         w = w - np.clip(step, -1, 1)
         w[0] = max(w[0], 1e-2)
-    return float(w[0]), float(w[1])
+    return float(w[0]) / scale, float(w[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, clean_segments: int = CLEAN_SEGMENTS) -> dict | None:

@@ -391,6 +391,16 @@ def restore_seq_io(spark: SparkSession, sf: str) -> DataFrame:
     return brc.restore(brc.walk(seqs, both, KP), edges_, KP, branch_set=both).select("seq_id", "seq")
 
 
+@register(sql([], "SELECT seq_id, seq FROM C"))
+def restore_seq_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The way for graphs of any size: groups of sequences, each with its own edges."""
+    numbered = tables.conversations(spark, sf).withColumn("row", F.monotonically_increasing_id())
+    seqs = materialize(brc.with_groups(materialize(numbered, "numbered"), 1 << 18), "groups")
+    branches = materialize(graph.multi_out(graph.edge_rows(seqs, KP), distinct=True), "branches")
+    edges_ = materialize(brc.group_edges(seqs, branches, KP), "group-edges")
+    return brc.restore_by_group(brc.walk(seqs, branches, KP), edges_, KP).select("seq_id", "seq")
+
+
 @register(sql([], "SELECT CAST(seq_id AS VARCHAR) AS name, seq FROM C"))
 def fasta_parse(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "fasta")

@@ -26,10 +26,12 @@ from pyspark.sql.types import StructType
 from kmerspark.functions import codec
 from kmerspark.operators.flags import base_codes, each_sequence, stretches
 from kmerspark.operators.graph import successor_masks
-from kmerspark.operators.windows import _CODE
+from kmerspark.operators.windows import _CODE, kmer_codes
 
 #: Edges whose successors may be broadcast to decode; 9 bytes each.
 MAX_EDGES = 200_000_000
+#: Bases that a group of sequences has on average, where groups are decoded apart.
+GROUP_BASES = 1 << 24
 
 
 def _cut(text: str, kp1: int) -> tuple[list[int], list[int], list[bool]]:
@@ -176,8 +178,8 @@ def restore(brcs: DataFrame, edges: DataFrame, kp1: int, kmer_format: bool = Fal
     Every base depends on the k before it, so a record is decoded in one pass by
     one task, along with the others of its batch, against the successors of all
     k-mers.  They are broadcast as two sorted arrays, once their number is
-    checked; past ``max_edges`` this raises, and the graph must be split by
-    sequence group first.  The number is counted when this is called.
+    checked; past ``max_edges`` this raises, and restore_by_group is the way.
+    The number is counted when this is called.
     """
     k = kp1 - 1
     succ = successor_masks(edges)
@@ -189,26 +191,89 @@ def restore(brcs: DataFrame, edges: DataFrame, kp1: int, kmer_format: bool = Fal
     order = np.argsort(nodes)
     own = None if branch_set is None else np.sort(branch_set.select("code").distinct().toArrow().column(0).to_numpy())
     shared = brcs.sparkSession.sparkContext.broadcast((nodes[order], masks[order], own))
-    records = ["brc_id", "len", "start", "type", "brc"]
-    carried = [c for c in brcs.columns if c not in (*records, "row")]
+    rows, carried = _to_decode(brcs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, masks, own = shared.value
         for b in batches:
-            n, kinds, out = (b.column(i).to_pylist() for i in (2, 3, 4))
-            good = [i for i, kind in enumerate(kinds) if kind == "good"]
-            for i, text in zip(good, restore_records([out[i] for i in good], [n[i] for i in good], k, nodes, masks, own, kmer_format), strict=True):
-                out[i] = text
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), b.column(5)], ["row", "brc_id", "piece", "carried"])
-
-    rows = brcs.select("row", "brc_id", "len", "type", "brc", F.struct(F.lit(True).alias("_"), *carried).alias("carried"))
-    pieces = rows.mapInArrow(run, StructType([rows.schema["row"], rows.schema["brc_id"]]).add("piece", "string").add(rows.schema["carried"]))
+            yield _decode(b, k, nodes, masks, own, kmer_format)
+
+    return _sequences(rows.mapInArrow(run, _pieces(rows)), carried)
+
+
+def _to_decode(brcs: DataFrame, *keys: str) -> tuple[DataFrame, list[str]]:
+    """Records with what comes along as one column, and the names of that."""
+    carried = [c for c in brcs.columns if c not in ("brc_id", "len", "start", "type", "brc", "row")]
+    return brcs.select("row", "brc_id", "len", "type", "brc", F.struct(F.lit(True).alias("_"), *carried).alias("carried"), *keys), carried
+
+
+def _pieces(rows: DataFrame) -> StructType:
+    return StructType([rows.schema["row"], rows.schema["brc_id"]]).add("piece", "string").add(rows.schema["carried"])
+
+
+def _decode(b: pa.RecordBatch | pa.Table, k: int, nodes: np.ndarray, masks: np.ndarray, own: np.ndarray | None, kmer_format: bool) -> pa.RecordBatch | pa.Table:
+    """The rows of _to_decode as those of _pieces; bad records are their own text."""
+    n, kinds, out = (b.column(i).to_pylist() for i in (2, 3, 4))
+    good = [i for i, kind in enumerate(kinds) if kind == "good"]
+    for i, text in zip(good, restore_records([out[i] for i in good], [n[i] for i in good], k, nodes, masks, own, kmer_format), strict=True):
+        out[i] = text
+    return type(b).from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), b.column(5)], ["row", "brc_id", "piece", "carried"])
+
+
+def _sequences(pieces: DataFrame, carried: list[str]) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("brc_id", "piece")))
     # a record that is first in its sequence is enough to say what comes along
     whole = pieces.groupBy("row").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("seq"), F.min_by("carried", "brc_id").alias("carried"))
     return whole.select("row", *[F.col("carried")[c].alias(c) for c in carried], "seq")
 
 
+def with_groups(seqs: DataFrame, bases: int = GROUP_BASES) -> DataFrame:
+    """seqs(row, seq, ...) with grp, by a hash of row, so many that one has ``bases`` bases on average.
+
+    row must tell the rows apart, and be the same whenever seqs is read, so of a
+    written table.  A sequence is in one group, however long.  The bases are
+    counted when this is called.
+    """
+    total = seqs.agg(F.sum(F.length("seq")).alias("n")).first().n or 0
+    return seqs.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(-(-total // bases) or 1)))
+
+
+def group_edges(seqs: DataFrame, branches: DataFrame, kp1: int) -> DataFrame:
+    """(grp, code, branch) of the distinct edges of each group of seqs(grp, seq), and whether they are in the branch set of all.
+
+    Written beside the records, it is what restore_by_group reads in place of the graph.
+    """
+    edges = kmer_codes(seqs.select(F.col("grp").alias("seq_id"), "seq"), kp1).select(F.col("seq_id").alias("grp"), "code").distinct()
+    marked = branches.select("code").distinct().withColumn("_in", F.lit(True))
+    return edges.join(marked, "code", "left").select("grp", "code", F.col("_in").isNotNull().alias("branch"))
+
+
+def restore_by_group(brcs: DataFrame, edges: DataFrame, kp1: int, kmer_format: bool = False, max_edges: int = MAX_EDGES) -> DataFrame:
+    """restore() for graphs of any size: each group of sequences is decoded with its own edges(grp, code, branch), of group_edges.
+
+    Nothing passes the driver and nothing is broadcast; a task holds one group's
+    edges and records, and a group of over ``max_edges`` edges raises.  Where a
+    k-mer goes on in one way in the group and in several in the whole graph, the
+    mark says that the records have an item for it.  brcs is walk's of the same
+    seqs, with grp, with whatever branch set group_edges was given.
+    """
+    k = kp1 - 1
+    rows, carried = _to_decode(brcs, "grp")
+
+    def run(records: pa.Table, edges: pa.Table) -> pa.Table:
+        if edges.num_rows > max_edges:
+            raise ValueError(f"a group has {edges.num_rows} edges; at most {max_edges} are decoded together")
+        codes = np.sort(edges.column("code").to_numpy())
+        nodes, at = np.unique(codes >> 2 & (1 << 2 * k) - 1, return_inverse=True)
+        masks = np.zeros(len(nodes), np.uint8)
+        np.bitwise_or.at(masks, at, np.uint8(1) << (codes & 3).astype(np.uint8))
+        own = np.sort(edges.column("code").to_numpy()[edges.column("branch").to_numpy()])
+        return _decode(records, k, nodes, masks, own, kmer_format)
+
+    pieces = rows.groupBy("grp").cogroup(edges.select("grp", "code", "branch").groupBy("grp")).applyInArrow(run, _pieces(rows))
+    return _sequences(pieces, carried)
+
+
 def _name(brcs: DataFrame) -> Column:
     return F.coalesce(F.col("name") if "name" in brcs.columns else F.col("seq_id").cast("string"), F.lit(""))
 

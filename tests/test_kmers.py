@@ -130,6 +130,10 @@ def test_round_trips(spark, seed, k):
     for kmer_format in (False, True):
         assert {r.seq_id: r.seq for r in brc.restore(brc.walk(df, o, k + 1, kmer_format), edges, k + 1, kmer_format).collect()} == want
         assert {r.seq_id: r.seq for r in brc.restore(brc.walk(df, both, k + 1, kmer_format), edges, k + 1, kmer_format, branch_set=both).collect()} == want
+    apart = brc.with_groups(df.withColumn("row", F.col("seq_id")), 300)
+    for kmer_format, marks in ((False, o), (True, o), (False, both)):
+        back = brc.restore_by_group(brc.walk(apart, marks, k + 1, kmer_format), brc.group_edges(apart, marks, k + 1), k + 1, kmer_format)
+        assert {r.seq_id: r.seq for r in back.collect()} == want and back.select("grp").distinct().count() > 1
     pieces = defaultdict(list)
     for r in sorted(unitigs.cut_unitigs(df, both, k + 1).collect()):
         pieces[r.seq_id].append(r)
@@ -327,3 +331,18 @@ def test_one_frequent_kmer_sorts_in_several_ranges(spark):
     assert stats.delta_histogram(rows).where("x = 0").first().y == 17_999
     with pytest.raises(Exception, match="cells"):
         compress.pbwt_encode(spark.createDataFrame([(0, i, "ab") for i in range(9)], "block long, row long, s string"), 2, max_cells=4).collect()
+
+
+def test_groups_are_decoded_on_odd_rows(spark):
+    rows = [(1, 7, "ACGTACGA"), (2, 7, None), (3, None, "acgtacgtNN\u00e9"), (4, 7, ""), (5, 8, "ACGTACGA"), (6, 8, "A" * 5000)]
+    df = spark.createDataFrame(rows, "row long, seq_id long, seq string")
+    o = graph.multi_out(graph.edge_rows(df, 4), distinct=True)
+    for bases in (1, 1 << 20):  # a group for every base, or one
+        apart = brc.with_groups(df, bases)
+        back = brc.restore_by_group(brc.walk(apart, o, 4), brc.group_edges(apart, o, 4), 4).collect()
+        assert sorted((r.row, r.seq) for r in back) == [(1, "ACGTACGA"), (2, ""), (3, "ACGTACGTNN\u00e9"), (4, ""), (5, "ACGTACGA"), (6, "A" * 5000)]
+        assert {r.row: r.seq_id for r in back} == {r[0]: r[1] for r in rows}
+    with pytest.raises(Exception, match="edges; at most 2"):
+        brc.restore_by_group(brc.walk(apart, o, 4), brc.group_edges(apart, o, 4), 4, max_edges=2).collect()
+    nothing = brc.with_groups(df.where("false"))
+    assert brc.restore_by_group(brc.walk(nothing, o, 4), brc.group_edges(nothing, o, 4), 4).count() == 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerspark.llm import chat, chunks, collocations, decontaminate, language_id, toxicity, variants, warc
+from kmerspark.llm import chat, chunks, collocations, decontaminate, language_id, odd_sketch, toxicity, variants, warc
 from kmerspark.llm.mixing import mix_sources
 from kmerspark.llm.quality_rules import quality_rules
 from kmerspark.llm.sharding import shard_documents
@@ -67,6 +67,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_variants": op11_variants,
     "op12_collocations": op12_collocations,
+    "op13_odd_sketch": op13_odd_sketch,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE, "op10_warc": warc.ORACLE, "op11_variants": variants.ORACLE, "op12_collocations": collocations.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE, "op10_warc": warc.ORACLE, "op11_variants": variants.ORACLE, "op12_collocations": collocations.ORACLE, "op13_odd_sketch": odd_sketch.ORACLE}

@@ -260,8 +260,10 @@ def search_neighbors(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(sql([_W, _E], "SELECT kmer FROM e"))
 def mer_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    parts = materialize(mer.to_parts(_file(spark, sf), KP, 1 << 14), "mer")
-    return counting.with_kmers(mer.from_parts(parts).select("code"), KP)
+    """Through sorted flat files, read by ranges."""
+    path = scratch_path(spark, "mer")
+    mer.write_mer(sets.sort_kmers(_graph_rows(spark, sf), distinct=True), KP, path)
+    return counting.with_kmers(mer.read_mer(spark, path, 1 << 14).select("code"), KP)
 
 
 # ---- the graph ----
@@ -441,6 +443,15 @@ def restore_fasta_named(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(F.col("row").alias("n"), fasta.fasta_record("name", "seq").alias("record"))
 
 
+@register(sql([], f"SELECT page_id AS n, translate({_BASES.replace('text', 'html')}, '#', '>') AS seq FROM pages"))
+def brc_file_marked(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages through .brc text files, with specials that look like the start of a header."""
+    seqs = tables.pages(spark, sf).withColumn("seq", F.translate("seq", "#", ">"))
+    edges_, path = graph.edge_rows(seqs, KP), scratch_path(spark, "brc")
+    brc.write_text(brc.walk(seqs, graph.multi_out(edges_, distinct=True), KP), path, ["seq_id"])
+    return brc.restore(brc.read_text(spark, path), edges_, KP).select(F.col("name").cast("long").alias("n"), "seq")
+
+
 @register(sql([], f"SELECT 'turn' AS name, substr({_NAMED}, 6) AS comment, seq FROM C WHERE seq <> ''"))
 def fastq_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Through FASTQ files whose qualities begin with "@" and "+" as they come."""

@@ -27,11 +27,11 @@ ORDER = fasta.PLACE
 
 
 def _seqs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file, part, at, seq_id, name, seq): the id of a record is its name here, and at tells records apart."""
-    kinds = [[p for p in paths if p.removesuffix(".gz").endswith(FASTQ) == own] for own in (False, True)]
-    read = [f(spark, p) for f, p in zip((fasta.read_fasta, fasta.read_fastq), kinds, strict=True) if p]
+    """(number, file, part, at, seq_id, name, seq): the id of a record is its place among all inputs in their order, and its name the record's."""
+    kinds = [[(i, p) for i, p in enumerate(paths) if p.removesuffix(".gz").endswith(FASTQ) == own] for own in (False, True)]
+    read = [f(spark, [x for _, x in p], [i for i, _ in p]) for f, p in zip((fasta.read_fasta, fasta.read_fastq), kinds, strict=True) if p]
     rows = reduce(DataFrame.unionByName, read)
-    return rows.select(*ORDER, F.col("at").alias("seq_id"), F.col("id").alias("name"), "seq")
+    return rows.select(*ORDER, F.struct(*ORDER).alias("seq_id"), F.col("id").alias("name"), "seq")
 
 
 def _parser() -> argparse.ArgumentParser:

@@ -289,25 +289,31 @@ def from_text(records: DataFrame) -> DataFrame:
     head = F.split(F.get("_lines", F.lit(0)), r"\|", 5)
     f = lambda i, t: F.get(head, F.lit(i)).cast(t)
     lines = records.withColumn("_lines", F.split(F.expr("substring(record, 2)"), "\n", 2))
-    fields = {"brc_id": f(0, "long"), "len": f(1, "long"), "start": f(2, "long"), "type": f(3, "string"), "name": f(4, "string"), "brc": F.rtrim(F.get("_lines", F.lit(1)), F.lit("\n"))}
+    fields = {"brc_id": f(0, "long"), "len": f(1, "long"), "start": f(2, "long"), "type": f(3, "string"), "name": f(4, "string"), "brc": F.coalesce(F.rtrim(F.get("_lines", F.lit(1)), F.lit("\n")), F.lit(""))}
     return lines.withColumns(fields).drop("record", "_lines")
 
 
 def write_text(brcs: DataFrame, path: str, order: list[str]) -> None:
-    """walk's records as .brc text, in the order of the sequences and of their records; a blank line ends each."""
-    to_text(brcs.orderBy(*order, "row", "brc_id")).select(F.col("record").alias("value")).write.text(path)
+    """walk's records as .brc text, in the order of the sequences and of their records; a blank line ends each, so no record's text may hold a line's end."""
+    line_end = F.raise_error(F.concat(F.lit("a line's end in a record of "), _name(brcs)))
+    checked = brcs.withColumn("brc", F.when(F.col("brc").contains("\n") | _name(brcs).contains("\n"), line_end).otherwise(F.col("brc")))
+    to_text(checked.orderBy(*order, "row", "brc_id")).select(F.col("record").alias("value")).write.text(path)
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(file, part, at, row, name, brc_id, len, start, type, brc) of .brc text files.
 
-    A sequence begins where brc_id is 0, so names may be repeated; row numbers
-    the sequences, by how many begin up to the record in its split and in the
-    splits before it, of which there is a row each.
+    A record is a header line and a line of text, whatever that begins with; files
+    are split where a blank line comes before a header, and lines are taken in
+    pairs.  A sequence begins where brc_id is 0, so names may be repeated; row
+    numbers the sequences, by how many begin up to the record in its split and in
+    the splits before it, of which there is a row each.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path)
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at")]
-    rows = from_text(raw.select(F.concat(F.lit(">"), F.regexp_replace("value", r"^\s*>", "")).alias("record"), *place).where("length(record) > 1"))
+    raw = spark.read.option("lineSep", "\n\n>").text(path)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part")]
+    pairs = F.regexp_extract_all(F.regexp_replace("value", r"^\s*>", ""), F.lit(r"([^\n]+)(?:\n([^\n]*))?\n*"), F.lit(0))
+    each = raw.select(*place, F.explode(pairs).alias("record")).withColumn("at", F.monotonically_increasing_id())
+    rows = from_text(each.withColumn("record", F.concat(F.lit(">"), F.regexp_replace("record", "^>(?=[0-9]+[|][0-9]+[|][0-9]+[|])", ""))))
     begins = (F.col("brc_id") == 0).cast("int")
     inside = rows.withColumn("_begun", F.sum(begins).over(W.partitionBy("file", "part").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)))
     before = W.orderBy("file", "part").rowsBetween(W.unboundedPreceding, -1)

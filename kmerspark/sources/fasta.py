@@ -8,31 +8,39 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: A record's place: ordered by these, records are as in the files.
-PLACE = ["file", "part", "at"]
-SCHEMA = "file string, part long, at long, name string, comment string, id string, seq string"
+#: A record's place: ordered by these, records are as in the files, and the files as the paths were given.
+PLACE = ["number", "file", "part", "at"]
+SCHEMA = "number int, file string, part long, at long, name string, comment string, id string, seq string"
 
 
-def _pieces(spark: SparkSession, paths: str | Sequence[str], separator: str) -> DataFrame:
-    raw = spark.read.option("lineSep", separator).text(paths if isinstance(paths, str) else list(paths))
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), "value")
+def _pieces(spark: SparkSession, paths: str | Sequence[str], numbers: Sequence[int] | None, separator: str) -> DataFrame:
+    """The text between separators; number: that of the path that a file was found by, so a path given twice is read twice."""
+    given = [paths] if isinstance(paths, str) else list(paths)
+    read = spark.read.option("lineSep", separator)
+    raw = read.text(list(dict.fromkeys(given))).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), "value")
+    found = [(f, int(n)) for n, p in zip(range(len(given)) if numbers is None else numbers, given, strict=True) for f in dict.fromkeys(read.text(p).inputFiles())]
+    places = spark.createDataFrame(found, "found string, number int")  # a row a file, which the driver has listed
+    plain = lambda c: F.regexp_replace(c, "^(\\w+):/+", "$1:/")  # noqa: E731  the two write a scheme with one or with three slashes
+    return raw.join(F.broadcast(places), plain("file") == plain("found")).select("number", "file", "part", "at", "value")
 
 
 def _records(pieces: DataFrame, parse: Callable[[str, str, bool], tuple[str, str] | None]) -> DataFrame:
     """SCHEMA from pieces, in the order of the files; parse(file, text, whether it opens its file) gives a header line and a sequence, or None."""
 
+    types = [pa.int32(), pa.string(), pa.int64(), pa.int64()] + 4 * [pa.string()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        first: tuple[str | None, int | None] = None, None  # of the file that rows are from
         for b in batches:
-            rows = []
-            for file, part, at, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found = parse(file, text, part == 0 and file != last)
-                last = file
+            rows: list[tuple] = []
+            for number, file, part, at, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                first = first if file == first[0] else (file, at)
+                found = parse(file, text, part == 0 and at == first[1])
                 if found is not None:
                     name, _, comment = re.sub(r"\s", "\t", found[0], count=1).partition("\t")
-                    rows.append((file, part, at, name, comment or None, f"{name} {comment}" if comment else name, found[1]))
+                    rows.append((number, file, part, at, name, comment or None, f"{name} {comment}" if comment else name, found[1]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i in (1, 2) else pa.string()) for i, c in enumerate(zip(*rows, strict=True))], [f.split()[0] for f in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, types[i]) for i, c in enumerate(zip(*rows, strict=True))], [f.split()[0] for f in SCHEMA.split(", ")])
 
     return pieces.mapInArrow(run, SCHEMA)
 
@@ -49,8 +57,11 @@ def _fasta(file: str, text: str, opens: bool) -> tuple[str, str] | None:
     return head.rstrip("\r"), "".join(body.split())
 
 
-def read_fasta(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(file, part, at, name, comment, id, seq) of FASTA files.
+def read_fasta(spark: SparkSession, paths: str | Sequence[str], numbers: Sequence[int] | None = None) -> DataFrame:
+    """(number, file, part, at, name, comment, id, seq) of FASTA files.
+
+    number: the path's place among those given, or its own of ``numbers``; files
+    that one path finds are in the order of their names.
 
     A record starts at a line with ">".  The name goes up to the first blank, the
     comment is the rest of the line, id is both.  Sequence lines are joined,
@@ -58,7 +69,7 @@ def read_fasta(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     one, text before a file's first record is dropped, and blank files give no
     rows.  A file of FASTQ records raises.
     """
-    return _records(_pieces(spark, paths, "\n>"), _fasta)
+    return _records(_pieces(spark, paths, numbers, "\n>"), _fasta)
 
 
 def _fastq(file: str, text: str, opens: bool) -> tuple[str, str] | None:
@@ -77,14 +88,14 @@ def _fastq(file: str, text: str, opens: bool) -> tuple[str, str] | None:
     return lines[0], lines[1]
 
 
-def read_fastq(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_fastq(spark: SparkSession, paths: str | Sequence[str], numbers: Sequence[int] | None = None) -> DataFrame:
     """The same columns of FASTQ files, with records of four lines; qualities are read and dropped.
 
     Text before a file's first record is dropped; records of other than four
     lines, or with a quality of another length, raise.  A quality that begins
     with "@" is not measured, since it looks like a record's start.
     """
-    return _records(_pieces(spark, paths, "\n@"), _fastq)
+    return _records(_pieces(spark, paths, numbers, "\n@"), _fastq)
 
 
 def fasta_record(name: str, seq: str) -> Column:

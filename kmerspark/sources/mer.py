@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,7 +85,7 @@ class MerSource(DataSource):
         return MerReader(self.options["path"], int(self.options.get("range", PART)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return MerWriter(self.options["path"], int(self.options["k"]))
+        return MerWriter(self.options["path"], int(self.options["k"]), overwrite)
 
 
 @dataclass
@@ -102,7 +104,7 @@ class MerReader(DataSourceReader):
         """Ranges of every file, once its length is what its header says; headers alone are read."""
         files, root = fs.FileSystem.from_uri(self.path)
         info = files.get_file_info(root)
-        found = [info] if info.is_file else sorted((f for f in files.get_file_info(fs.FileSelector(root)) if f.is_file and f.base_name.endswith("mer")), key=lambda f: f.path)
+        found = [info] if info.is_file else _mer_files(files, root)
         out = []
         for f in found:
             with files.open_input_file(f.path) as stream:
@@ -124,36 +126,59 @@ class MerReader(DataSourceReader):
 @dataclass
 class Written(WriterCommitMessage):
     file: str
+    part: int
+
+
+def _mer_files(files: fs.FileSystem, root: str) -> list[fs.FileInfo]:
+    """The flat files of a folder, by name; names that begin with "_" are of writes under way."""
+    found = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted((f for f in found if f.is_file and f.base_name.endswith("mer") and not f.base_name.startswith("_")), key=lambda f: f.path)
 
 
 class MerWriter(DataSourceArrowWriter):
-    """Each partition's codes, in their order, become a file of their own, which is renamed when all are done."""
+    """Each partition's codes, in their order, become a file of their own, which is renamed when all are done.
 
-    def __init__(self, path: str, k: int):
-        self.path, self.k = path, k
+    A name holds the number of its write, one more than any in the folder, so that
+    files of a later write come after those that are there.
+    """
+
+    def __init__(self, path: str, k: int, overwrite: bool):
+        self.path, self.k, self.overwrite = path, k, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, root = fs.FileSystem.from_uri(self.path)
         files.create_dir(root)
         context = TaskContext.get()
-        name = f"{root}/_part-{context.partitionId():06d}-{context.taskAttemptId()}"
+        name = f"{root}/_part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex}"
         codes = [b.column(b.schema.get_field_index("code")).to_numpy() for b in iterator]
         with files.open_output_stream(name) as out:
             out.write(struct.pack(HEADER, self.k, sum(map(len, codes))))
             for c in codes:
                 out.write(c.astype("<i8").tobytes())
-        return Written(name)
+        return Written(name, context.partitionId())
 
     def commit(self, messages: list[Written | None]) -> None:
-        files, _ = fs.FileSystem.from_uri(self.path)
-        for m in filter(None, messages):
-            folder, _, name = m.file.rpartition("/")
-            files.move(m.file, f"{folder}/{name[1:].rpartition('-')[0]}.smer")
+        files, root = fs.FileSystem.from_uri(self.path)
+        there = _mer_files(files, root)
+        numbers = [int(m[1]) for f in there if (m := re.fullmatch(r"write-(\d+)-part-\d+\.smer", f.base_name))]
+        moved: list[str] = []
+        try:
+            for m in filter(None, messages):
+                name = f"{root}/write-{max(numbers, default=-1) + 1:06d}-part-{m.part:06d}.smer"
+                files.move(m.file, name)
+                moved.append(name)
+        except BaseException:
+            for name in moved:
+                files.delete_file(name)
+            raise
+        for f in there if self.overwrite else []:  # only once all that is new is in place
+            files.delete_file(f.path)
 
     def abort(self, messages: list[Written | None]) -> None:
         files, _ = fs.FileSystem.from_uri(self.path)
         for m in filter(None, messages):
-            files.delete_file(m.file)
+            if files.get_file_info(m.file).is_file:
+                files.delete_file(m.file)
 
 
 def read_mer(spark: SparkSession, path: str, size: int = PART) -> DataFrame:
@@ -162,8 +187,18 @@ def read_mer(spark: SparkSession, path: str, size: int = PART) -> DataFrame:
     return spark.read.format("mer").option("range", size).load(path)
 
 
-def write_mer(kmers: DataFrame, k: int, path: str) -> None:
-    """kmers(code) in their order as flat files, one for each partition; in name order they are one sorted file if kmers are sorted."""
+def write_mer(kmers: DataFrame, k: int, path: str, mode: str = "error") -> None:
+    """kmers(code) in their order as flat files, one for each partition; in name order they are one sorted file if kmers are sorted.
+
+    mode: what happens where the folder has flat files already.  "error" raises,
+    "append" adds files whose names come after those, "overwrite" removes those
+    once the new ones are written.
+    """
     check_k(k)
+    files, root = fs.FileSystem.from_uri(path)
+    if mode not in ("error", "append", "overwrite"):
+        raise ValueError(f"mode {mode!r}")
+    if mode == "error" and _mer_files(files, root):
+        raise ValueError(f"{path} has flat k-mer files already")
     kmers.sparkSession.dataSource.register(MerSource)
-    kmers.select("code").write.format("mer").option("k", k).mode("append").save(path)
+    kmers.select("code").write.format("mer").option("k", k).mode("append" if mode == "error" else mode).save(path)

@@ -187,3 +187,68 @@ def test_turns_of_long_conversations_stay_apart(spark, tmp_path):
     assert sorted(map(tuple, back.select("seq_id", "seq").collect())) == sorted(map(tuple, short.select("seq_id", "seq").collect()))
     with pytest.raises(Exception, match="no sequence id"):
         spark.range(1).select(tables.turn_id(F.lit(-1), F.lit(0))).collect()
+
+
+def test_flat_files_are_added_to(spark, tmp_path):
+    at, rows = f"file://{tmp_path}/flat", lambda a, b: spark.range(a, b).select(F.col("id").alias("code"))
+    read = lambda: [r.code for r in mer.read_mer(spark, at).orderBy("file", "pos").collect()]
+    mer.write_mer(rows(0, 100).repartitionByRange(3, "code"), 9, at)
+    with pytest.raises(ValueError, match="already"):
+        mer.write_mer(rows(1000, 1100), 9, at)
+    assert read() == list(range(100))
+    mer.write_mer(rows(1000, 1100).repartitionByRange(2, "code"), 9, at, mode="append")
+    assert read() == [*range(100), *range(1000, 1100)]
+    mer.write_mer(rows(5, 7).coalesce(1), 9, at, mode="overwrite")
+    assert read() == [5, 6] and len(list((tmp_path / "flat").iterdir())) == 1 + sum(f.name.endswith(".crc") for f in (tmp_path / "flat").iterdir())
+
+
+def test_a_failed_commit_leaves_what_was_there(tmp_path):
+    at = f"file://{tmp_path}/flat"
+    (tmp_path / "flat").mkdir()
+    (tmp_path / "flat" / "old.smer").write_bytes(b"old")
+    (tmp_path / "flat" / "_a").write_bytes(b"new")
+    writer = mer.MerWriter(at, 9, True)
+    messages = [mer.Written(f"{tmp_path}/flat/_a", 0), mer.Written(f"{tmp_path}/flat/_gone", 1)]
+    with pytest.raises(OSError):
+        writer.commit(messages)
+    writer.abort(messages)
+    assert [f.name for f in (tmp_path / "flat").iterdir()] == ["old.smer"]
+
+
+def test_bad_segments_hold_any_character(spark, tmp_path):
+    """Every printable character, and what looks like a header, comes back from .brc text."""
+    odd = ["".join(map(chr, range(33, 127))), ">", ">>1|2|3|good|x", "5|1|0|bad|y", "é>日", ">0|8|0|good|z"]
+    seqs = [(i, f"ACGTACCGTA{x}ACGTTACGACC{x}") for i, x in enumerate(odd)] + [(i + len(odd), x) for i, x in enumerate([*odd, "", ">A"])]
+    df = spark.createDataFrame(seqs, "seq_id long, seq string")
+    edges = kmer_codes(df, 4).select("code").distinct()
+    brc.write_text(brc.walk(df, graph.multi_out(edges), 4), f"file://{tmp_path}/brc", ["seq_id"])
+    back = brc.restore(brc.read_text(spark, f"file://{tmp_path}/brc"), edges, 4).orderBy("row")
+    assert [(r.name, r.seq) for r in back.collect()] == [(str(i), "".join(c.upper() if c.isascii() else c for c in s)) for i, s in seqs]
+    # text of others, with one line's end between records
+    (tmp_path / "close.brc").write_text(">0|2|0|bad|a\n>A\n>0|0|0|bad|b\n\n>0|2|0|bad|c d\nNN")
+    assert [(r.name, r.brc) for r in brc.read_text(spark, f"file://{tmp_path}/close.brc").orderBy("at").collect()] == [("a", ">A"), ("b", ""), ("c d", "NN")]
+
+
+def test_inputs_keep_the_order_given(spark, tmp_path):
+    """Files are read in the order of the arguments, whatever their names and sizes, and one given twice is read twice."""
+    (tmp_path / "x.fa").write_text(">x1\nACGTACGA\n>x2\nTTACGTAG\n")
+    (tmp_path / "b.fa").write_text(">b1\n" + "ACGTTGCA" * 500 + "\n>b2\nACGTACGA\n")
+    (tmp_path / "q.fastq").write_text("@q1\nACGTAC\n+\n@@@@@@\n")
+    at = lambda name: f"file://{tmp_path}/{name}"
+    run = lambda *a: cli.main(list(a), spark)
+    names = ["x.fa", "q.fastq", "b.fa", "x.fa"]
+    run("count", "-k", "4", "-o", at("counts"), *map(at, names))
+    run("split", "-k", "4", "-o", at("branches"), at("counts"))
+    run("walk", "-k", "4", "-s", at("branches/o"), "-o", at("brc"), *map(at, names))
+    run("restore", "-k", "4", "-e", at("counts"), "-o", at("back"), at("brc"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "back").glob("part-*")))
+    assert text == (tmp_path / "x.fa").read_text() + ">q1\nACGTAC\n" + (tmp_path / "b.fa").read_text() + (tmp_path / "x.fa").read_text()
+    # a unitig that several files hold is kept where it comes first
+    run("merge", "-d", "-o", at("io"), at("branches/o"), at("branches/i"))
+    (tmp_path / "z.fa").write_text(">z\n" + "T" * 30 + "GATTACAGATCGATT" + "A" * 40 + "\n" + "C" * 5000 + "\n")
+    (tmp_path / "a.fa").write_text(">a\nAAAGATTACAGATCGATTCCC\n")
+    spark.createDataFrame([(kmer,) for kmer in ("TGAT", "AGAT", "ATTA", "ATTC")], "kmer string").select(codec.encode("kmer").alias("code")).write.parquet(at("cuts"))
+    run("unitig", "-k", "4", "-s", at("cuts"), "-o", at("cut"), at("z.fa"), at("a.fa"))
+    cut = "".join(p.read_text() for p in sorted((tmp_path / "cut").glob("part-*")))
+    kept = [r.split("\n") for r in cut.strip().split("\n\n")]
+    assert [h for h, _ in kept if h.endswith("|z")] and all(int(h[1:].split("|")[0]) in (0, max(int(g[1:].split("|")[0]) for g, _ in kept if g.endswith("|a"))) for h, _ in kept if h.endswith("|a"))

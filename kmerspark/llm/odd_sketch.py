@@ -8,11 +8,13 @@ differ come in pairs from samples that differ, so a count over ``most_odd`` rule
 a candidate out, and what is left is compared by the full sets.
 
 Texts of equal sets are one class and compared once.  A key never makes all its
-pairs.  While keys hold many that are not known to belong together, each meets
-the key's pivot alone, and what is linked becomes one component; pivots are the
-same in all keys that share one, so a group of copies falls together in a round
-or two.  Then members of different components of a key are compared by their
-sketches, and only pairs that pass go on to the sets.
+pairs.  First each member meets a pivot alone, the nearest of its keys' pivots, and
+what is linked becomes one component; pivots are of the component that comes first
+in all keys that share it, so a group of copies falls together in a round or two,
+and there are rounds for as long as they settle much.  Then members of different
+components of a key are compared by their sketches, and only pairs that pass by
+their sets: pair by pair in small keys, in tiles of bounded size in large ones,
+from which a spanning forest of the links comes back.
 
 Shingles are compared by 64-bit hashes of their words' hashes.
 
@@ -26,6 +28,7 @@ not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -44,8 +47,10 @@ SAMPLES, BANDS, IN_BAND, BITS = 256, 32, 4, 2048
 MISSED = 1e-7
 #: Words whose hashes a task remembers, and shingles that are mapped at once.
 KNOWN, BLOCK = 1 << 19, 256
-#: Pairs of members of different components for each member of a key, up to which they are compared by sketch; and rounds of pivots.
-PAIRS, ROUNDS = 16, 12
+#: Rounds of pivots at most; the part of the open pairs that a round may leave for another; and jumps to a component's first member.
+ROUNDS, SLOW, JUMPS = 8, 0.8, 2
+#: Members of a key that is compared pair by pair; rows and shingles of a tile of one with more.
+SMALL, TILE = 8, (2048, 1 << 20)
 _LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.random.default_rng(20).integers(0, 1 << 63, 3 * SAMPLES + 8, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _MAP, _ADD, _FOLD = _ODD[:SAMPLES], _ODD[SAMPLES : 2 * SAMPLES], _ODD[2 * SAMPLES : 3 * SAMPLES]
@@ -164,23 +169,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.col("n") + F.col("m") - common)).drop("own", "shingles")
 
 
-def _joined_up(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members(key, row, comp, ...) with the components of links(u, v), of components, put for their comp; without keys that hold one component only."""
-    found = components(links).withColumnsRenamed({"node": "comp", "root": "new"})
-    now = materialize(members.join(found, "comp", "left").withColumn("comp", F.coalesce("new", "comp")).drop("new"), "members")
+def _rank(turn: int, name: str) -> Column:
+    """The order of components in a round; links lead from later ones to earlier ones, so in no circle."""
+    return F.struct(F.xxhash64(F.lit(turn), name), name)
+
+
+def _joined_up(members: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """members(key, row, comp) with the components that found(x, y) links put together, as far as some jumps go; without keys that hold one component only."""
+    up = found.groupBy(F.col("x").alias("comp")).agg(F.min(_rank(turn, "y")).alias("y")).select("comp", F.col("y.y").alias("up"))
+    for _ in range(JUMPS):
+        up = materialize(up, "hooks")
+        up = up.join(up.select(F.col("comp").alias("up"), F.col("up").alias("further")), "up", "left").select("comp", F.coalesce("further", "up").alias("up"))
+    now = materialize(members.join(up, "comp", "left").select("key", "row", F.coalesce("up", "comp").alias("comp")), "members")
     several = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     return materialize(now.join(several, "key", "left_semi"), "members")
 
 
-def _open_pairs(members: DataFrame) -> tuple[int, int]:
-    """Pairs of members of different components, over all keys, and members."""
+def _open_pairs(members: DataFrame) -> int:
+    """Pairs of members of different components, over all keys."""
     comps = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     keys = comps.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c").cast("decimal(38,0)") * F.col("c")).alias("own"))
-    r = keys.agg(F.sum(F.col("m").cast("decimal(38,0)") * F.col("m") - F.col("own")).alias("pairs"), F.sum("m").alias("members")).first()
-    return int(r.pairs or 0) // 2, int(r.members or 0)
+    return int(keys.agg(F.sum(F.col("m").cast("decimal(38,0)") * F.col("m") - F.col("own"))).first()[0] or 0) // 2
 
 
-def similar(classes: DataFrame, rows: DataFrame, percent: int = PERCENT, pairs: int = PAIRS, rounds: int = ROUNDS) -> DataFrame:
+def similar(classes: DataFrame, rows: DataFrame, percent: int = PERCENT, small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
     """Links (u, v) that connect whatever is similar among classes(row, n, keys, sketch); rows(row, text) has their texts."""
     dealt = classes.select("row", F.explode("keys").alias("key"))
     shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
@@ -190,35 +202,75 @@ def similar(classes: DataFrame, rows: DataFrame, percent: int = PERCENT, pairs:
     only = F.broadcast(wanted) if few else wanted
     sketches = materialize(classes.select("row", "n", "sketch").join(only, "row", "left_semi"), "sketches")
     sets = materialize(full_sets(rows.select("row", "text").join(only, "row", "left_semi")), "shingle-sets")
-    links = None
     other = sketches.select(F.col("row").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
-
-    def taken(found: DataFrame) -> int:
-        """Keeps links and brings the members up to date; how many there were."""
-        nonlocal links, members
-        found = materialize(found, "links")
-        n = found.count()
-        own = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = own if links is None else links.unionByName(own)
-        if n:
-            members = _joined_up(members, found.select(F.col("x").alias("u"), F.col("y").alias("v")))
-        return n
-
+    links, before = [], _open_pairs(members)
     for turn in range(rounds):
-        left, n = _open_pairs(members)
-        if left <= pairs * n:
-            break
-        place = F.struct(F.xxhash64(F.lit(turn), "row"), F.col("row").alias("b"), F.col("comp").alias("y"))
-        pivots = members.groupBy("key").agg(F.min(place).alias("p")).select("key", "p.b", "p.y")
+        # the pivot of a key is of its first component; a member asks the nearest of its pivots
+        pivots = members.groupBy("key").agg(F.min(F.struct(_rank(turn, "comp"), F.xxhash64(F.lit(turn), "row"), F.col("row").alias("b"), F.col("comp").alias("y"))).alias("p")).select("key", "p.b", "p.y")
         met = members.join(pivots, "key").where("comp <> y").select(F.col("row").alias("a"), F.col("comp").alias("x"), "b", "y").distinct()
-        tried = met.join(sketches.withColumnRenamed("row", "a"), "a").join(other, "b").where(_may_link(percent)).drop("sketch", "other")
-        if not taken(_confirmed(tried, sets, percent)):
+        tried = met.join(sketches.withColumnRenamed("row", "a"), "a").join(other, "b").where(_may_link(percent)).withColumn("odd", _differ("sketch", "other"))
+        nearest = tried.groupBy("a").agg(F.min(F.struct("odd", "b", "x", "y", "n", "m")).alias("p")).select("a", "p.b", "p.x", "p.y", "p.n", "p.m")
+        found = materialize(_confirmed(nearest, sets, percent), "links")
+        links.append(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        members = _joined_up(members, found.select("x", "y"), turn)
+        left = _open_pairs(members)
+        if left > SLOW * before or not left:
             break
-    own = members.join(sketches, "row")
+        before = left
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    own = members.join(sizes.where(F.col("c") <= small).select("key"), "key").join(sketches, "row")
     a, b = own.select("key", F.col("row").alias("a"), F.col("comp").alias("x"), "n", "sketch"), own.select("key", F.col("row").alias("b"), F.col("comp").alias("y"), F.col("n").alias("m"), F.col("sketch").alias("other"))
-    met = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & _may_link(percent)).select("a", "x", "b", "y", "n", "m").distinct()
-    last = materialize(_confirmed(met, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    return last if links is None else links.unionByName(last)
+    met = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & _may_link(percent)).select("a", "b", "n", "m").distinct()
+    links.append(materialize(_confirmed(met, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links"))
+    return reduce(DataFrame.unionByName, links, _crowded(members, sizes.where(F.col("c") > small).select("key"), sketches, sets, percent))
+
+
+def _crowded(members: DataFrame, keys: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that connect the similar members of different components of each of the keys, in tiles.
+
+    The members of a key are dealt to blocks, so many that one has no more rows and
+    shingles than TILE says on average, and each pair of blocks is compared by
+    itself.  A tile's links are reduced to a spanning forest, so no more leave it
+    than it has rows.
+    """
+    own = members.join(keys, "key").join(sketches, "row")
+    blocks = own.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE[0], F.sum("n") / TILE[1])).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    dealt = own.join(blocks, "key").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "row", "comp", "n", "sketch").join(sets, "row")
+    spread = placed.select("key", "i", "j", "block", "row", "comp", "n", "sketch", "shingles").repartition("key", "i", "j")
+    most = most_odd(percent)
+    return materialize(spread.groupBy("key", "i", "j").applyInArrow(lambda t: _tile(t, percent, most), "u long, v long"), "links")
+
+
+def _tile(t: pa.Table, percent: int, most: int) -> pa.Table:
+    """Links of the rows of one block with those of the other, or of one block among themselves."""
+    block, row, comp, n = (t.column(c).to_numpy() for c in ("block", "row", "comp", "n"))
+    sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(row), -1)
+    lists = t.column("shingles").combine_chunks()
+    number = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+    end = np.cumsum(n)
+    _, root = np.unique(comp, return_inverse=True)
+    apart, u, v = block.min() != block.max(), [], []
+    asking = np.flatnonzero(block == block.min()) if apart else np.arange(len(row))
+    mark = np.zeros(int(number.max()) + 1 if len(number) else 1, bool)
+    for a in asking:
+        near = np.flatnonzero((block != block[a]) if apart else np.arange(len(row)) > a)
+        near = near[(root[near] != root[a]) & (100 * np.minimum(n[near], n[a]) >= percent * np.maximum(n[near], n[a]))]
+        near = near[np.bitwise_count(sketch[near] ^ sketch[a]).sum(axis=1) <= most]
+        if not len(near):
+            continue
+        mine = number[end[a] - n[a] : end[a]]
+        mark[mine] = True
+        for b in near:
+            if root[b] != root[a]:
+                common = int(mark[number[end[b] - n[b] : end[b]]].sum())
+                if 100 * common >= percent * (n[a] + n[b] - common):
+                    u.append(row[a])
+                    v.append(row[b])
+                    root[root == root[b]] = root[a]
+        mark[mine] = False
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, **kw) -> DataFrame:

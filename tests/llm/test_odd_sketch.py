@@ -70,18 +70,19 @@ def test_against_a_plain_version(spark):
     want = plain(rows)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, row string, n long")
     assert found(odd_sketch.near_duplicates(docs)) == want
-    assert found(odd_sketch.near_duplicates(docs, pairs=0)) == want  # by pivots first
+    assert found(odd_sketch.near_duplicates(docs, small=1, rounds=0)) == want  # by tiles alone
     assert odd_sketch.near_duplicates(docs.where("false")).count() == 0
     assert odd_sketch.near_duplicates(docs.where("text IS NULL")).count() == 1
 
 
-def test_dense_groups(spark):
-    """Copies around the threshold of each other, and a group that shares most with them but is never linked."""
+def test_dense_groups(spark, monkeypatch):
+    """Copies around the threshold of each other, and a group that shares most with them but is never linked; in several tiles."""
+    monkeypatch.setattr(odd_sketch, "TILE", (40, 1 << 20))
     rng = random.Random(9)
     base = [f"w{i}" for i in range(300)]
     far = edited(rng, base, 12)
     rows = [(i, " ".join(edited(rng, base, rng.randint(0, 9)))) for i in range(250)] + [(1000 + i, " ".join(edited(rng, far, rng.randint(0, 2)))) for i in range(60)]
-    got = found(odd_sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), pairs=1))
+    got = found(odd_sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
     assert got == plain(rows)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kmerspark.functions import codec
-from kmerspark.operators import brc, compress, counting, flags, graph, lookup, minimizers, sets, stats, unitigs
+from kmerspark.operators import brc, chains, compress, counting, flags, graph, lookup, minimizers, sets, stats, unitigs
 from kmerspark.operators.windows import kmer_codes, kmer_strings
 from kmerspark.scratch import materialize, scratch_path
 from kmerspark.sources import fasta, mer, sam, tables
@@ -403,6 +403,14 @@ def restore_seq_groups(spark: SparkSession, sf: str) -> DataFrame:
     return brc.restore_by_group(brc.walk(seqs, branches, KP), edges_, KP).select("seq_id", "seq")
 
 
+@register(sql([], "SELECT seq_id, seq FROM C"))
+def restore_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """From records and the graph alone, in rounds of joins, with nodes of 21 bases."""
+    seqs = tables.conversations(spark, sf)
+    edges_ = materialize(graph.edge_rows(seqs, 22), "edges")
+    return chains.restore_chains(brc.walk(seqs, graph.multi_out(edges_, distinct=True), 22), edges_, 22).select("seq_id", "seq")
+
+
 @register(sql([], "SELECT CAST(seq_id AS VARCHAR) AS name, seq FROM C"))
 def fasta_parse(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "fasta")

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kmerspark.functions import codec
-from kmerspark.operators import brc, counting, flags, graph, sets, unitigs
+from kmerspark.operators import brc, chains, counting, flags, graph, sets, unitigs
 from kmerspark.sources import fasta, mer
 
 #: Names of files that are read as FASTQ.
@@ -52,6 +52,7 @@ def _parser() -> argparse.ArgumentParser:
             "tail": lambda: p.add_argument("-t", "--tail", action="store_true"),
             "header": lambda: p.add_argument("--header", action="store_true", help="only k and the number of k-mers"),
             "io": lambda: p.add_argument("-s", "--set", help="the branch edges that the records were written with, if these are not the multi-out edges alone"),
+            "memory": lambda: p.add_argument("--in-memory", type=int, default=brc.MAX_EDGES, help="k-mers whose successors may pass the driver to all workers; larger graphs are decoded by joins"),
             "rows": lambda: p.add_argument("-n", "--rows", type=int, default=20),
             "mer": lambda: p.add_argument("-m", "--mer", required=True, help="the k-mer to look for"),
             "ref": lambda: (p.add_argument("-r", "--ref", required=True), p.add_argument("-t", "--tgt", required=True)),
@@ -70,7 +71,7 @@ def _parser() -> argparse.ArgumentParser:
     command("check", "distinct", inputs="one")
     command("split", "k", "out", inputs="one")
     command("walk", "k", "set", "out", "kmer", "pass", inputs="+")
-    command("restore", "k", "edges", "out", "kmer", "io", inputs="one")
+    command("restore", "k", "edges", "out", "kmer", "io", "memory", inputs="one")
     command("search", "mer", inputs="one")
     command("unitig", "k", "set", "out", inputs="+")
     command("flag", "k", "set", "out", inputs="+")
@@ -111,7 +112,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             brc.write_text(brc.walk(_seqs(spark, a.inputs), table(a.set), a.k, a.kmer_format, a.pass_special), a.out, ORDER)
         case "restore":
             both = table(a.set) if a.set else None
-            seqs = brc.restore(brc.read_text(spark, a.inputs[0]), table(a.edges), a.k, a.kmer_format, both)
+            edges, records = table(a.edges), brc.read_text(spark, a.inputs[0])
+            few = a.in_memory >= edges.select(codec.prefix("code")).distinct().count()
+            seqs = (brc.restore if few else chains.restore_chains)(records, edges, a.k, a.kmer_format, both)
             fasta.write_fasta(seqs, a.out, width=0, order=["row"])
         case "search":
             probe = spark.createDataFrame([(a.mer,)], "kmer string").select("kmer", codec.encode("kmer").alias("code"))

@@ -29,7 +29,7 @@ from kmerspark.operators.graph import successor_masks
 from kmerspark.operators.windows import _CODE, kmer_codes
 
 #: Edges whose successors may be broadcast to decode; 9 bytes each.
-MAX_EDGES = 200_000_000
+MAX_EDGES = 50_000_000
 #: Bases that a group of sequences has on average, where groups are decoded apart.
 GROUP_BASES = 1 << 24
 
@@ -178,7 +178,8 @@ def restore(brcs: DataFrame, edges: DataFrame, kp1: int, kmer_format: bool = Fal
     Every base depends on the k before it, so a record is decoded in one pass by
     one task, along with the others of its batch, against the successors of all
     k-mers.  They are broadcast as two sorted arrays, once their number is
-    checked; past ``max_edges`` this raises, and restore_by_group is the way.
+    checked; past ``max_edges`` this raises, and chains.restore_chains or
+    restore_by_group is the way.
     The number is counted when this is called.
     """
     k = kp1 - 1

@@ -354,6 +354,13 @@ def brc_walk(spark: SparkSession, sf: str) -> DataFrame:
     return _walk_docs(spark, sf)[0].select(*_FIELDS)
 
 
+@register(_walk_sql("D", _DOCS, LONGP, "right(kmer, 1)", _RECORD))
+def brc_walk_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """By blocks that are shorter than most documents, whose records go on over several."""
+    seqs = tables.documents(spark, sf)
+    return brc.walk_blocks(seqs, graph.multi_out(graph.edge_rows(seqs, LONGP), distinct=True), LONGP, size=1 << 10).select(*_FIELDS)
+
+
 @register(_walk_sql("C", _GRAPH, KP, "kmer", _RECORD))
 def brc_walk_kmer(spark: SparkSession, sf: str) -> DataFrame:
     return _walk_conv(spark, sf, kmer_format=True).select(*_FIELDS)
@@ -492,6 +499,13 @@ def unitig_cut(spark: SparkSession, sf: str) -> DataFrame:
     return _unitigs(spark, sf).select(*_PIECE)
 
 
+@register(sql(_UNITIGS, "SELECT seq_id, idx, start, unitig FROM u"))
+def unitig_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """By blocks that are shorter than most documents."""
+    seqs = tables.documents(spark, sf)
+    return unitigs.cut_unitigs_blocks(seqs.select("seq_id", "seq"), _both(graph.edge_rows(seqs, LONGP), LONGP), LONGP, size=1 << 10).select(*_PIECE)
+
+
 _DEDUP = f"""l AS (SELECT *, max(idx) OVER (PARTITION BY seq_id) AS last FROM u),
 inn AS (SELECT *, CASE WHEN regexp_full_match(left(unitig, {LONG}), '[ACGT]+') THEN left(unitig, {LONG}) ELSE 'special:' || CASE WHEN substr(unitig, {LONG}, 1) = '-' THEN 'true' ELSE 'false' END END AS key FROM l WHERE idx > 0 AND idx < last AND length(unitig) > {LONG}),
 kept AS (SELECT seq_id, idx, start, unitig FROM l WHERE idx = 0 OR idx = last UNION ALL SELECT seq_id, idx, start, unitig FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq_id, idx) AS n FROM inn) WHERE n = 1)"""

@@ -24,9 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.types import StructType
 
 from kmerspark.functions import codec
-from kmerspark.operators.flags import base_codes, each_sequence, stretches
+from kmerspark.operators.blockwise import EDGES, PLACED, cut_blocks, placed, put_together, with_carried
+from kmerspark.operators.flags import each_sequence
+from kmerspark.operators.flat import Flat, Segments, bodies, segments as cut_segments
 from kmerspark.operators.graph import successor_masks
-from kmerspark.operators.windows import _CODE, kmer_codes
+from kmerspark.operators.windows import _CODE, BLOCK, kmer_codes
 
 #: Edges whose successors may be broadcast to decode; 9 bytes each.
 MAX_EDGES = 50_000_000
@@ -34,23 +36,15 @@ MAX_EDGES = 50_000_000
 GROUP_BASES = 1 << 24
 
 
-def _cut(text: str, kp1: int) -> tuple[list[int], list[int], list[bool]]:
-    """Starts, ends and whether good, of the segments of a sequence; an empty one is one empty bad segment."""
-    starts, ends = stretches(base_codes(text) > 3)
-    own = (ends - starts >= kp1) & (base_codes(text)[starts] <= 3) if len(starts) else np.zeros(0, bool)
-    a, b = starts[own], ends[own]
-    # good stretches and what is between them, in order
-    starts, ends = np.stack([np.concatenate(([0], b)), np.concatenate((a, [len(text)]))], axis=1), np.stack([a, b], axis=1)
-    rows = [(int(x), int(y), False) for x, y in starts if y > x] + [(int(x), int(y), True) for x, y in ends]
-    rows = sorted(rows) or [(0, 0, False)]
-    return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+_FIELDS = StructType().add("brc_id", "long").add("len", "long").add("start", "long").add("type", "string")
 
 
-_FIELDS = StructType().add("brc_id", "long").add("len", "long").add("start", "long").add("type", "string")
+def _kinds(s: Segments) -> pa.Array:
+    return pa.array(["bad", "good"]).take(pa.array(s.good.astype(np.int8)))
 
 
-def _record_fields(starts: list[int], ends: list[int], good: list[bool]) -> dict[str, list]:
-    return {"brc_id": list(range(len(starts))), "len": [b - a for a, b in zip(starts, ends, strict=True)], "start": starts, "type": ["good" if g else "bad" for g in good]}
+def _record_fields(flat: Flat, s: Segments) -> list[pa.Array]:
+    return [pa.array(np.arange(len(s.row)) - np.searchsorted(s.row, s.row)), pa.array(s.end - s.start), pa.array(s.start - flat.begin[s.row]), _kinds(s)]
 
 
 def _with_row(seqs: DataFrame) -> DataFrame:
@@ -62,26 +56,39 @@ def walk(seqs: DataFrame, branches: DataFrame, kp1: int, kmer_format: bool = Fal
 
     row is taken from seqs if it has that column, which must then tell its rows apart.
     """
-    k = kp1 - 1
 
-    def make(text: str, at: np.ndarray) -> dict[str, list]:
-        text = text.upper() if text.isascii() else "".join(c.upper() if c.isascii() else c for c in text)
-        starts, ends, good = _cut(text, kp1)
-        lo = np.searchsorted(at, starts).tolist()
-        hi = np.searchsorted(at, ends).tolist()
-        body = []
-        for a, b, ok, i, j in zip(starts, ends, good, lo, hi, strict=True):
-            items = (text[p - k : p + 1] if kmer_format else text[p] for p in at[i:j].tolist())
-            body.append(text[a : a + k] + "".join(items) if ok else text[a:b])
-        return _record_fields(starts, ends, good) | {"brc": body}
+    def make(flat: Flat) -> tuple[np.ndarray, list[pa.Array]]:
+        s = cut_segments(flat, kp1)
+        return s.row, [*_record_fields(flat, s), bodies(flat, s, kp1, kmer_format)]
 
     out = each_sequence(_with_row(seqs), branches, kp1, make, StructType(_FIELDS.fields[:]).add("brc", "string"), **kw)
     return out.where(F.col("type") == "good") if pass_special else out
 
 
+def walk_blocks(seqs: DataFrame, branches: DataFrame, kp1: int, kmer_format: bool = False, pass_special: bool = False, size: int = BLOCK, **kw) -> DataFrame:
+    """walk() of sequences of any length, by blocks of ``size`` characters that all tasks share."""
+    carried = [c for c in seqs.columns if c not in ("seq", "row")]
+    kept, row, blocks = cut_blocks(seqs, kp1, size)
+
+    def make(flat: Flat) -> tuple[np.ndarray, list[pa.Array]]:
+        s = cut_segments(flat, kp1)
+        return s.row, [*placed(flat, s.row, s.start, s.goes_on), pa.array(s.end - s.start), _kinds(s), bodies(flat, s, kp1, kmer_format)]
+
+    parts = each_sequence(blocks, branches, kp1, make, StructType(PLACED.fields[:]).add("len", "long").add("type", "string").add("brc", "string"), block=EDGES, **kw)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "brc"))), lambda x: x["brc"]), "").alias("brc")
+    whole, _ = put_together(parts, row, size, F.sum("len").alias("len"), F.min("type").alias("type"), text)
+    whole = whole.where("type = 'good'") if pass_special else whole
+    return with_carried(whole, kept, row, carried).select(*[F.col("_carried")[c].alias(c) for c in carried], F.col(row).alias("row"), F.col("id").alias("brc_id"), "len", "start", "type", "brc")
+
+
 def segments(seqs: DataFrame, kp1: int) -> DataFrame:
     """seqs(seq, ...) with, in place of seq, (brc_id, len, start, type): no graph is needed for them, and nothing is shuffled."""
-    return each_sequence(seqs, None, kp1, lambda text, at: _record_fields(*_cut(text, kp1)), _FIELDS)
+
+    def make(flat: Flat) -> tuple[np.ndarray, list[pa.Array]]:
+        s = cut_segments(flat, kp1)
+        return s.row, _record_fields(flat, s)
+
+    return each_sequence(seqs, None, kp1, make, _FIELDS)
 
 
 #: The base that a mask with one bit stands for.

@@ -8,106 +8,86 @@ table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from kmerspark.operators.flat import Flat, strings
 from kmerspark.operators.graph import branch_positions
-from kmerspark.operators.windows import _CODE, BATCH, base_windows
 from kmerspark.rows import fresh, numbered
 from kmerspark.scratch import materialize
 
-#: Codes of a branch set that are broadcast at most, 8 bytes each, and bases of a sequence that are looked up at once.
+#: Codes of a branch set that are broadcast at most, 8 bytes each, and bytes of sequences that are looked at together.
 MAX_SET = 8_000_000
-PIECE = 1 << 20
+TOGETHER = 1 << 21
 
-Make = Callable[[str, np.ndarray], dict[str, list]]
+#: What is made of rows: the row of each thing made, and the columns added.
+Make = Callable[[Flat], tuple[np.ndarray, list[pa.Array]]]
 
 
-def base_codes(text: str) -> np.ndarray:
-    """0 to 3 for bases, 4 for all else, one for each character."""
-    if text.isascii():
-        return _CODE[np.frombuffer(text.encode(), np.uint8)]
-    return _CODE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 255)]
-
-
-def stretches(special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where maximal runs of equal values start, and where they end."""
-    if not len(special):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cut = np.flatnonzero(special[1:] != special[:-1]) + 1
-    return np.concatenate(([0], cut)), np.concatenate((cut, [len(special)]))
-
-
-def places(text: str, branches: np.ndarray, kp1: int) -> np.ndarray:
-    """The 0-based places where an edge of the sorted codes ends."""
-    found, base = [np.zeros(0, np.int64)], base_codes(text)
-    for a in range(0, len(base) - kp1 + 1 if len(branches) else 0, PIECE):
-        at, code = base_windows(base[a : a + PIECE + kp1 - 1], kp1)
-        i = np.minimum(np.searchsorted(branches, code), len(branches) - 1)
-        found.append(at[branches[i] == code] + (a + kp1 - 1))
-    return np.concatenate(found)
-
-
-def each_sequence(seqs: DataFrame, branches: DataFrame | None, kp1: int, make: Make, added: StructType, max_set: int = MAX_SET) -> DataFrame:
-    """The rows that make(seq, places of branches) gives for each row of seqs(seq, ...): the other columns of seqs, then the added ones.
+def each_sequence(seqs: DataFrame, branches: DataFrame | None, kp1: int, make: Make, added: StructType, max_set: int = MAX_SET, block: Sequence[str] = ()) -> DataFrame:
+    """What make gives for the rows of seqs(seq, ...), in which branches are marked: the other columns of seqs, then the added ones.
 
     Up to max_set codes of branches(code), by count, are broadcast as a sorted
     array and looked up inside the row; nothing is shuffled.  Beyond that windows
-    and branches meet in a shuffle, under the row's own written number.
+    and branches meet in a shuffle, under the row's own written number.  block:
+    the columns that say of a block what Flat has to know of it.
     """
-    spark, carried = seqs.sparkSession, [c for c in seqs.columns if c != "seq"]
+    spark, carried = seqs.sparkSession, [c for c in seqs.columns if c != "seq" and c not in block]
     text, place = F.coalesce("seq", F.lit("")).alias("seq"), fresh("_at", carried)
     shared = None
     if branches is None:
-        rows = seqs.select(*carried, text, F.array().cast("array<int>").alias(place))
+        rows = seqs.select(*carried, *block, text, F.array().cast("array<int>").alias(place))
     else:
         codes = materialize(branches.select("code").distinct(), "branches")
         if codes.limit(max_set + 1).count() <= max_set:
             shared = spark.sparkContext.broadcast(np.sort(codes.toArrow().column(0).to_numpy()))
-            rows = seqs.select(*carried, text, F.lit(None).cast("array<int>").alias(place))
+            rows = seqs.select(*carried, *block, text, F.lit(None).cast("array<int>").alias(place))
         else:
             kept, row = numbered(seqs)
             at = branch_positions(kept.select(F.col(row).alias("seq_id"), "seq"), codes, kp1).groupBy("seq_id").agg(F.sort_array(F.collect_list(F.col("pos").cast("int"))).alias(place)).withColumnRenamed("seq_id", row)
-            rows = kept.join(at, row, "left").select(*carried, text, F.coalesce(place, F.array().cast("array<int>")).alias(place))
-    schema, n_carried = StructType(rows.schema.fields[:-2] + added.fields), len(carried)
-    names = [f.name for f in added.fields]
+            rows = kept.join(at, row, "left").select(*carried, *block, text, F.coalesce(place, F.array().cast("array<int>")).alias(place))
+    n_carried, n_block = len(carried), len(block)
+    schema = StructType(rows.schema.fields[:n_carried] + added.fields)
+    names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            types = _arrow_types(added)
-            held, which, n = [], [], 0
-            for i in range(b.num_rows):
-                seq = b.column(n_carried)[i].as_py()
-                given = b.column(n_carried + 1)[i]
-                at = places(seq, shared.value, kp1) if shared is not None else given.values.to_numpy(zero_copy_only=False) if len(given) else np.zeros(0, np.int64)
-                out = make(seq, at)
-                held.append(out)
-                which.append(np.full(len(out[names[0]]), i))
-                n += len(out[names[0]]) + len(seq)
-                if n >= BATCH or i == b.num_rows - 1:
-                    at_rows = pa.array(np.concatenate(which))
-                    made = [pa.array([x for o in held for x in o[name]], t) for name, t in zip(names, types, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(at_rows) for c in range(n_carried)), *made], [*b.schema.names[:n_carried], *names])
-                    held, which, n = [], [], 0
+        for whole in batches:
+            for b in _slices(whole, n_carried + n_block):
+                flat = Flat(b.column(n_carried + n_block), *(c.to_numpy(zero_copy_only=False) for c in b.columns[n_carried : n_carried + n_block]))
+                if shared is not None:
+                    flat.mark(shared.value, kp1)
+                else:
+                    at = b.column(n_carried + n_block + 1)
+                    flat.branch[np.repeat(flat.begin, np.diff(at.offsets.to_numpy())) + at.flatten().to_numpy()] = True
+                    flat.branch &= flat.inside()
+                row, columns = make(flat)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in b.columns[:n_carried]), *columns], names)
 
     return rows.mapInArrow(run, schema)
 
 
-def _arrow_types(fields: StructType) -> list[pa.DataType]:
-    known = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-    return [known[f.dataType.simpleString()] for f in fields.fields]
+def _slices(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about TOGETHER bytes of text."""
+    if not b.num_rows:
+        return
+    at = np.frombuffer(b.column(text).buffers()[1], np.int32)[b.column(text).offset :][: b.num_rows + 1].astype(np.int64)
+    first = 0
+    while first < b.num_rows:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + TOGETHER, "right")) - 1)
+        yield b.slice(first, last - first)
+        first = last
 
 
 def flag_branches(seqs: DataFrame, branches: DataFrame, kp1: int, **kw) -> DataFrame:
     """seqs with, in place of seq, flagged: seq with the base at each branch replaced by its digit."""
 
-    def make(text: str, at: np.ndarray) -> dict[str, list]:
-        chars = np.array(list(text), dtype="<U1")
-        chars[at] = np.array(list("0123"))[base_codes(text)[at]]
-        return {"flagged": ["".join(chars.tolist())]}
+    def make(flat: Flat) -> tuple[np.ndarray, list[pa.Array]]:
+        chars = np.where(flat.branch, 48 + flat.base, flat.chars).astype(flat.chars.dtype)
+        inside = flat.inside()
+        return np.arange(flat.n), [strings(chars[inside], flat.end - flat.first)]
 
     return each_sequence(seqs, branches, kp1, make, StructType().add("flagged", "string"), **kw)

@@ -7,10 +7,14 @@ nulls first, then of the earliest piece is kept.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from kmerspark.operators.flags import base_codes, each_sequence, stretches
+from kmerspark.operators.blockwise import EDGES, PLACED, cut_blocks, placed, put_together, with_carried
+from kmerspark.operators.flags import each_sequence
+from kmerspark.operators.flat import Flat, pieces, spans, strings
+from kmerspark.operators.windows import BLOCK
 
 
 def cut_unitigs(seqs: DataFrame, branches: DataFrame, kp1: int, **kw) -> DataFrame:
@@ -21,18 +25,30 @@ def cut_unitigs(seqs: DataFrame, branches: DataFrame, kp1: int, **kw) -> DataFra
     piece.  outer: it is the first or the last of its sequence.
     """
 
-    def make(text: str, at: np.ndarray) -> dict[str, list]:
-        starts, ends = stretches(base_codes(text) > 3)
-        # a cut ends a piece and starts the next k - 1 before; sorted, the n-th start and the n-th end belong together
-        starts, ends = np.sort(np.concatenate((starts, at - kp1 + 2))).tolist(), np.sort(np.concatenate((ends, at))).tolist()
-        if not starts:
-            starts, ends = [0], [0]
-        n = len(starts)
-        return {"idx": list(range(n)), "start": starts, "outer": [i in (0, n - 1) for i in range(n)], "unitig": [text[a:b] for a, b in zip(starts, ends, strict=True)]}
+    def make(flat: Flat) -> tuple[np.ndarray, list[pa.Array]]:
+        p = pieces(flat, kp1)
+        idx = np.arange(len(p.row)) - np.searchsorted(p.row, p.row)
+        last = np.append(p.row[1:] != p.row[:-1], True) if len(p.row) else np.zeros(0, bool)
+        return p.row, [pa.array(idx), pa.array(p.start - flat.begin[p.row]), pa.array((idx == 0) | last), strings(flat.chars[spans(p.start, p.end - p.start)], p.end - p.start)]
 
     return each_sequence(seqs, branches, kp1, make, StructType().add("idx", "long").add("start", "long").add("outer", "boolean").add("unitig", "string"), **kw)
 
 
+def cut_unitigs_blocks(seqs: DataFrame, branches: DataFrame, kp1: int, size: int = BLOCK, **kw) -> DataFrame:
+    """cut_unitigs() of sequences of any length, by blocks of ``size`` characters that all tasks share."""
+    carried = [c for c in seqs.columns if c != "seq"]
+    kept, row, blocks = cut_blocks(seqs, kp1, size)
+
+    def make(flat: Flat) -> tuple[np.ndarray, list[pa.Array]]:
+        p = pieces(flat, kp1)
+        return p.row, [*placed(flat, p.row, p.start, p.goes_on), strings(flat.chars[spans(p.start, p.end - p.start)], p.end - p.start)]
+
+    parts = each_sequence(blocks, branches, kp1, make, StructType(PLACED.fields[:]).add("unitig", "string"), block=EDGES, **kw)
+    whole, totals = put_together(parts, row, size, F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "unitig"))), lambda x: x["unitig"]), "").alias("unitig"))
+    whole = whole.join(totals, row).select(row, F.col("id").alias("idx"), "start", ((F.col("id") == 0) | (F.col("id") == F.col("total") - 1)).alias("outer"), "unitig")
+    return with_carried(whole, kept, row, carried).select(*[F.col("_carried")[c].alias(c) for c in carried], "idx", "start", "outer", "unitig")
+
+
 def dedup_unitigs(unitigs: DataFrame, k: int) -> DataFrame:
     """The outer pieces, and each inner piece over k long whose first k-mer no earlier inner piece has.
 

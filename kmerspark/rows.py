@@ -26,6 +26,12 @@ def numbered(df: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:
     return materialize(df.withColumn(row, F.monotonically_increasing_id()), "rows", "zstd"), row
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, by a shuffle, where its files alone would give fewer tasks; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def without_rows(df: DataFrame, rows: DataFrame, row: str) -> DataFrame:
     """df without those whose number is in rows(row).
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from kmerspark.rows import spread
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz \n#"
 AS_BASES = ("ACGT" * 7) + "N"
 
@@ -19,7 +21,8 @@ def to_bases(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, seq, lang, source) of the documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("seq_id"), to_bases(F.col("text")).alias("seq"), "lang", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
+    return docs.select(F.col("doc_id").alias("seq_id"), to_bases(F.col("text")).alias("seq"), "lang", "source")
 
 
 def turn_id(conv_id: Column, turn: Column) -> Column:

@@ -98,3 +98,18 @@ def test_one_long_sequence_is_many_tasks(spark):
     assert blocks.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(bool).count() > 1
     a, b = (f(df, branches, 10).select("brc_id", "len", "start", "type", "brc").collect() for f in (brc.walk, lambda *x: brc.walk_blocks(*x, size=4096)))
     assert a == b and a[0].len == 300_000
+
+
+@pytest.mark.parametrize("kp1", [2, 7, 31, 32])
+def test_branches_in_one_pass(spark, kp1, monkeypatch):
+    """Folded where they are made, as from the edges, on both sides, with codes of 32 bases too."""
+    rng = random.Random(kp1)
+    shared = "".join(rng.choices("ACGT", k=50))
+    rows = texts(rng) + [(9, shared + x * 9) for x in "ACGT"] + [(9, x * 3 + shared) for x in "ACGT"] + [(1, "T" * 70)]
+    df = spark.createDataFrame(rows, "seq_id long, seq string")
+    edges = kmer_codes(df, kp1).select("code").distinct()
+    codes = lambda df: sorted(r.code for r in df.collect())
+    o, i = codes(graph.multi_out(edges)), codes(graph.multi_in(edges, kp1))
+    assert codes(graph.branches(df, kp1)) == o and codes(graph.branches(df, kp1, out=False, into=True)) == i
+    assert codes(graph.branches(df, kp1, into=True)) == sorted(o + i) and o and i
+    assert graph.branches(df.where("false"), kp1, into=True).count() == 0

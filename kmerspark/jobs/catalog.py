@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kmerspark.functions import codec
-from kmerspark.operators import brc, chains, compress, counting, flags, graph, lookup, minimizers, sets, stats, unitigs
+from kmerspark.operators import brc, chains, compress, counting, flags, graph, index, lookup, minimizers, sets, stats, unitigs
 from kmerspark.operators.windows import kmer_codes, kmer_strings
 from kmerspark.scratch import materialize, scratch_path
 from kmerspark.sources import fasta, mer, sam, tables
@@ -252,6 +252,15 @@ def search_exact(spark: SparkSession, sf: str) -> DataFrame:
     return counting.with_kmers(sets.search(_file(spark, sf), probes), KP)
 
 
+@register(sql([_W, _E, _P, windows("bw", "B", KP)], "SELECT b.kmer, pos FROM (SELECT DISTINCT kmer FROM bw) b LEFT JOIN p ON b.kmer = p.kmer"))
+def search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Through an index on disk, of which only files that can hold a probe are read."""
+    path = scratch_path(spark, "index")
+    index.write_index(_graph_rows(spark, sf).distinct(), path, 1 << 12)
+    probes = kmer_codes(tables.benchmark(spark, sf), KP).select("code").distinct()
+    return counting.with_kmers(index.search_index(spark, path, probes), KP)
+
+
 @register(sql([_W, _E, _P, windows("bw", "B", K), "q AS (SELECT kmer, m, s FROM (SELECT DISTINCT kmer FROM bw), (SELECT unnest(['A', 'C', 'G', 'T']) AS m), (SELECT unnest(['pred', 'succ']) AS s))"], "SELECT q.kmer, s AS side, m AS base, pos FROM q LEFT JOIN p ON p.kmer = CASE s WHEN 'pred' THEN m || q.kmer ELSE q.kmer || m END"))
 def search_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     probes = kmer_strings(tables.benchmark(spark, sf), K).select("kmer").distinct()

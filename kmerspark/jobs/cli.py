@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kmerspark.functions import codec
-from kmerspark.operators import brc, chains, counting, flags, graph, sets, unitigs
+from kmerspark.operators import brc, chains, counting, flags, graph, index, sets, unitigs
 from kmerspark.sources import fasta, mer
 
 #: Names of files that are read as FASTQ.
@@ -52,6 +52,7 @@ def _parser() -> argparse.ArgumentParser:
             "tail": lambda: p.add_argument("-t", "--tail", action="store_true"),
             "header": lambda: p.add_argument("--header", action="store_true", help="only k and the number of k-mers"),
             "io": lambda: p.add_argument("-s", "--set", help="the branch edges that the records were written with, if these are not the multi-out edges alone"),
+            "indexed": lambda: p.add_argument("--indexed", action="store_true", help="the input is an index, of which only what can hold the k-mer is read"),
             "memory": lambda: p.add_argument("--in-memory", type=int, default=brc.MAX_EDGES, help="k-mers whose successors may pass the driver to all workers; larger graphs are decoded by joins"),
             "rows": lambda: p.add_argument("-n", "--rows", type=int, default=20),
             "mer": lambda: p.add_argument("-m", "--mer", required=True, help="the k-mer to look for"),
@@ -72,7 +73,8 @@ def _parser() -> argparse.ArgumentParser:
     command("split", "k", "out", inputs="one")
     command("walk", "k", "set", "out", "kmer", "pass", inputs="+")
     command("restore", "k", "edges", "out", "kmer", "io", "memory", inputs="one")
-    command("search", "mer", inputs="one")
+    command("index", "out", inputs="one")  # a table to a sorted index
+    command("search", "mer", "indexed", inputs="one")
     command("unitig", "k", "set", "out", inputs="+")
     command("flag", "k", "set", "out", inputs="+")
     command("import", "out", inputs="one")  # .mer and .smer files to a table
@@ -116,6 +118,11 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             few = a.in_memory >= edges.select(codec.prefix("code")).distinct().count()
             seqs = (brc.restore if few else chains.restore_chains)(records, edges, a.k, a.kmer_format, both)
             fasta.write_fasta(seqs, a.out, width=0, order=["row"])
+        case "index":
+            index.write_index(table(a.inputs[0]), a.out)
+        case "search" if a.indexed:
+            probe = spark.createDataFrame([(a.mer,)], "kmer string").select("kmer", codec.encode("kmer").alias("code"))
+            index.search_index(spark, a.inputs[0], probe).show(truncate=False)
         case "search":
             probe = spark.createDataFrame([(a.mer,)], "kmer string").select("kmer", codec.encode("kmer").alias("code"))
             sets.search(sets.with_positions(table(a.inputs[0])), probe).show(truncate=False)

@@ -8,8 +8,10 @@ a BK-tree, whose edges carry the distance of child and parent; a query follows
 only edges within the radius of its own distance.  A large shard is dealt anew
 by the bits that its fingerprints need not agree on: cut into radius + 1 parts,
 two within the radius agree on one of them.  What is still large after that is
-cut into several trees, and each of its fingerprints is sent to all of them;
-within the radius of one fingerprint there are no more than sum(C(64, i)) others.
+cut into several trees.  Its fingerprints that differ in one bit are linked first,
+by what they share without it, and those of the largest group so linked do not ask:
+they are a cluster already, and all others are sent to every tree and so find what
+links them to it.  A dense cluster is thus not compared with itself.
 
 From a shard only a spanning forest of its links leaves, never all pairs, and
 components are joined up across shards by a distributed algorithm.
@@ -46,6 +48,8 @@ BLOCK = 1 << 15
 MAX_TREE = 20_000
 MEAN_SHARD = 4_096
 VISITS = 1 << 20
+#: Queries that one task holds for a tree, on average at most.
+QUERIES = 1 << 19
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -199,10 +203,22 @@ def links_within(fps: DataFrame, radius: int = RADIUS, max_tree: int = MAX_TREE)
     anew = marked.select("fp", "part", "key", F.posexplode(F.when(F.col("trees").isNull(), F.array(F.lit(0).cast("long"))).otherwise(again)).alias("sub", "subkey"))
     shard = ["part", "key", "sub", "subkey"]
     sized = anew.join(large(anew, shard), shard, "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+    sized, near = materialize(sized, "shards"), None
+    dense = sized.where("trees > 1").select("fp").distinct()
+    if dense.isEmpty():
+        sized = sized.withColumns({"asks": F.lit(True), "slices": F.lit(1)})
+    else:
+        near = materialize(components(one_bit_links(dense)).where("node <> root"), "one-bit-groups").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        sized = _asking(sized, near, shard)
     own = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
-    sent = sized.select("fp", *shard, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
-    rows = sent.select(*shard, "tree", (F.col("own") == F.col("tree")).alias("node"), "fp")
-    spread = rows.repartition(*shard, "tree").sortWithinPartitions(*shard, "tree", F.desc("node"), "fp")
+    in_trees = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("trees") - 1)).otherwise(F.array("own"))
+    sent = sized.withColumn("own", own).select("fp", *shard, "own", "asks", "slices", F.explode(in_trees).alias("tree"))
+    # a tree's nodes are in each slice of its queries, and a query is in one
+    slice_ = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("slices")).cast("int")
+    node = F.col("own") == F.col("tree")
+    sent = sent.withColumn("of", slice_).withColumn("slice", F.explode(F.when(node, F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array("of"))))
+    rows = sent.select(*shard, "tree", "slice", node.alias("node"), "fp", (F.col("asks") & (F.col("of") == F.col("slice"))).alias("asks"))
+    spread = rows.repartition(*shard, "tree", "slice").sortWithinPartitions(*shard, "tree", "slice", F.desc("node"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -215,12 +231,35 @@ def links_within(fps: DataFrame, radius: int = RADIUS, max_tree: int = MAX_TREE)
             held.append(b.slice(cut))
         yield from _search(held, radius)
 
-    return spread.mapInArrow(run, "u long, v long")
+    found = spread.mapInArrow(run, "u long, v long")
+    return found if near is None else found.unionByName(near)
+
+
+def one_bit_links(fps: DataFrame) -> DataFrame:
+    """Links (u, v) of those of fps(fp) that differ in one bit: they agree on what is left without it."""
+    without = fps.select("fp", F.explode(F.array(*[F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(64)])).alias("bit"))
+    met = without.groupBy("bit", F.col("fp").bitwiseAND(F.bitwise_not("bit")).alias("rest")).agg(F.min("fp").alias("u"), F.max("fp").alias("v"))
+    return met.where("u < v").select("u", "v")
+
+
+def _asking(sized: DataFrame, groups: DataFrame, shard: list[str]) -> DataFrame:
+    """sized(fp, shard, trees) with asks and slices: of a shard of several trees, all ask but the largest of the groups(u, v), where v stands for its group.
+
+    Its members are linked with each other already, and to the others by what
+    those ask; so a dense cluster is not compared with itself, and a shard that is
+    one group not at all.  slices: how many parts the queries of a shard are dealt to.
+    """
+    rooted = materialize(sized.where("trees > 1").join(groups.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    sizes = rooted.groupBy(*shard, "root").agg(F.count(F.lit(1)).alias("c"))
+    most = sizes.groupBy(*shard).agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).withColumn("others", F.col("all") - F.col("m.c")).where("others > 0")
+    most = most.select(*shard, F.col("m.root").alias("largest"), (1 + F.floor(F.col("others") / QUERIES)).cast("int").alias("slices"))
+    asking = rooted.join(most, shard).select("fp", *shard, "trees", (F.col("root") != F.col("largest")).alias("asks"), "slices")
+    return sized.where("trees = 1").withColumns({"asks": F.lit(True), "slices": F.lit(1)}).select(*asking.columns).unionByName(asking)
 
 
 def _last_group(b: pa.RecordBatch) -> int:
     """Where the batch's last shard starts."""
-    cols = [np.asarray(b.column(i)) for i in range(5)]
+    cols = [np.asarray(b.column(i)) for i in range(6)]
     same = np.logical_and.reduce([c == c[-1] for c in cols]) if b.num_rows else np.zeros(0, bool)
     return b.num_rows - int(same[::-1].argmin()) if b.num_rows and not same.all() else 0
 
@@ -231,17 +270,16 @@ def _search(held: list[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]
     t = pa.Table.from_batches(held).combine_chunks()
     if not t.num_rows:
         return
-    *place, node = (np.asarray(t.column(i).to_numpy()) for i in range(6))
-    fp = t.column(6).to_numpy().view(np.uint64)
+    *place, node, asks = (np.asarray(t.column(i).to_numpy()) for i in (*range(7), 8))
+    fp = t.column(7).to_numpy().view(np.uint64)
     shard = np.cumsum(np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in place])))) - 1
     lone = np.bincount(shard)[shard] < 2
-    fp, shard, node = fp[~lone], shard[~lone], node[~lone]
+    fp, shard, node, asks = fp[~lone], shard[~lone], node[~lone], asks[~lone]
     if not len(fp):
         return
     nodes = np.flatnonzero(node)
     forest = Forest(fp[nodes], shard[nodes])
-    has = np.isin(shard, forest.trees)
-    asked = np.flatnonzero(has)
+    asked = np.flatnonzero(np.isin(shard, forest.trees) & asks)
     root = np.arange(len(fp))
     for q, n in forest.links(fp[asked], shard[asked], radius):
         spanning(asked[q], nodes[n], root)

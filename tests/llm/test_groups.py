@@ -70,6 +70,20 @@ def test_links_and_trees(spark):
         assert got == {k: v for k, v in want.items() if k != v or sum(x == v for x in want.values()) > 1}
 
 
+def test_dense_clusters(spark, monkeypatch):
+    """Fingerprints over few bits, two clusters and strays around them, in many small trees and slices."""
+    monkeypatch.setattr(simhash, "QUERIES", 50)
+    rng = random.Random(6)
+    one, two = rng.getrandbits(64), rng.getrandbits(64)
+    fps = {one ^ rng.getrandbits(10) for _ in range(700)} | {two ^ (rng.getrandbits(8) << 50) for _ in range(150)}
+    fps |= {near(rng, one, rng.randint(3, 7)) for _ in range(60)} | {near(rng, two, rng.randint(3, 7)) for _ in range(60)}
+    fps = list(fps)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    want = brute.groups(signed, fps)
+    got = {r.node: r.root for r in components(simhash.links_within(spark.createDataFrame([(x,) for x in signed], "fp long"), max_tree=40)).collect()}
+    assert got == {k: v for k, v in want.items() if k != v or sum(x == v for x in want.values()) > 1}
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + 7 * i % 50) for i in range(50)] + [(5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

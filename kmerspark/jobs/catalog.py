@@ -11,8 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kmerspark.functions import codec
-from kmerspark.operators import brc, chains, compress, counting, flags, graph, index, lookup, minimizers, sets, stats, unitigs
+from kmerspark.functions import codec, table
+from kmerspark.operators import bits, brc, chains, compress, counting, flags, graph, index, lookup, minimizers, sets, stats, unitigs
 from kmerspark.operators.windows import kmer_codes, kmer_strings
 from kmerspark.scratch import materialize, scratch_path
 from kmerspark.sources import fasta, mer, sam, tables
@@ -139,6 +139,13 @@ def kmer_windows(spark: SparkSession, sf: str) -> DataFrame:
     return kmer_strings(tables.conversations(spark, sf), 15)
 
 
+@register(sql([windows("w", "C", 15)], "SELECT seq_id, pos, kmer FROM w"))
+def kmers_udtf(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the table function of SQL."""
+    table.register(spark)
+    return spark.sql("SELECT seq_id, k.pos, k.kmer FROM {seqs}, LATERAL kmers(seq, 15) AS k", seqs=tables.conversations(spark, sf))
+
+
 @register(sql([windows("w", "C", 15)], f"SELECT DISTINCT kmer, {code('kmer')} AS code FROM w"))
 def kmer_encode(spark: SparkSession, sf: str) -> DataFrame:
     return kmer_strings(tables.conversations(spark, sf), 15).select("kmer", codec.encode("kmer").alias("code")).distinct()
@@ -685,6 +692,21 @@ def huffman_bits(spark: SparkSession, sf: str) -> DataFrame:
     return compress.huffman_bits(compress.rle_runs(_rows(spark, sf)))
 
 
+@register(sql(_RUNS, "SELECT row, start, value, length FROM r"))
+def huffman_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs as packed bits, in blocks of 256, and back."""
+    rows = _rows(spark, sf)
+    book = bits.run_code(compress.rle_runs(rows))
+    return bits.decode_runs(materialize(bits.encode_runs(rows, book, 256), "bits"), book)
+
+
+@register(sql([*_RUNS, _HUFFMAN, _JOINED], "SELECT (SELECT count(*) FROM r) AS runs, CAST(greatest(max(bits), (SELECT sum(n) FROM f WHERE (SELECT count(*) FROM f) = 1)) AS BIGINT) AS bits FROM m").replace("WITH", "WITH RECURSIVE", 1))
+def huffman_packed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _rows(spark, sf)
+    packed = bits.encode_runs(rows, bits.run_code(compress.rle_runs(rows)))
+    return packed.agg(F.coalesce(F.sum("runs"), F.lit(0)).alias("runs"), F.coalesce(F.sum("bits"), F.lit(0)).alias("bits"))
+
+
 def _block(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks of 32 conversations' texts, in rows of 48 columns, padded with N."""
     seqs = tables.conversations(spark, sf)

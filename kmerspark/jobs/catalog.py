@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kmerspark.functions import codec, table
-from kmerspark.operators import bits, brc, chains, compress, counting, flags, graph, index, lookup, minimizers, sets, stats, unitigs
+from kmerspark.operators import bits, brc, chains, compress, counting, flags, graph, index, lookup, minimizers, sets, stats, unitigs, wide
 from kmerspark.operators.windows import kmer_codes, kmer_strings
 from kmerspark.scratch import materialize, scratch_path
 from kmerspark.sources import fasta, mer, sam, tables
@@ -719,6 +719,12 @@ def _block(spark: SparkSession, sf: str) -> DataFrame:
 _PB = "pb AS (SELECT CAST(floor(seq_id / 32000) AS BIGINT) AS block, seq_id * 100000 + part AS row, rpad(substr(seq, part * 48 + 1, 48), 48, 'N') AS s FROM (SELECT seq_id, seq, unnest(range(0, (length(seq) + 47) // 48)) AS part FROM C WHERE length(seq) > 0))"
 
 
+@register(sql([_PB], "SELECT CAST(col AS INTEGER) AS col, row_number() OVER (PARTITION BY col ORDER BY reverse(left(s, col)), row) - 1 AS rank, row, substr(s, col + 1, 1) AS value FROM pb, (SELECT unnest(range(0, 48)) AS col)"))
+def pbwt_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows in one block."""
+    return wide.pbwt_wide(_block(spark, sf).select("row", "s"), 48)
+
+
 @register(sql([_PB], "SELECT block, CAST(col AS INTEGER) AS col, CAST(row_number() OVER (PARTITION BY block, col ORDER BY reverse(left(s, col)), row) - 1 AS INTEGER) AS rank, row, substr(s, col + 1, 1) AS value FROM pb, (SELECT unnest(range(0, 48)) AS col)"))
 def pbwt_encode(spark: SparkSession, sf: str) -> DataFrame:
     return compress.pbwt_encode(_block(spark, sf), 48)

@@ -34,6 +34,15 @@ def _seqs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return rows.select(*ORDER, F.struct(*ORDER).alias("seq_id"), F.col("id").alias("name"), "seq")
 
 
+#: Characters of a sequence from which on it is cut into blocks.
+LONG = 1 << 24
+
+
+def _by_blocks(seqs: DataFrame) -> bool:
+    """Whether there is a sequence that one task should not do alone."""
+    return not seqs.where(F.length("seq") >= LONG).isEmpty()
+
+
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="kmerspark", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = top.add_subparsers(dest="command", required=True)
@@ -111,7 +120,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             graph.multi_out(edges).write.parquet(f"{a.out}/o")
             graph.multi_in(edges, a.k).write.parquet(f"{a.out}/i")
         case "walk":
-            brc.write_text(brc.walk(_seqs(spark, a.inputs), table(a.set), a.k, a.kmer_format, a.pass_special), a.out, ORDER)
+            seqs = _seqs(spark, a.inputs)
+            walk = brc.walk_blocks if _by_blocks(seqs) else brc.walk
+            brc.write_text(walk(seqs, table(a.set), a.k, a.kmer_format, a.pass_special), a.out, ORDER)
         case "restore":
             both = table(a.set) if a.set else None
             edges, records = table(a.edges), brc.read_text(spark, a.inputs[0])
@@ -127,7 +138,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             probe = spark.createDataFrame([(a.mer,)], "kmer string").select("kmer", codec.encode("kmer").alias("code"))
             sets.search(sets.with_positions(table(a.inputs[0])), probe).show(truncate=False)
         case "unitig":
-            cut = unitigs.dedup_unitigs(unitigs.cut_unitigs(_seqs(spark, a.inputs), table(a.set), a.k), a.k - 1)
+            seqs = _seqs(spark, a.inputs)
+            cut = unitigs.cut_unitigs_blocks if _by_blocks(seqs) else unitigs.cut_unitigs
+            cut = unitigs.dedup_unitigs(cut(seqs, table(a.set), a.k), a.k - 1)
             unitigs.to_text(cut.orderBy(*ORDER, "idx")).select("record").write.text(a.out)
         case "flag":
             flagged = flags.flag_branches(_seqs(spark, a.inputs), table(a.set), a.k).withColumnRenamed("flagged", "seq")

@@ -253,3 +253,20 @@ def test_inputs_keep_the_order_given(spark, tmp_path):
     cut = "".join(p.read_text() for p in sorted((tmp_path / "cut").glob("part-*")))
     kept = [r.split("\n") for r in cut.strip().split("\n\n")]
     assert [h for h, _ in kept if h.endswith("|z")] and all(int(h[1:].split("|")[0]) in (0, max(int(g[1:].split("|")[0]) for g, _ in kept if g.endswith("|a"))) for h, _ in kept if h.endswith("|a"))
+
+
+def test_long_sequences_go_by_blocks(spark, tmp_path, monkeypatch):
+    """The command line writes the same text whether sequences are cut into blocks or not."""
+    rng = random.Random(2)
+    text = "".join(f">s{i} x\n{''.join(rng.choices('ACGTacgtN', k=rng.choice([0, 5, 200])))}\n" for i in range(12))
+    (tmp_path / "a.fa").write_text(text)
+    at = lambda name: f"file://{tmp_path}/{name}"
+    run = lambda *a: cli.main(list(a), spark)
+    run("count", "-k", "5", "-o", at("counts"), at("a.fa"))
+    run("split", "-k", "5", "-o", at("branches"), at("counts"))
+    for name, long in (("whole", 1 << 24), ("blocks", 100)):
+        monkeypatch.setattr(cli, "LONG", long)
+        run("walk", "-k", "5", "-s", at("branches/o"), "-o", at(f"{name}-brc"), at("a.fa"))
+        run("unitig", "-k", "5", "-s", at("branches/o"), "-o", at(f"{name}-cut"), at("a.fa"))
+    read = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+    assert read("whole-brc") == read("blocks-brc") and read("whole-cut") == read("blocks-cut") and read("whole-brc")

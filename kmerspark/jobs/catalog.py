@@ -15,7 +15,7 @@ from kmerspark.functions import codec, table
 from kmerspark.operators import bits, brc, chains, compress, counting, flags, graph, index, lookup, minimizers, sets, stats, unitigs, wide
 from kmerspark.operators.windows import kmer_codes, kmer_strings
 from kmerspark.scratch import materialize, scratch_path
-from kmerspark.sources import fasta, mer, sam, tables
+from kmerspark.sources import countdb, fasta, mer, sam, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -131,6 +131,14 @@ def kmer_db_info(spark: SparkSession, sf: str) -> DataFrame:
     return counting.database_info(counting.count_kmers(tables.conversations(spark, sf), 11), 11, False)
 
 
+@register(sql([windows("w", "D", 12)], "SELECT kmer, count(*) AS cnt FROM w GROUP BY kmer HAVING count(*) <= 1000"))
+def kmer_db_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Through an external counter's database files, with a bound on the counts."""
+    path = scratch_path(spark, "countdb")
+    countdb.write_counts(counting.count_kmers(tables.documents(spark, sf), 12), 12, path)
+    return counting.with_kmers(countdb.read_counts(spark, path, most=1000).select("code", "cnt"), 12)
+
+
 # ---- k-mers as values ----
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kmerspark.functions import codec
 from kmerspark.operators import brc, chains, counting, flags, graph, index, sets, unitigs
-from kmerspark.sources import fasta, mer
+from kmerspark.sources import countdb, fasta, mer
 
 #: Names of files that are read as FASTQ.
 FASTQ = (".fq", ".fastq")
@@ -86,6 +86,8 @@ def _parser() -> argparse.ArgumentParser:
     command("search", "mer", "indexed", inputs="one")
     command("unitig", "k", "set", "out", inputs="+")
     command("flag", "k", "set", "out", inputs="+")
+    command("convert", "out", inputs="one")  # a count database to .smer files, in its order
+    command("counts", "out", inputs="one")  # a count database to a table
     command("import", "out", inputs="one")  # .mer and .smer files to a table
     command("export", "k", "out", inputs="one")  # a table to sorted .smer files
     return top
@@ -145,6 +147,13 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         case "flag":
             flagged = flags.flag_branches(_seqs(spark, a.inputs), table(a.set), a.k).withColumnRenamed("flagged", "seq")
             fasta.write_fasta(flagged, a.out, width=0, order=ORDER)
+        case "convert":
+            ks = {db.k for db in countdb.databases(a.inputs[0])}
+            if len(ks) != 1:
+                raise SystemExit(f"databases of k = {sorted(ks)}")
+            mer.write_mer(countdb.read_counts(spark, a.inputs[0]), ks.pop(), a.out)
+        case "counts":
+            save(countdb.read_counts(spark, a.inputs[0]).select("code", "cnt"))
         case "import":
             save(mer.read_mer(spark, a.inputs[0]).select("code"))
         case "export":

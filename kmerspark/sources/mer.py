@@ -114,7 +114,9 @@ class MerReader(DataSourceReader):
             out += [Range(f.path, k, a, min(self.size, n - a)) for a in range(0, n, self.size)]
         return out
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark asks once where there are no parts
+            return
         files, _ = fs.FileSystem.from_uri(self.path)
         with files.open_input_file(partition.file) as stream:
             stream.seek(struct.calcsize(HEADER) + 8 * partition.first)

@@ -15,7 +15,7 @@ from kmerspark.functions import codec, table
 from kmerspark.operators import bits, brc, chains, compress, counting, flags, graph, index, lookup, minimizers, sets, stats, unitigs, wide
 from kmerspark.operators.windows import kmer_codes, kmer_strings
 from kmerspark.scratch import materialize, scratch_path
-from kmerspark.sources import countdb, fasta, mer, sam, tables
+from kmerspark.sources import bgzf, countdb, fasta, mer, sam, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -449,6 +449,14 @@ def fasta_parse(spark: SparkSession, sf: str) -> DataFrame:
     return fasta.read_fasta(spark, path).select("name", "seq")
 
 
+@register(sql([], "SELECT CAST(seq_id AS VARCHAR) AS name, seq FROM D"))
+def fasta_bgzf(spark: SparkSession, sf: str) -> DataFrame:
+    """Through block gzip, which is read by ranges of bytes."""
+    path = scratch_path(spark, "bgzf")
+    bgzf.write_lines(fasta.fasta_text(tables.documents(spark, sf).withColumn("name", F.col("seq_id").cast("string"))), path)
+    return fasta.read_fasta(spark, path).select("name", "seq")
+
+
 @register(sql([], "SELECT '>' || seq_id || chr(10) || seq AS record FROM C"))
 def restore_fasta(spark: SparkSession, sf: str) -> DataFrame:
     seqs = restore_seq_kmer(spark, sf).select(F.col("seq_id").cast("string").alias("name"), "seq")

@@ -1,13 +1,16 @@
-"""FASTA and FASTQ text, split over records by Spark's own text reader; gzip by the file's name."""
+"""FASTA and FASTQ text, split over records by Spark's own text reader; gzip by the file's name, block gzip by ranges of bytes."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from kmerspark.sources import bgzf
+
 #: A record's place: ordered by these, records are as in the files, and the files as the paths were given.
 PLACE = ["number", "file", "part", "at"]
 SCHEMA = "number int, file string, part long, at long, name string, comment string, id string, seq string"
@@ -17,8 +20,15 @@ def _pieces(spark: SparkSession, paths: str | Sequence[str], numbers: Sequence[i
     """The text between separators; number: that of the path that a file was found by, so a path given twice is read twice."""
     given = [paths] if isinstance(paths, str) else list(paths)
     read = spark.read.option("lineSep", separator)
-    raw = read.text(list(dict.fromkeys(given))).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), "value")
     found = [(f, int(n)) for n, p in zip(range(len(given)) if numbers is None else numbers, given, strict=True) for f in dict.fromkeys(read.text(p).inputFiles())]
+    blocks = bgzf.block_gzip(list(dict.fromkeys(f for f, _ in found)))
+    rest = list(dict.fromkeys(f for f, _ in found if f not in blocks)) if blocks else list(dict.fromkeys(given))
+    read_as = []
+    if rest:
+        read_as.append(read.text(rest).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), "value"))
+    if blocks:
+        read_as.append(bgzf.read_pieces(spark, sorted(blocks), separator))
+    raw = reduce(DataFrame.unionByName, read_as)
     places = spark.createDataFrame(found, "found string, number int")  # a row a file, which the driver has listed
     plain = lambda c: F.regexp_replace(c, "^(\\w+):/+", "$1:/")  # noqa: E731  the two write a scheme with one or with three slashes
     return raw.join(F.broadcast(places), plain("file") == plain("found")).select("number", "file", "part", "at", "value")

@@ -41,7 +41,9 @@ def member_size(head: bytes) -> int | None:
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """Spark's name of a file as pyarrow knows it."""
-    scheme, _, rest = uri.partition(":")
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return fs.FileSystem.from_uri(uri)  # a path alone
     return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + "://" + ("/" if scheme == "file" else "") + rest.lstrip("/"))
 
 

@@ -508,6 +508,16 @@ def fastq_parse(spark: SparkSession, sf: str) -> DataFrame:
     return fasta.read_fastq(spark, path).select("name", "comment", "seq")
 
 
+@register(sql([], "SELECT CAST(seq_id AS VARCHAR) AS name, seq FROM D"))
+def fastq_wrapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Through FASTQ files of 60 characters a line, whose quality lines begin with "@" and "+" as they come."""
+    path = scratch_path(spark, "fastq-wrapped")
+    wrap = lambda c: F.regexp_replace(c, "(.{60})(?=.)", "$1\n")
+    quality = F.regexp_replace(F.translate("seq", "ACGTN", "@+I>#"), r"[^@+I>#]", "!")
+    tables.documents(spark, sf).select(F.concat_ws("\n", F.concat(F.lit("@"), "seq_id"), wrap("seq"), F.lit("+"), wrap(quality))).write.text(path)
+    return fasta.read_fastq(spark, path, wrapped=True).select("name", "seq")
+
+
 # ---- unitigs ----
 
 _STRETCH = pieces("sg", "D", 1)

@@ -9,20 +9,22 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 #: Compressed bytes of one part; bytes read at a time; the longest member.
 PART, CHUNK, LONGEST = 1 << 24, 1 << 20, 1 << 16
+MEMBER = 0xFF00  # bytes of text in a member that is written here
 MAGIC = b"\x1f\x8b\x08\x04"
-ENDINGS = (".gz", ".bgz", ".bgzf")
+ENDINGS = (".gz", ".bgz", ".bgzf", ".bam")
 ROWS = 1024
 
 
@@ -211,7 +213,7 @@ def read_pieces(spark: SparkSession, uris: list[str], separator: str, size: int
     return spark.read.format("bgzf").options(files="\n".join(uris), separator=separator, range=size or PART).load()
 
 
-def compress(data: bytes, member: int = 0xFF00) -> bytes:
+def compress(data: bytes, member: int = MEMBER) -> bytes:
     """Block gzip of data, with the empty member that ends a file."""
     out = []
     for a in [*range(0, len(data), member), len(data)]:
@@ -225,8 +227,8 @@ def compress(data: bytes, member: int = 0xFF00) -> bytes:
     return b"".join(out)
 
 
-def write_lines(lines: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
-    """lines(value) as block gzip files of a folder, one for each partition, in the given order over the files by name.
+def write_blocks(rows: DataFrame, path: str, encode: Callable[[pa.RecordBatch], bytes], head: bytes = b"", ending: str = ".gz") -> None:
+    """A block gzip file of a folder for each partition: head, and what encode makes of its rows.
 
     Names are of the partition alone, so that a task run again writes the same file.
     """
@@ -234,19 +236,23 @@ def write_lines(lines: DataFrame, path: str, order: tuple[str, ...] = ()) -> Non
     files.create_dir(root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        name = f"{root}/part-{TaskContext.get().partitionId():06d}.gz"
-        own = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
-        with filesystem(path)[0].open_output_stream(own, compression=None) as out:
-            held = b""
+        context, where = TaskContext.get(), filesystem(path)[0]
+        name = f"{root}/part-{context.partitionId():06d}{ending}"
+        own = f"{root}/_{context.partitionId()}-{context.taskAttemptId()}"
+        with where.open_output_stream(own, compression=None) as out:
+            held = head
             for b in batches:
-                held += b"".join(v.encode() + b"\n" for v in b.column(0).to_pylist() if v is not None)
-                whole = len(held) - len(held) % 0xFF00
-                out.write(compress(held[:whole])[:-28] if whole else b"")
+                held += encode(b)
+                whole = len(held) - len(held) % MEMBER
+                out.write(compress(held[:whole])[: -len(compress(b""))] if whole else b"")
                 held = held[whole:]
             out.write(compress(held))
-        filesystem(path)[0].move(own, name)
+        where.move(own, name)
         yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
 
-    (lines.orderBy(*order) if order else lines).select("value").mapInArrow(run, "name string").write.format("noop").mode("append").save()
+    rows.mapInArrow(run, "name string").write.format("noop").mode("append").save()
+
+
+def write_lines(lines: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """lines(value) as block gzip files, in the given order over the files by name; null is no line."""
+    write_blocks((lines.orderBy(*order) if order else lines).select("value"), path, lambda b: b"".join(v.encode() + b"\n" for v in b.column(0).to_pylist() if v is not None))

@@ -20,8 +20,8 @@ def primary(alignments: DataFrame) -> DataFrame:
 
 
 def totals(alignments: DataFrame) -> DataFrame:
-    """One row: sequences, bases, and sequences on the reverse strand, among the primary."""
-    return primary(alignments).agg(F.count(F.lit(1)).alias("seqs"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).cast("long").alias("bases"), F.count_if(F.col("flag").bitwiseAND(REVERSE) != 0).alias("reverse"))
+    """One row: sequences, bases ("*" has none), and sequences on the reverse strand, among the primary."""
+    return primary(alignments).agg(F.count(F.lit(1)).alias("seqs"), F.coalesce(F.sum(F.length(F.nullif("seq", F.lit("*")))), F.lit(0)).cast("long").alias("bases"), F.count_if(F.col("flag").bitwiseAND(REVERSE) != 0).alias("reverse"))
 
 
 def sequences(alignments: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from kmerspark.operators import bits, brc, chains, compress, counting, flags, gr
 from kmerspark.operators.windows import kmer_codes, kmer_strings
 from kmerspark.scratch import materialize, scratch_path
 from kmerspark.sources import bam, bgzf, countdb, fasta, mer, sam, tables
+from kmerspark.streaming import table as count_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -139,6 +140,17 @@ def kmer_db_scan(spark: SparkSession, sf: str) -> DataFrame:
     return counting.with_kmers(countdb.read_counts(spark, path, most=1000).select("code", "cnt"), 12)
 
 
+@register(sql([windows("w", "C", 11)], "SELECT kmer, count(*) AS cnt FROM w GROUP BY kmer"))
+def stream_count_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of six files, a batch each, into a table that is folded after every fourth batch."""
+    source, at = scratch_path(spark, "arriving"), scratch_path(spark, "count-table")
+    tables.conversations(spark, sf).select("seq_id", "seq").repartition(6).write.parquet(source)
+    stream = spark.readStream.schema("seq_id long, seq string").option("maxFilesPerTrigger", 1).parquet(source)
+    query = stream.writeStream.foreachBatch(count_table.into_table(11, at, every=4)).option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return counting.with_kmers(count_table.read_table(spark, at), 11)
+
+
 # ---- k-mers as values ----
 
 

@@ -29,7 +29,9 @@ at.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -99,6 +101,16 @@ def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at = end + 1
 
 
+def unzipped(data: bytes) -> bytes:
+    """An archive without its gzip, which may have a member for each record or one for all; one that is not gzipped as it is."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    try:
+        return gzip.GzipFile(fileobj=io.BytesIO(data)).read()  # reads on as members come, so that many of them cost no more than one
+    except (OSError, EOFError, zlib.error) as e:
+        raise ValueError(f"a broken gzip member: {e}") from e
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows, few at a time."""
     for b in batches:
@@ -158,8 +170,9 @@ def from_archives(archives: DataFrame) -> DataFrame:
     """The records of the ARC archives in archives(name, archive), whoever wrote them, and page_id where an X-Page-Id header gives one.
 
     Names tell archives apart: for files, spark.read.format("binaryFile") has them in path.
+    Archives may be gzipped, by record or whole; offsets are those without gzip.
     """
-    return archives.select("name", "archive").mapInArrow(lambda it: _records((n.as_py(), a.as_py()) for b in it for n, a in zip(*b.columns, strict=True)), RECORD)
+    return archives.select("name", "archive").mapInArrow(lambda it: _records((n.as_py(), unzipped(a.as_py())) for b in it for n, a in zip(*b.columns, strict=True)), RECORD)
 
 
 def through_archives(pages: DataFrame, date: str = DATE) -> DataFrame:

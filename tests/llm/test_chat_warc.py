@@ -95,3 +95,20 @@ def test_record_ids_are_unique_and_files_bounded(spark, tmp_path, monkeypatch):
     out = warc.read_warc(spark, path).collect()
     assert len(out) == 60 and len({r.record_id for r in out}) == 60
     assert len(list((tmp_path / "out" / "large").glob("*.gz"))) >= 15 and len(list((tmp_path / "out" / "small").glob("*.gz"))) >= 10
+
+
+def test_gzipped_archives(spark):
+    """Members for each record, for several and for all give the records of the plain archive; broken ones raise."""
+    import gzip
+
+    opening = warc.arc_opening(1, "x.arc", warc.DATE)
+    texts = [b"HTTP/1.1 200 OK\r\nX-Page-Id: 7\r\n\r\n\x1f\x8bbody", b"", bytes(range(256)) * 40]
+    parts = [opening, *(warc.arc_record(1, f"http://a/{i}", warc.DATE, t) for i, t in enumerate(texts))]
+    by_record, whole = b"".join(map(gzip.compress, parts)), gzip.compress(b"".join(parts))
+    some = gzip.compress(b"".join(parts[:2])) + gzip.compress(parts[2] + parts[3][:50]) + gzip.compress(parts[3][50:]) + bytes(9)
+    read = lambda data: sorted(tuple(r)[1:] for r in warc.from_archives(spark.createDataFrame([("x", bytearray(data))], "name string, archive binary")).collect())
+    plain = read(b"".join(parts))
+    assert len(plain) == 3 and all(read(d) == plain for d in (by_record, whole, some))
+    for broken in (by_record[:-3], whole + b"junk", by_record[:20] + b"\x00" * 9 + by_record[29:]):
+        with pytest.raises(ValueError, match="gzip member"):
+            warc.unzipped(broken)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,10 +26,11 @@ FASTQ = (".fq", ".fastq")
 ORDER = fasta.PLACE
 
 
-def _seqs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def _seqs(spark: SparkSession, paths: Sequence[str], wrapped: bool = False) -> DataFrame:
     """(number, file, part, at, seq_id, name, seq): the id of a record is its place among all inputs in their order, and its name the record's."""
     kinds = [[(i, p) for i, p in enumerate(paths) if p.removesuffix(".gz").endswith(FASTQ) == own] for own in (False, True)]
-    read = [f(spark, [x for _, x in p], [i for i, _ in p]) for f, p in zip((fasta.read_fasta, fasta.read_fastq), kinds, strict=True) if p]
+    readers = fasta.read_fasta, partial(fasta.read_fastq, wrapped=wrapped)
+    read = [f(spark, [x for _, x in p], [i for i, _ in p]) for f, p in zip(readers, kinds, strict=True) if p]
     rows = reduce(DataFrame.unionByName, read)
     return rows.select(*ORDER, F.struct(*ORDER).alias("seq_id"), F.col("id").alias("name"), "seq")
 
@@ -69,6 +70,8 @@ def _parser() -> argparse.ArgumentParser:
         }
         for o in options:
             known[o]()
+        if name in ("count", "walk", "unitig", "flag"):
+            p.add_argument("--wrapped", action="store_true", help="FASTQ records may take more than four lines")
         if inputs:
             p.add_argument("inputs", nargs=1 if inputs == "one" else inputs)
         return p
@@ -100,7 +103,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     save = lambda df: df.write.mode("errorifexists").parquet(a.out)
     match a.command:
         case "count":
-            save(counting.count_kmers(_seqs(spark, a.inputs), a.k, canonical=a.canonical, spread=True))
+            save(counting.count_kmers(_seqs(spark, a.inputs, a.wrapped), a.k, canonical=a.canonical, spread=True))
         case "merge":
             save(sets.sort_kmers(sets.merge([table(p) for p in a.inputs], a.distinct)))
         case "sort":
@@ -122,7 +125,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             graph.multi_out(edges).write.parquet(f"{a.out}/o")
             graph.multi_in(edges, a.k).write.parquet(f"{a.out}/i")
         case "walk":
-            seqs = _seqs(spark, a.inputs)
+            seqs = _seqs(spark, a.inputs, a.wrapped)
             walk = brc.walk_blocks if _by_blocks(seqs) else brc.walk
             brc.write_text(walk(seqs, table(a.set), a.k, a.kmer_format, a.pass_special), a.out, ORDER)
         case "restore":
@@ -140,12 +143,12 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             probe = spark.createDataFrame([(a.mer,)], "kmer string").select("kmer", codec.encode("kmer").alias("code"))
             sets.search(sets.with_positions(table(a.inputs[0])), probe).show(truncate=False)
         case "unitig":
-            seqs = _seqs(spark, a.inputs)
+            seqs = _seqs(spark, a.inputs, a.wrapped)
             cut = unitigs.cut_unitigs_blocks if _by_blocks(seqs) else unitigs.cut_unitigs
             cut = unitigs.dedup_unitigs(cut(seqs, table(a.set), a.k), a.k - 1)
             unitigs.to_text(cut.orderBy(*ORDER, "idx")).select("record").write.text(a.out)
         case "flag":
-            flagged = flags.flag_branches(_seqs(spark, a.inputs), table(a.set), a.k).withColumnRenamed("flagged", "seq")
+            flagged = flags.flag_branches(_seqs(spark, a.inputs, a.wrapped), table(a.set), a.k).withColumnRenamed("flagged", "seq")
             fasta.write_fasta(flagged, a.out, width=0, order=ORDER)
         case "convert":
             ks = {db.k for db in countdb.databases(a.inputs[0])}

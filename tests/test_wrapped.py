@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from kmerspark.jobs import cli
 from kmerspark.sources import bgzf, entries, fasta
 
 
@@ -64,3 +65,14 @@ def test_plain_gzip(spark, tmp_path):
     (tmp_path / "x.fq.gz").write_bytes(gzip.compress(b"@a\nA\n+\nI\n"))
     with pytest.raises(ValueError, match="not of blocks"):
         fasta.read_fastq(spark, f"file://{tmp_path}/x.fq.gz", wrapped=True)
+
+
+def test_command_line(spark, tmp_path):
+    text, want = some_records(random.Random(5), 30)
+    (tmp_path / "x.fq").write_text(text)
+    (tmp_path / "x.fa").write_text("".join(f">{n}\n{s}\n" for n, s in want))
+    counts = []
+    for name, flags in (("x.fq", ["--wrapped"]), ("x.fa", [])):
+        cli.main(["count", "-k", "5", *flags, "-o", f"file://{tmp_path}/{name}-counts", f"file://{tmp_path}/{name}"], spark)
+        counts.append(sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/{name}-counts").collect())))
+    assert counts[0] == counts[1] and counts[0]

@@ -34,8 +34,8 @@ def numbered_within(df: DataFrame, groups: Sequence[str], order: Sequence[str],
     return rows.join(pieces, keys).withColumn(name, (F.col("_row") + F.col("_before")).cast("long")).select(*df.columns, name, *new)
 
 
-def ranked(df: DataFrame, order: Sequence[str | Column], name: str = "rank") -> DataFrame:
-    """Gapless numbers from 0 over the whole table in the given order.
+def ranked(df: DataFrame, order: Sequence[str | Column], name: str = "rank", keep: Sequence[str] | None = None, unique: bool = False) -> DataFrame:
+    """Gapless numbers from 0 over the whole table in the given order; keep: the columns that are written, by default all; unique: no rows tie.
 
     The rows are range-partitioned and sorted once, written, and numbered by
     (rows in earlier ranges) + (place in the range): one shuffle, and a window
@@ -43,9 +43,10 @@ def ranked(df: DataFrame, order: Sequence[str | Column], name: str = "rank") ->
     in several ranges and get numbers in no set order; add columns to ``order`` to
     fix it.  The shuffle runs when this is called.
     """
-    ranged = df.repartitionByRange(*order, F.rand(1)).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    kept = materialize(ranged, "ranked").withColumn("_range", F.shiftright("_id", 33))
+    keep = df.columns if keep is None else keep
+    ranged = df.repartitionByRange(*order, *([] if unique else [F.rand(1)])).sortWithinPartitions(*order).select(*keep, F.monotonically_increasing_id().alias("_id"))
+    kept = materialize(ranged, "ranked", "zstd").withColumn("_range", F.shiftright("_id", 33))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     starts = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     place = F.col("_id").bitwiseAND((1 << 33) - 1)
-    return kept.join(F.broadcast(starts), "_range").withColumn(name, (place + F.col("_before")).cast("long")).select(*df.columns, name)
+    return kept.join(F.broadcast(starts), "_range").withColumn(name, (place + F.col("_before")).cast("long")).select(*keep, name)

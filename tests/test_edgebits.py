@@ -48,3 +48,22 @@ def test_a_large_set_of_short_edges_shuffles_no_windows(spark, monkeypatch):
     for given in ({"branches": o, "max_set": 2}, {"branches": bits}):
         assert [key(f(df, kp1=6, **given)) for f in (brc.walk, unitigs.cut_unitigs, flags.flag_branches)] == want
     assert by_join == want[1]
+
+
+@pytest.mark.parametrize("kmer_format", [False, True])
+def test_restore_from_bits(spark, kmer_format, monkeypatch):
+    """A graph of short edges is no longer bounded by a count of k-mers, and long batches are cut."""
+    df = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(texts(random.Random(3)))], "seq_id long, seq string")
+    edges = kmer_codes(df, 7).select("code")
+    both = graph.branches(df, 7, into=True)
+    want = {r.seq_id: r.seq for r in brc.restore(brc.walk(df, both, 7, kmer_format), edges, 7, kmer_format, branch_set=both, max_edges=300).collect()}
+    assert want == {i: "".join(c.upper() if c.isascii() else c for c in s or "") for i, (_, s) in enumerate(texts(random.Random(3)))}
+    bits = edgebits.of_sequences(df, 7)
+    several = edgebits.several(bits, 7, into=True)
+    for together in (1, 50, 1 << 20):
+        monkeypatch.setattr(brc, "TOGETHER", together)
+        back = brc.restore(brc.walk(df, several, 7, kmer_format), bits, 7, kmer_format, branch_set=several, max_edges=1)
+        assert {r.seq_id: r.seq for r in back.collect()} == want
+    rows = spark.createDataFrame([(0, 0, "ACGT" * 4)], "seq_id long, row long, seq string")
+    with pytest.raises(Exception, match="no successor"):
+        brc.restore(brc.walk(rows, edgebits.of_sequences(rows, 7, out=True), 7), edgebits.of_sequences(rows.where("false"), 7), 7).collect()

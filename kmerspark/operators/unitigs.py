@@ -6,15 +6,18 @@ nulls first, then of the earliest piece is kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from kmerspark.operators.blockwise import EDGES, PLACED, cut_blocks, placed, put_together, with_carried
+from kmerspark.operators.blockwise import in_blocks
 from kmerspark.operators.flags import each_sequence
 from kmerspark.operators.flat import Flat, pieces, spans, strings
 from kmerspark.operators.windows import BLOCK
+from kmerspark.rows import fresh
 
 
 def cut_unitigs(seqs: DataFrame, branches: DataFrame, kp1: int, **kw) -> DataFrame:
@@ -37,16 +40,17 @@ def cut_unitigs(seqs: DataFrame, branches: DataFrame, kp1: int, **kw) -> DataFra
 def cut_unitigs_blocks(seqs: DataFrame, branches: DataFrame, kp1: int, size: int = BLOCK, **kw) -> DataFrame:
     """cut_unitigs() of sequences of any length, by blocks of ``size`` characters that all tasks share."""
     carried = [c for c in seqs.columns if c != "seq"]
-    kept, row, blocks = cut_blocks(seqs, kp1, size)
 
-    def make(flat: Flat) -> tuple[np.ndarray, list[pa.Array]]:
+    def parts(flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable[[np.ndarray], list[pa.Array]]]:
         p = pieces(flat, kp1)
-        return p.row, [*placed(flat, p.row, p.start, p.goes_on), strings(flat.chars[spans(p.start, p.end - p.start)], p.end - p.start)]
-
-    parts = each_sequence(blocks, branches, kp1, make, StructType(PLACED.fields[:]).add("unitig", "string"), block=EDGES, **kw)
-    whole, totals = put_together(parts, row, size, F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "unitig"))), lambda x: x["unitig"]), "").alias("unitig"))
-    whole = whole.join(totals, row).select(row, F.col("id").alias("idx"), "start", ((F.col("id") == 0) | (F.col("id") == F.col("total") - 1)).alias("outer"), "unitig")
-    return with_carried(whole, kept, row, carried).select(*[F.col("_carried")[c].alias(c) for c in carried], "idx", "start", "outer", "unitig")
+        return p.row, p.start, p.end, p.goes_on, lambda pick: [strings(flat.chars[spans(p.start[pick], p.end[pick] - p.start[pick])], p.end[pick] - p.start[pick])]
+
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "unitig"))), lambda x: x["unitig"]), "").alias("unitig")
+    own = fresh("own_row", carried)  # a row of theirs need not tell rows apart
+    rows = seqs.withColumnRenamed("row", own) if "row" in carried else seqs
+    whole = in_blocks(rows, branches, kp1, size, parts, StructType().add("unitig", "string"), text, **kw)
+    outer = (F.col("id") == 0) | (F.col("id") == F.col("total") - 1)
+    return whole.select(*[F.col("carried")[own if c == "row" else c].alias(c) for c in carried], F.col("id").alias("idx"), "start", outer.alias("outer"), "unitig")
 
 
 def dedup_unitigs(unitigs: DataFrame, k: int) -> DataFrame:

@@ -113,3 +113,22 @@ def test_branches_in_one_pass(spark, kp1, monkeypatch):
     assert codes(graph.branches(df, kp1)) == o and codes(graph.branches(df, kp1, out=False, into=True)) == i
     assert codes(graph.branches(df, kp1, into=True)) == sorted(o + i) and o and i
     assert graph.branches(df.where("false"), kp1, into=True).count() == 0
+
+
+def test_only_parts_at_the_ends_of_blocks_are_written(spark, monkeypatch):
+    """Records inside a block are neither written nor shuffled; they were both, with all that came along."""
+    from kmerspark.operators import blockwise
+
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, "".join(rng.choices("ACGTN", k=3000))) for i in range(4)], "seq_id long, seq string")
+    branches, written = graph.branch_set(df, 6, into=True), {}
+    plain = blockwise.materialize
+
+    def materialize(df, name, *a):
+        out = plain(df, name, *a)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(blockwise, "materialize", materialize)
+    n = unitigs.cut_unitigs_blocks(df, branches, 6, size=500).count()
+    assert written.pop("blocks") == 24 and sum(written.values()) <= 3 * 24 < n

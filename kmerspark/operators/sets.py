@@ -57,16 +57,19 @@ def _with_previous(table: DataFrame) -> DataFrame:
     """table(pos, code) with the code at the position before, without a window over the whole table.
 
     Positions are cut into blocks; a block's first row meets the last of the
-    block before, of which there is one each.
+    block before, of which there is one each.  Rows in order compress to next to
+    nothing, so tasks are made by their number, not by the size of what is shuffled.
     """
-    blocked = table.withColumn("_block", F.floor(F.col("pos") / BLOCK))
+    tasks = max(1, -(-table.count() // (BLOCK * TOGETHER)))
+    blocked = table.withColumn("_block", F.floor(F.col("pos") / BLOCK)).repartition(tasks, "_block")
     inside = blocked.withColumn("_before", F.lag("code").over(W.partitionBy("_block").orderBy("pos")))
     ends = blocked.groupBy((F.col("_block") + 1).alias("_next")).agg(F.max_by("code", "pos").alias("_last"))
     joined = inside.join(ends, inside["_block"] == ends["_next"], "left")
     return joined.select("pos", "code", F.coalesce("_before", "_last").alias("before"))
 
 
-BLOCK = 1 << 16
+#: Rows of a block, and blocks of a task on average.
+BLOCK, TOGETHER = 1 << 16, 32
 
 
 def check_order(table: DataFrame, strict: bool = False) -> DataFrame:

@@ -20,6 +20,8 @@ BASES = "=ACMGRSVTWYHKDBN"
 #: A record's length, and its fields up to the name.
 LENGTH, FIXED = "<i", "<iiBBHHHiiii"
 HEAD = 4 + struct.calcsize(FIXED)
+#: Bytes of a file in a range, some four times as many of text; places that are tried at once.
+RANGE, PLACES = 1 << 21, 1 << 18
 
 _CODES = np.frombuffer(BASES.encode(), np.uint8)
 
@@ -52,12 +54,19 @@ def _candidates(w: Window) -> Sequence[int]:
     n = min(own, len(w.text) - HEAD)
     if n <= 0:
         return []
-    data = bytes(w.text)
+    found: list[int] = []
+    for a in range(0, n, PLACES):  # numbers of all places of a range would take some hundred bytes a place
+        found += _fitting(bytes(w.text[a : min(a + PLACES, n) + HEAD + 255]), min(PLACES, n - a), a)
+    return found
+
+
+def _fitting(data: bytes, n: int, begin: int) -> list[int]:
+    """Of the first n places of data, which begins at a place of the range, those that could be a record's."""
     number = lambda o, kind: np.ndarray((n,), kind, data, o, (1,))  # noqa: E731  at every byte
     name, cigar, seq = number(12, "u1").astype(np.int64), number(16, "<u2").astype(np.int64), number(20, "<i4").astype(np.int64)
     fits = (number(4, "<i4") >= -1) & (number(8, "<i4") >= -1) & (number(24, "<i4") >= -1) & (number(28, "<i4") >= -1) & (name > 0) & (seq >= 0)
     at = np.flatnonzero(fits & (number(0, "<i4") >= HEAD - 4 + name + 4 * cigar + (seq + 1) // 2 + seq))
-    return [i for i, k in zip(at.tolist(), name[at].tolist(), strict=True) if data.find(b"\x00", i + HEAD, i + HEAD + k) == i + HEAD + k - 1]
+    return [begin + i for i, k in zip(at.tolist(), name[at].tolist(), strict=True) if data.find(b"\x00", i + HEAD, i + HEAD + k) == i + HEAD + k - 1]
 
 
 def _parse(w: Window, i: int) -> tuple[int, tuple] | None:
@@ -100,7 +109,7 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
     known only from those before it (sources.entries).
     """
     uris = sorted(spark.read.format("binaryFile").option("pathGlobFilter", "*.bam").load(path).inputFiles())
-    records = entries.read_records(spark, uris, _BAM)
+    records = entries.read_records(spark, uris, _BAM, packed=min(RANGE, entries.PACKED))
     refs = materialize(references(spark, uris), "references")
     few = refs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     named = records.join(F.broadcast(refs) if few else refs, ["file", "ref"], "left")

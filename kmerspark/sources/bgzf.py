@@ -26,6 +26,7 @@ MEMBER = 0xFF00  # bytes of text in a member that is written here
 MAGIC = b"\x1f\x8b\x08\x04"
 ENDINGS = (".gz", ".bgz", ".bgzf", ".bam")
 ROWS = 1024
+WRITTEN = 256  # rows that are encoded at once
 
 
 def member_size(head: bytes) -> int | None:
@@ -242,10 +243,11 @@ def write_blocks(rows: DataFrame, path: str, encode: Callable[[pa.RecordBatch],
         with where.open_output_stream(own, compression=None) as out:
             held = head
             for b in batches:
-                held += encode(b)
-                whole = len(held) - len(held) % MEMBER
-                out.write(compress(held[:whole])[: -len(compress(b""))] if whole else b"")
-                held = held[whole:]
+                for first in range(0, b.num_rows, WRITTEN):
+                    held += encode(b.slice(first, WRITTEN))
+                    whole = len(held) - len(held) % MEMBER
+                    out.write(compress(held[:whole])[: -len(compress(b""))] if whole else b"")
+                    held = held[whole:]
             out.write(compress(held))
         where.move(own, name)
         yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])

@@ -201,15 +201,16 @@ def read_records(spark: SparkSession, uris: list[str], kind: Format, plain: int
                 with files.open_input_file(path) as stream:
                     w = Window(stream, r["size"], r["part"], r["end"], r["packed"])
                     i, n, rows = w.index(r["entry"]), 0, []
+                    begin = i
                     while i < w.own:
                         found = kind.parse(w, i)
                         if found is None:
                             raise ValueError(f"{r['file']}: no record at {w.place(i)}: {bytes(w.text[i : i + 80])!r}")
                         rows.append((r["file"], r["part"], n, *found[1]))
                         i, n = found[0], n + 1
-                        if len(rows) == bgzf.ROWS:
+                        if len(rows) == bgzf.ROWS or i - begin >= bgzf.CHUNK:
                             yield batch(rows)
-                            rows = []
+                            rows, begin = [], i
                     if rows:
                         yield batch(rows)
 

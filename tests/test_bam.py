@@ -67,3 +67,21 @@ def test_written(spark, tmp_path):
     got = bam.read_bam(spark, f"{tmp_path}/out")
     assert rows(got) == sorted([("a", 0, "r1", 7, "ACGTN"), ("b", 16, "r2", 0, "ACGNN"), ("c", 256, "*", 3, "A"), ("d", 0, "*", 0, "*"), ("*", 0, "r1", 2, "*")])
     assert [tuple(r) for r in sam.totals(got).collect()] == [(4, 10, 1)]
+
+
+def test_looking_for_records_takes_little_memory(tmp_path):
+    """Numbers were made for all places of a range at once, some hundred bytes for one of text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    body = b"".join(record(f"q{i}", 0, -1, 5, "ACGT" * 2000) for i in range(700))
+    (tmp_path / "plain").write_bytes(body)
+    with pa.OSFile(str(tmp_path / "plain")) as f:
+        w = entries.Window(f, len(body), 0, len(body), False)
+    tracemalloc.start()
+    found = bam._candidates(w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = len(record("q0", 0, -1, 5, "ACGT" * 2000))
+    assert {0, size} <= set(found) and len(found) >= 700 and peak < 3 * len(body)

@@ -67,3 +67,12 @@ def test_restore_from_bits(spark, kmer_format, monkeypatch):
     rows = spark.createDataFrame([(0, 0, "ACGT" * 4)], "seq_id long, row long, seq string")
     with pytest.raises(Exception, match="no successor"):
         brc.restore(brc.walk(rows, edgebits.of_sequences(rows, 7, out=True), 7), edgebits.of_sequences(rows.where("false"), 7), 7).collect()
+
+
+def test_texts_are_looked_at_in_small_slices():
+    """What is made of a byte of text may take a thousand, so two million at once were two gigabytes."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["ACGT" * 50_000] * 10)], ["seq"])
+    slices = list(flags._slices(batch, 0))
+    assert sum(s.num_rows for s in slices) == 10 and max(s.num_rows for s in slices) == 2

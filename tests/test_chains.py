@@ -1,5 +1,6 @@
 """Decoding from the graph alone, against the text and against plain versions."""
 
+import glob
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from kmerspark.functions import codec
 from kmerspark.operators import brc, chains, graph, sets
 from kmerspark.operators.windows import kmer_codes
+from kmerspark import scratch
 
 
 def letters(rng, n, period=None):
@@ -70,3 +72,46 @@ def test_other_graphs_raise(spark):
     fewer = some.where("code % 3 > 0")
     with pytest.raises(Exception, match="length is reached|no successor"):
         chains.restore_chains(records, fewer, 5).collect()
+
+def test_runs_are_joined_before_pointers(spark):
+    """Rows that pointers are doubled over, all rounds together, are fewer than the edges, of which each had one a round."""
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, letters(rng, 900) + "ACGT"[i] + letters(rng, 300)) for i in range(4)], "seq_id long, seq string")
+    edges = kmer_codes(df, 22).select("code")
+    base = glob.glob(scratch.shared_dir(spark).removeprefix("file://"))[0]
+    old = set(glob.glob(f"{base}/pointers-*"))
+    back = chains.restore_chains(brc.walk(df, graph.multi_out(edges, distinct=True), 22), edges, 22)
+    assert sorted((r.seq_id, r.seq) for r in back.collect()) == sorted(map(tuple, df.collect()))
+    new = [p for p in glob.glob(f"{base}/pointers-*") if p not in old]
+    assert len(new) > 2 and sum(spark.read.parquet(p).count() for p in new) < edges.distinct().count()
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1 << 20])
+def test_runs_of_any_rows_stop_before_heads(spark, rows):
+    """Runs hold each edge once, and none goes on over a head, wherever the rows are cut."""
+    df = spark.createDataFrame([(1, letters(random.Random(4), 700))], "seq_id long, seq string")
+    edges = chains._edges(chains._masks(kmer_codes(df, 10).select("code"), None), 9)
+    heads = edges.groupBy("end").agg(F.count("*").alias("n"), F.bool_or("item").alias("i")).where("n > 1 OR i").select(F.col("end").alias("node"))
+    heads = heads.unionByName(edges.where("code % 17 = 0").select("node")).distinct()
+    stops = {r.node for r in heads.collect()}
+    found = []
+    for r in chains.runs(edges.where("NOT item"), heads, 9, 16, rows).collect():
+        node = r.node
+        assert 0 < len(r.base) <= 16
+        for i, b in enumerate(r.base):
+            assert not i or node not in stops
+            found.append(node << 2 | "ACGT".index(b))
+            node = found[-1] & (1 << 18) - 1
+        assert node == r.end
+    assert sorted(found) == sorted(r.code for r in edges.where("NOT item").collect())
+
+
+def test_broadcast_and_shuffled_fronts_agree(spark, monkeypatch):
+    rows = texts(random.Random(5))
+    df = spark.createDataFrame([(i, s, "x") for i, s in rows], "seq_id long, seq string, node string")
+    edges = kmer_codes(df, 6).select("code")
+    records, got = brc.walk(df, graph.multi_out(edges, distinct=True), 6), []
+    for few in (0, 500_000):
+        monkeypatch.setattr(chains, "FEW", few)
+        got.append(sorted((r.seq_id, r.seq) for r in chains.restore_chains(records, edges, 6).collect()))
+    assert got[0] == got[1] == sorted((i, (s or "").upper()) for i, s in rows)

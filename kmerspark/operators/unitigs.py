@@ -20,19 +20,23 @@ from kmerspark.operators.windows import BLOCK
 from kmerspark.rows import fresh
 
 
-def cut_unitigs(seqs: DataFrame, branches: DataFrame, kp1: int, **kw) -> DataFrame:
+def cut_unitigs(seqs: DataFrame, branches: DataFrame, kp1: int, inner_over: int = 0, **kw) -> DataFrame:
     """seqs(seq, ...) with, in place of seq, (idx, start, outer, unitig), cut where an edge of branches(code) ends.
 
     Pieces of a clean stretch overlap by k - 1 bases; each maximal stretch of
     special characters is a piece.  Case is kept; an empty sequence is one empty
-    piece.  outer: it is the first or the last of its sequence.
+    piece.  outer: it is the first or the last of its sequence.  Other pieces of at
+    most ``inner_over`` characters are left out, and ids stay.
     """
 
     def make(flat: Flat) -> tuple[np.ndarray, list[pa.Array]]:
         p = pieces(flat, kp1)
         idx = np.arange(len(p.row)) - np.searchsorted(p.row, p.row)
         last = np.append(p.row[1:] != p.row[:-1], True) if len(p.row) else np.zeros(0, bool)
-        return p.row, [pa.array(idx), pa.array(p.start - flat.begin[p.row]), pa.array((idx == 0) | last), strings(flat.chars[spans(p.start, p.end - p.start)], p.end - p.start)]
+        outer = (idx == 0) | last
+        kept = outer | (p.end - p.start > inner_over)
+        row, start, size = p.row[kept], p.start[kept], (p.end - p.start)[kept]
+        return row, [pa.array(idx[kept]), pa.array(start - flat.begin[row]), pa.array(outer[kept]), strings(flat.chars[spans(start, size)], size)]
 
     return each_sequence(seqs, branches, kp1, make, StructType().add("idx", "long").add("start", "long").add("outer", "boolean").add("unitig", "string"), **kw)
 
@@ -59,12 +63,12 @@ def dedup_unitigs(unitigs: DataFrame, k: int) -> DataFrame:
     Earlier is by (seq_id, idx) over the whole input.  The earliest is kept by an
     aggregate with partial minima, so a k-mer that most pieces start with costs a row a task.
     """
-    inner = unitigs.where(~F.col("outer") & (F.length("unitig") > k))
     first = F.upper(F.substring("unitig", 1, k))
     key = F.when(first.rlike("[^ACGT]"), F.concat(F.lit("special:"), F.substring(first, k, 1) == "-")).otherwise(first)
-    order = ["seq_id", "idx", *[c for c in unitigs.columns if c not in ("seq_id", "idx")]]
-    kept = inner.groupBy(key.alias("key")).agg(F.min(F.struct(*order)).alias("u")).select("u.*")
-    return unitigs.where("outer").unionByName(kept)
+    order, own = ["seq_id", "idx", *[c for c in unitigs.columns if c not in ("seq_id", "idx")]], fresh("_own", unitigs.columns)
+    # outer pieces are groups of their own, so that pieces are made once
+    asked = unitigs.where(F.col("outer") | (F.length("unitig") > k)).withColumn(own, F.when(F.col("outer"), F.monotonically_increasing_id()))
+    return asked.groupBy(F.when(~F.col("outer"), key).alias("key"), own).agg(F.min(F.struct(*order)).alias("u")).select(*[F.col("u")[c].alias(c) for c in unitigs.columns])
 
 
 def to_text(unitigs: DataFrame) -> DataFrame:

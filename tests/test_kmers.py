@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from kmerspark.functions import codec
-from kmerspark.operators import brc, compress, counting, flags, graph, lookup, minimizers, sets, stats, unitigs
+from kmerspark.operators import brc, compress, counting, flags, graph, lookup, minimizers, sets, stats, unitigs, windows
 from kmerspark.operators.windows import block_codes, kmer_codes, kmer_strings
 from pyspark.sql import functions as F
 
@@ -346,3 +346,22 @@ def test_groups_are_decoded_on_odd_rows(spark):
         brc.restore_by_group(brc.walk(apart, o, 4), brc.group_edges(apart, o, 4), 4, max_edges=2).collect()
     nothing = brc.with_groups(df.where("false"))
     assert brc.restore_by_group(brc.walk(nothing, o, 4), brc.group_edges(nothing, o, 4), 4).count() == 0
+
+
+def test_pieces_are_made_once(spark):
+    """Outer and inner pieces come from one pass over the sequences, and so do blocks from one evaluation of a text."""
+    seqs = spark.createDataFrame([(1, "ACGTTACGATTGACCATGAC"), (None, "ACGTTACGATTGACCATGAC"), (2, "AC"), (3, None)], "seq_id long, seq string").withColumn("seq", F.translate("seq", "x", "N"))
+    made = unitigs.dedup_unitigs(unitigs.cut_unitigs(seqs, graph.branch_set(seqs, 5, into=True), 5), 4)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert windows.blocks(seqs, 5)._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    assert sorted((r.seq_id, r.block.decode()) for r in windows.blocks(seqs.na.fill(0, ["seq_id"]), 5).collect()) == [(0, "ACGTTACGATTGACCATGAC"), (1, "ACGTTACGATTGACCATGAC")]
+    assert made.where("outer AND seq_id IS NULL").count() == made.where("outer AND seq_id = 1").count() > 0
+
+
+def test_short_inner_pieces_are_left_out_where_they_are_made(spark):
+    rng = np.random.default_rng(8)
+    seqs = spark.createDataFrame([(i, "".join(rng.choice(list("ACGTN"), 80 * i, p=[0.3, 0.3, 0.19, 0.19, 0.02]))) for i in range(5)] + [(9, None)], "seq_id long, seq string")
+    branches = graph.branch_set(seqs, 5, into=True)
+    whole, some = unitigs.cut_unitigs(seqs, branches, 5), unitigs.cut_unitigs(seqs, branches, 5, inner_over=4)
+    assert sorted(map(str, some.collect())) == sorted(map(str, whole.where("outer OR length(unitig) > 4").collect()))
+    assert sorted(map(str, unitigs.dedup_unitigs(some, 4).collect())) == sorted(map(str, unitigs.dedup_unitigs(whole, 4).collect()))

@@ -50,12 +50,13 @@ def _base(code: Column) -> Column:
 
 
 def _masks(edges: DataFrame, branch_set: DataFrame | None) -> DataFrame:
-    """(node, mask, also), written: the bases that a k-mer goes on with, and those of them whose edges are in the branch set, as bits."""
+    """(node, mask, also), written unless edges are given as masks: the bases that a k-mer goes on with, and those of them whose edges are in the branch set, as bits."""
     masks, also = successor_masks(edges), F.lit(0)
     if branch_set is not None:
         masks = masks.join(successor_masks(branch_set).withColumnRenamed("mask", "also"), "kmer", "left")
         also = F.coalesce("also", also)
-    return materialize(masks.select(F.col("kmer").alias("node"), F.col("mask").cast("byte"), also.cast("byte").alias("also")), "edges", "zstd")
+    rows = masks.select(F.col("kmer").alias("node"), F.col("mask").cast("byte"), also.cast("byte").alias("also"))
+    return rows if "mask" in edges.columns and branch_set is None else materialize(rows, "edges", "zstd")
 
 
 def _edges(masks: DataFrame, k: int) -> DataFrame:
@@ -68,6 +69,10 @@ def _edges(masks: DataFrame, k: int) -> DataFrame:
     return each.select("node", code, item.alias("item")).select("node", "code", codec.suffix("code", k).alias("end"), "item")
 
 
+def _node(code: np.ndarray, k: int) -> np.ndarray:
+    return code >> 2 & (1 << 2 * k) - 1
+
+
 def _minimizer(node: np.ndarray, k: int) -> np.ndarray:
     """The least of the k-mer's parts of MINIMIZER bases, in an order of no meaning."""
     m = min(MINIMIZER, max(1, k // 2))
@@ -78,10 +83,10 @@ def _minimizer(node: np.ndarray, k: int) -> np.ndarray:
     return least
 
 
-def _joined(node: np.ndarray, code: np.ndarray, k: int, most: int) -> pa.RecordBatch:
-    """The rows of one table that runs() makes of some edges(node, code) that no two share a node, and heads, whose code is -1."""
-    heads, plain = np.unique(node[code < 0]), code >= 0
-    order = np.argsort(node[plain])
+def _joined(code: np.ndarray, head: np.ndarray, k: int, most: int) -> pa.RecordBatch:
+    """The rows of one table that runs() makes of the codes of some edges, no two of which leave the same k-mer, and of heads and any base."""
+    node, plain = _node(code, k), ~head
+    heads, order = np.unique(node[head]), np.argsort(node[plain])
     node, base = node[plain][order], code[plain][order] & 3
     end, n = (node << 2 | base) & (1 << 2 * k) - 1, len(node)
     at = np.minimum(np.searchsorted(node, end), max(n - 1, 0))
@@ -103,7 +108,7 @@ def _joined(node: np.ndarray, code: np.ndarray, k: int, most: int) -> pa.RecordB
 
 
 def runs(plain: DataFrame, heads: DataFrame, k: int, most: int = RUN, rows: int = JOINED) -> DataFrame:
-    """(node, base, end): edges plain(node, code) put together, base being the bases of several, no run going on over one of heads(node).
+    """(node, base, end): edges plain(code) put together, base being the bases of several, no run going on over one of heads(node).
 
     plain and heads are as segments() has them.  Runs need not be as long as they
     could be: ``rows`` rows, dealt and sorted by minimizer, are joined at once.
@@ -111,26 +116,28 @@ def runs(plain: DataFrame, heads: DataFrame, k: int, most: int = RUN, rows: int
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_minimizer(b.column(0).to_numpy(), k).astype(np.int32)), *b.columns], ["key", "node", "code"])
+            key = _minimizer(_node(b.column(0).to_numpy(), k), k).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], ["key", "code", "head"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)))
             n += b.num_rows
             if n >= rows:
-                node, code = (np.concatenate(x) for x in zip(*held, strict=True))
-                cut = np.flatnonzero(node[1:] != node[:-1])
+                code, head = (np.concatenate(x) for x in zip(*held, strict=True))
+                cut = np.flatnonzero(code[1:] >> 2 != code[:-1] >> 2)
                 cut = int(cut[-1]) + 1 if len(cut) else 0  # a k-mer and its mark stay together
                 if cut:
-                    yield _joined(node[:cut], code[:cut], k, most)
-                held, n = [(node[cut:], code[cut:])], n - cut
+                    yield _joined(code[:cut], head[:cut], k, most)
+                held, n = [(code[cut:], head[cut:])], n - cut
         if n:
             yield _joined(*(np.concatenate(x) for x in zip(*held, strict=True)), k, most)
 
-    both = plain.select("node", "code").unionByName(heads.select("node", F.lit(-1).cast("long").alias("code")))
-    dealt = both.mapInArrow(keyed, "key int, node long, code long").repartition("key").sortWithinPartitions("key", "node")
-    return dealt.select("node", "code").mapInArrow(join, "node long, base string, end long")
+    marks = heads.select(F.shiftleft("node", 2).alias("code"), F.lit(True).alias("head"))
+    both = plain.select("code", F.lit(False).alias("head")).unionByName(marks)
+    dealt = both.mapInArrow(keyed, "key int, code long, head boolean").repartition("key").sortWithinPartitions("key", "code")
+    return dealt.select("code", "head").mapInArrow(join, "node long, base string, end long")
 
 
 def segments(plain: DataFrame, heads: DataFrame, most: int = STEP_BASES) -> DataFrame:
@@ -198,6 +205,8 @@ def _composed(table: DataFrame, most: int, items: int) -> DataFrame:
 def restore_chains(brcs: DataFrame, edges: DataFrame, kp1: int, kmer_format: bool = False, branch_set: DataFrame | None = None, most: int = STEP_BASES, items: int = STEP_ITEMS) -> DataFrame:
     """The sequences (seq, and the columns that walk carried along) from walk's records and the graph's edges(code), as brc.restore gives them.
 
+    edges may be given as a written table of graph.successor_masks(), which is not shuffled again.
+
     Runs when this is called, in about (items of the longest record) / (items of a step) rounds.
     """
     k = kp1 - 1

@@ -115,3 +115,14 @@ def test_broadcast_and_shuffled_fronts_agree(spark, monkeypatch):
         monkeypatch.setattr(chains, "FEW", few)
         got.append(sorted((r.seq_id, r.seq) for r in chains.restore_chains(records, edges, 6).collect()))
     assert got[0] == got[1] == sorted((i, (s or "").upper()) for i, s in rows)
+
+
+def test_graph_given_as_masks(spark):
+    rows = texts(random.Random(6))
+    df = spark.createDataFrame([(i, s, "x") for i, s in rows], "seq_id long, seq string, node string")
+    edges = kmer_codes(df, 7).select("code")
+    masks = scratch.materialize(graph.successor_masks(edges), "masks")
+    branches = graph.branches_of_masks(masks)
+    assert sorted(branches.collect()) == sorted(graph.multi_out(edges, distinct=True).collect())
+    back = chains.restore_chains(brc.walk(df, branches, 7), masks, 7)
+    assert sorted((r.seq_id, r.seq) for r in back.collect()) == sorted((i, (s or "").upper()) for i, s in rows)

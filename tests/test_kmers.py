@@ -10,6 +10,7 @@ from hypothesis import given, settings, strategies as st
 from kmerspark.functions import codec
 from kmerspark.operators import brc, compress, counting, flags, graph, lookup, minimizers, sets, stats, unitigs, windows
 from kmerspark.operators.windows import block_codes, kmer_codes, kmer_strings
+from kmerspark.sources import tables
 from pyspark.sql import functions as F
 
 SEQS = [(1, "ACGTACGANNTTACGTAG"), (2, "acgtacgaacgt"), (3, "AC")]
@@ -365,3 +366,12 @@ def test_short_inner_pieces_are_left_out_where_they_are_made(spark):
     whole, some = unitigs.cut_unitigs(seqs, branches, 5), unitigs.cut_unitigs(seqs, branches, 5, inner_over=4)
     assert sorted(map(str, some.collect())) == sorted(map(str, whole.where("outer OR length(unitig) > 4").collect()))
     assert sorted(map(str, unitigs.dedup_unitigs(some, 4).collect())) == sorted(map(str, unitigs.dedup_unitigs(whole, 4).collect()))
+
+
+def test_bases_of_any_character(spark):
+    """As the SQL has it; and characters of a code below 128 are not left to the pattern."""
+    texts = ["".join(map(chr, range(128))), "aB\x00z\U0001f600\u0130\u212aé\r\n\tN#\\$1", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", tables.to_bases(F.col("text")).alias("seq"))
+    old = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z \n]", "#"), tables.LETTERS, tables.AS_BASES)
+    assert got.where(F.col("seq") != old).count() == 0 and got.where("seq IS NULL").count() == 0
+    assert all(c in tables.LETTERS + tables._SPECIAL or c.isupper() for c in map(chr, range(1, 128)))

@@ -76,3 +76,40 @@ def test_texts_are_looked_at_in_small_slices():
     batch = pa.RecordBatch.from_arrays([pa.array(["ACGT" * 50_000] * 10)], ["seq"])
     slices = list(flags._slices(batch, 0))
     assert sum(s.num_rows for s in slices) == 10 and max(s.num_rows for s in slices) == 2
+
+
+def _peak(work):
+    """What work gives, and the megabytes of Python and numpy that it had at most."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_windows_are_counted_in_place():
+    """Of codes there were two more copies, and a place for each."""
+    import numpy as np
+
+    from kmerspark.operators import windows
+
+    held = [np.random.default_rng(i).integers(-(1 << 15), 1 << 15, 1 << 17) for i in range(16)]
+    code, n = np.unique(np.concatenate(held), return_counts=True)
+    made, mb = _peak(lambda: windows._counted(held))
+    assert made.column(0).to_pylist() == code.tolist() and made.column(1).to_pylist() == n.tolist() and not held
+    assert mb < 1.5 * 8 * (1 << 21) / 1e6
+    assert windows._counted([code[:1]]).to_pydict() == {"code": [code[0]], "n": [1]}
+
+
+def test_rows_are_looked_at_a_hundred_thousand_bytes_at_once(spark):
+    """A slice was four times as long, and a byte of it takes over a hundred as arrays."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    df = spark.range(0, 60, 1, 1).selectExpr("id", "repeat('ACGT', 5000) AS seq")
+    make = lambda flat: (np.arange(flat.n), [pa.array(np.full(flat.n, len(flat.chars)))])
+    seen = flags.each_sequence(df, None, 5, make, StructType().add("together", "long")).collect()
+    assert sorted(r.id for r in seen) == list(range(60)) and max(r.together for r in seen) <= 1 << 17

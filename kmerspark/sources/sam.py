@@ -25,5 +25,5 @@ def totals(alignments: DataFrame) -> DataFrame:
 
 
 def sequences(alignments: DataFrame) -> DataFrame:
-    """(name, seq) of the primary alignments, as they are written: what sources.fasta.write_fasta takes; "*" for no sequence is left out."""
-    return primary(alignments).where("seq <> '*'").select(F.col("qname").alias("name"), "seq")
+    """(name, seq) of the primary alignments, as they are written: what sources.fasta.write_fasta takes; "*" for no sequence, or an empty one, is left out."""
+    return primary(alignments).where("seq NOT IN ('*', '')").select(F.col("qname").alias("name"), "seq")

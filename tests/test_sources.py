@@ -49,6 +49,25 @@ def test_sam(spark, tmp_path):
     assert tuple(sam.totals(reads).first()) == (2, 7, 1) and {r.qname for r in sam.primary(reads).collect()} == {"q1", "q2"}
 
 
+def test_sam_without_sequence(spark, tmp_path):
+    """An empty SEQ is no sequence, as "*" is none."""
+    line = "{}\t{}\tr\t1\t60\t*\t*\t0\t0\t{}\t*\n"
+    (tmp_path / "x.sam").write_text("".join(line.format(*r) for r in [("q1", 0, "AC"), ("q2", 0, ""), ("q3", 16, "*"), ("q4", 16, ""), ("q5", 256, "A"), ("q6", 16, "N")]))
+    reads = sam.read_sam(spark, f"file://{tmp_path}/x.sam")
+    assert {tuple(r) for r in sam.sequences(reads).collect()} == {("q1", "AC"), ("q6", "N")}
+    assert tuple(sam.totals(reads).first()) == (5, 3, 3)
+
+
+def test_sam_fasta_of_odd_rows(spark, tmp_path):
+    """As the SQL has them: no record for a text without bases or a row without an id, and the dotted capital I is one letter."""
+    rows = [(5, "abz"), (5, "abz"), (6, ""), (9, None), (10, "*"), (11, "\u0130x"), (12, "a"), (13, "a"), (-5, " \n"), (-7, "b"), (-9, ""), (None, "abz"), (None, None)]
+    spark.createDataFrame([(i, t, "en", "web") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted([">5\nACC", ">5\nACC", ">10\nN", ">11\nAT", ">-5\nGT", ">-7\nC"])
+    assert sorted(r.record for r in catalog.sam_fasta(spark, str(tmp_path)).collect()) == want
+    assert sorted(r.record for r in catalog.bam_fasta(spark, str(tmp_path)).collect()) == want
+    assert tuple(catalog.sam_primary(spark, str(tmp_path)).first()) == (11, 15, 2)
+
+
 def test_streaming_counts(spark, tmp_path):
     for i, s in enumerate(["ACGTN", "ACG", "CGTACG"]):
         spark.createDataFrame([(i, s)], "seq_id long, seq string").write.parquet(f"{tmp_path}/in/{i}")
